@@ -7,8 +7,11 @@ Python, and it sees token counts, not text.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,9 @@ from loglantern import fixed_values as fx
 from loglantern.functions.text import tokens_in
 from loglantern.operators.ordered import first_rows
 
+# workers get the packing function itself and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SPAN = T.ArrayType(
     T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 )

@@ -19,7 +19,7 @@ def confusion_matrix(predictions: DataFrame, classes: Sequence) -> DataFrame:
     return (
         predictions.groupBy("model", "label")
         .pivot("prediction", list(classes))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
         .select("model", "label", *[F.col(f"`{c}`").alias(f"predicted_{c}") for c in classes])
     )

@@ -32,10 +32,9 @@ def frequency(rows: DataFrame, column: str) -> DataFrame:
 
 def corpus_statistics(metadata: DataFrame) -> DataFrame:
     """Total, per platform and per category in one long table, from one pass."""
+    sets = [[], ["platform"], ["error_category"]]
     return (
-        metadata.groupBy(
-            F.grouping_sets([[], ["platform"], ["error_category"]], "platform", "error_category")
-        )
+        metadata.groupingSets(sets, "platform", "error_category")
         .agg(F.count("*").alias("logs"), F.grouping_id().alias("which"))
         .select(
             F.when(F.col("which") == 3, "total")
@@ -52,7 +51,7 @@ def crosstab(metadata: DataFrame, platforms: Sequence[str] = fx.PLATFORMS[:3]) -
     return (
         metadata.groupBy("error_category")
         .pivot("platform", list(platforms))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
         .select("error_category", *[F.col(f"`{p}`").alias(p.replace("-", "_")) for p in platforms])
     )

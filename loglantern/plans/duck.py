@@ -252,8 +252,8 @@ legacy_top AS (
     CASE kind WHEN 'error' THEN error_count ELSE warning_count END - shown AS more
   FROM top_shown JOIN legacy_totals USING (log_id)),
 retry_types AS (
-  SELECT log_id, coalesce(concat(upper(substring(word, 1, 1)), lower(substring(word, 2))), 'Other')
-      AS retry_type, count(*) AS retries, min(line_number) AS first_line
+  SELECT log_id, CASE WHEN word IS NULL THEN 'Other'
+      ELSE concat(upper(substring(word, 1, 1)), lower(substring(word, 2))) END AS retry_type, count(*) AS retries, min(line_number) AS first_line
   FROM (SELECT log_id, line_number, {extract("text", fx.RETRY_TYPE, any_case=True)} AS word
     FROM legacy_facts WHERE is_retry) GROUP BY log_id, retry_type)
 """

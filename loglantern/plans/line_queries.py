@@ -10,25 +10,17 @@ from loglantern.functions.text import clean_line, strip_colours
 from loglantern.operators import parse, reports
 from loglantern.plans import duck
 from loglantern.plans.duck import FACTS, LINES, STAGES, SUMMARY, any_of, as_int, matches, q, sql
-from loglantern.plans.views import Logs
+from loglantern.plans.registry import Registry
 from loglantern.rules import ACTIONS_BY_GROUP, PIPELINE
 from loglantern.sources.raw_logs import split_lines
 
-QUERIES, ORACLE = {}, {}
+registry = Registry()
+query = registry.add
+QUERIES, ORACLE = registry.queries, registry.oracle
 
 BASE = ("log_id", "line_number")
 
 
-def query(name: str, oracle: str | None = None):
-    def register(build):
-        QUERIES[name] = lambda spark, folder: build(Logs(spark, folder))
-        if oracle is not None:
-            ORACLE[name] = oracle
-        return build
-
-    return register
-
-
 def flag(column):
     return column.cast("bigint")
 

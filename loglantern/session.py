@@ -44,4 +44,6 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="loglantern-")
         spark.conf.set(CHECKPOINT_SETTING, folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder

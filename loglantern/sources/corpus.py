@@ -187,3 +187,56 @@ def score_predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
         "label",
         (F.col("n_chars") > F.col("limit")).cast("bigint").alias("prediction"),
     )
+
+
+# Answers as a model would give them, around the whole text of a conversation turn.  One
+# section is left out by conv_id % 5, and some confidences are no numbers.  Plain SQL that
+# other engines read too.
+_BULLETS = "replace(text, chr(10), concat(chr(10), '- '))"
+_CONFIDENCE = """CASE WHEN conv_id % 5 = 4 THEN ''
+  WHEN conv_id % 7 = 0 THEN '**CONFIDENCE**: high'
+  ELSE concat('**CONFIDENCE**: ', (conv_id * 7 + turn) % 101, '%') END"""
+
+
+def _unless(rest: int, *parts: str) -> str:
+    return f"CASE WHEN conv_id % 5 = {rest} THEN '' ELSE concat({', '.join(parts)}, chr(10), chr(10)) END"
+
+
+ANSWER_SQL = {
+    "summary": f"""concat(
+  {_unless(0, "'**STATUS**: '", "role")},
+  {_unless(1, "'**Main Issue**: turn '", "turn", "' of '", "conv_id")},
+  {_unless(2, "'**KEY POINTS**:'", "chr(10)", "'- '", _BULLETS, "chr(10)", "'• last  '", "chr(10)", "'no bullet'")},
+  {_unless(3, "'**IMPACT**: '", "CASE turn % 2 WHEN 0 THEN 'High' ELSE 'Low' END", "' - '", "role")},
+  {_CONFIDENCE})""",
+    "explanation": f"""concat('Some words first.', chr(10),
+  {_unless(0, "'**ROOT CAUSE**:'", "chr(10)", "text", "chr(10)", "'more words'")},
+  {_unless(1, "'**COMMON SCENARIOS**:'", "chr(10)", "'- '", _BULLETS, "chr(10)",
+           "'1. numbered'", "chr(10)", "'Scenario 2: named'", "chr(10)", "'plain line'")},
+  {_unless(2, "'**TECHNICAL DETAILS**:'", "chr(10)", "chr(10)", "text")},
+  {_unless(3, "'**RELATED ERRORS**:'", "chr(10)", "'* '", "role", "chr(10)", "'* **bold** item'")},
+  {_CONFIDENCE})""",
+    "fix": f"""concat(
+  CASE WHEN conv_id % 3 = 0 THEN concat('**DIAGNOSIS**:', chr(10), text, chr(10), chr(10))
+    WHEN conv_id % 3 = 1 THEN concat(text, chr(10), '  and more', chr(10)) ELSE '' END,
+  {_unless(0, "'**QUICK FIX** (if available):'", "chr(10)", "'```bash'", "chr(10)", "'run '", "role", "chr(10)", "'```'")},
+  {_unless(1, "'**DETAILED STEPS**:'", "chr(10)", "'1. first '", "role", "chr(10)", "'   then more'", "chr(10)",
+           "'2. second ```x``` done'", "chr(10)", "'```bash'", "chr(10)", "'cmd'", "chr(10)", "'```'", "chr(10)",
+           "'3. third'")},
+  {_unless(2, "'**CODE CHANGES** (if needed):'", "chr(10)", "'File: `a/'", "role", "'.py`'", "chr(10)", "'```python'",
+           "chr(10)", "'x = '", "turn", "chr(10)", "'```'", "chr(10)", "'File: b.py'", "chr(10)", "'```'", "chr(10)",
+           "'y = 1'", "chr(10)", "'```'", "chr(10)", "'File: b.py'", "chr(10)", "'```'", "chr(10)", "'y = 2'",
+           "chr(10)", "'```'")},
+  {_unless(3, "'**PREVENTION TIPS**:'", "chr(10)", "'- '", _BULLETS, "chr(10)", "'2. numbered'")},
+  {_unless(4, "'**VERIFICATION**:'", "chr(10)", "text")},
+  {_CONFIDENCE})""",
+}
+
+
+def stored_answers(conversations: DataFrame, kind: str) -> DataFrame:
+    """One stored answer per conversation turn: ``answer_id, log_id, answer``."""
+    return conversations.select(
+        _text(F.col("conv_id"), "-", F.col("turn")).alias("answer_id"),
+        F.col("conv_id").alias("log_id"),
+        F.expr(ANSWER_SQL[kind]).alias("answer"),
+    )
