@@ -26,7 +26,7 @@ def structural_features(text: Column) -> list[Column]:
     ]
     return [
         F.length(text).cast("bigint").alias("log_length"),
-        F.regexp_count(text, F.lit("\n")).cast("bigint").alias("num_lines"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("num_lines"),
         *flags,
     ]
 
@@ -35,16 +35,12 @@ def terms_of(clean_text: Column) -> Column:
     """Words of at least two characters, and pairs of neighbouring words."""
     words = F.regexp_extract_all(F.lower(clean_text), F.lit(fx.TOKEN), 0)
 
-    def paired(tokens: Column) -> Column:
-        following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-        pairs = F.zip_with(
-            F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-            following,
-            lambda a, b: F.concat_ws(" ", a, b),
-        )
-        return F.concat(tokens, pairs)
+    def with_pairs(tokens: Column) -> Column:
+        firsts = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+        seconds = F.slice(tokens, 2, F.size(tokens))
+        return F.concat(tokens, F.zip_with(firsts, seconds, lambda a, b: F.concat_ws(" ", a, b)))
 
-    return paired(words)
+    return with_pairs(words)
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
@@ -59,18 +55,38 @@ def term_counts(texts: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, logs: DataFrame) -> DataFrame:
+def term_frequencies(texts: DataFrame) -> DataFrame:
+    """Per term the logs that hold it (``df``) and its occurrences (``freq``).
+
+    The first of equal terms in a log's sorted terms marks the log, so one count per
+    term does for both and only terms are shuffled, not pairs of log and term.
+    """
+    ordered = texts.select(F.sort_array(terms_of(F.col("clean"))).alias("terms"))
+    marked = F.zip_with(
+        F.col("terms"),
+        F.concat(F.array(F.lit("")), F.col("terms")),
+        lambda term, before: F.struct(term.alias("term"), (term != before).alias("first")),
+    )
+    return (
+        ordered.select(F.inline(marked))
+        .filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count_if("first").alias("df"), F.count("*").alias("freq"))
+    )
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
     """The most frequent terms found in at least two logs and at most 80 % of them.
 
     Ties go to the term that sorts first.
     """
-    total = logs.agg(F.count("*").alias("n_logs"))
-    seen = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("freq"))
+    total = texts.agg(F.count("*").alias("n_logs"), F.lit(1).alias("k"))
     # the total is one row
     return (
-        seen.filter(F.col("df") >= fx.VOCABULARY_MIN_DOCS)
+        term_frequencies(texts)
+        .filter(F.col("df") >= fx.VOCABULARY_MIN_DOCS)
         .withColumn("k", F.lit(1))
-        .join(F.broadcast(total.withColumn("k", F.lit(1))), "k")
+        .join(F.broadcast(total), "k")
         .filter(F.col("df") <= F.col("n_logs") * F.lit(fx.VOCABULARY_MAX_SHARE))
         .orderBy(F.desc("freq"), "term")
         .limit(fx.VOCABULARY_SIZE)
@@ -78,13 +94,20 @@ def vocabulary(counts: DataFrame, logs: DataFrame) -> DataFrame:
     )
 
 
-def tfidf(counts: DataFrame, vocabulary_rows: DataFrame) -> DataFrame:
-    """Weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per log."""
+def tfidf(texts: DataFrame, vocabulary_rows: DataFrame) -> DataFrame:
+    """Weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per log.
+
+    Terms outside the vocabulary (500 rows at most) drop out before anything is shuffled.
+    """
     idf = F.log((1 + F.col("n_logs")) / (1 + F.col("df"))) + 1
-    # the vocabulary has 500 rows at most
-    raw = counts.join(F.broadcast(vocabulary_rows), "term").select(
-        "log_id", "term", ((1 + F.log("tf")) * idf).alias("raw")
+    known = vocabulary_rows.select("term", idf.alias("idf"))
+    counts = (
+        texts.select("log_id", F.explode(terms_of(F.col("clean"))).alias("term"))
+        .join(F.broadcast(known), "term")
+        .groupBy("log_id", "term")
+        .agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
     )
+    raw = counts.select("log_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     # a log holds each vocabulary term once: 500 rows per window at most
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("log_id")))
     return raw.select("log_id", "term", (F.col("raw") / norm).alias("weight"))

@@ -36,6 +36,22 @@ def legacy_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def telling_lines(facts: DataFrame) -> DataFrame:
+    """Lines that open a stage or say something, and the first line of each log."""
+    text = F.col("text")
+    says = (
+        F.col("is_error")
+        | F.col("is_warning")
+        | F.col("is_retry")
+        | F.col("mark").isNotNull()
+        | F.col("opens").isNotNull()
+        | text.contains("FAILED")
+        | text.contains("FAILURE")
+    )
+    first = F.coalesce(F.col("line_number") == 1, F.lit(True))
+    return facts.filter(first | F.coalesce(says, F.lit(False)))
+
+
 def legacy_stage_rows(facts: DataFrame) -> DataFrame:
     """Counts per (log, stage); errors and warnings before any stage go to ``Unknown``.
 

@@ -45,13 +45,14 @@ def empty_vector(size: int = fx.VOCABULARY_SIZE):
 
 
 def labelled_features(
-    texts: DataFrame, vocabulary: DataFrame, counts: DataFrame, by: str, platforms: Sequence[str]
+    texts: DataFrame, clean: DataFrame, vocabulary: DataFrame, by: str, platforms: Sequence[str]
 ) -> DataFrame:
     """Text, structural and platform features of each log side by side, with label and weight.
 
-    ``texts`` has ``log_id, split, platform, text`` and the class in ``by``.
+    ``texts`` has ``log_id, split, platform, text`` and the class in ``by``, ``clean`` has
+    ``log_id`` and the normalised text.
     """
-    vectors = text_vectors(features.tfidf(counts, vocabulary), term_index(vocabulary))
+    vectors = text_vectors(features.tfidf(clean, vocabulary), term_index(vocabulary))
     train = texts.filter(F.col("split") == "train")
     codes = profile.label_codes(texts, by)
     weights = profile.class_weights(train, by).select(by, F.col("weight").alias(WEIGHT))

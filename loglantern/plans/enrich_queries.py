@@ -361,7 +361,7 @@ _KEY_POINTS = f"""list_filter(list_transform(list_filter(list_transform(
   FROM (SELECT a.*, coalesce(s.status, 'UNKNOWN') AS log_status, coalesce(error_count, 0) AS error_count
     FROM answers a LEFT JOIN summary s USING (log_id))"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.table("conversations"), "summary")
+    stored = corpus.stored_answers(logs.texts_table("conversations"), "summary")
     told = stored.join(logs.counts.select("log_id", "status", "error_count"), "log_id", "left").select(
         "answer_id",
         "answer",
@@ -378,7 +378,7 @@ def _(logs):
   {_or_default(_items("RELATED ERRORS", True), ())} AS related_errors, {_confidence(80)} AS confidence
   FROM answers"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.table("conversations"), "explanation")
+    stored = corpus.stored_answers(logs.texts_table("conversations"), "explanation")
     return enrich.listed(answers.structure_explanations(stored), ["common_scenarios", "related_errors"])
 
 
@@ -409,7 +409,7 @@ paragraph AS (SELECT *, array_to_string(list_transform(list_filter(
   coalesce({_text_section("VERIFICATION")}, {q(pt.DEFAULT_VERIFICATION)}) AS verification,
   {_confidence(75)} AS confidence FROM paragraph"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.table("conversations"), "fix")
+    stored = corpus.stored_answers(logs.texts_table("conversations"), "fix")
     fixes = answers.structure_fixes(stored)
     # what the last change to a file replaced is not in the map: add it back to compare whole lists
     replaced = F.when(F.map_contains_key("code_changes", "b.py"), F.array(F.lit("b.py=y = 1"))).otherwise(
@@ -428,7 +428,7 @@ def _(logs):
 
 @query("answer_fix_steps")
 def _(logs):
-    stored = corpus.stored_answers(logs.table("conversations"), "fix")
+    stored = corpus.stored_answers(logs.texts_table("conversations"), "fix")
     return answers.structure_fixes(stored).select(
         "answer_id",
         F.size("detailed_steps").cast("bigint").alias("steps"),
@@ -441,7 +441,7 @@ def _(logs):
   {_or_default(_items("COMMON SCENARIOS", True) + "[:3]", pt.DEFAULT_SCENARIOS)} AS common_scenarios
   FROM answers"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.table("conversations"), "explanation")
+    stored = corpus.stored_answers(logs.texts_table("conversations"), "explanation")
     shown = answers.display_lists(answers.structure_explanations(stored), {"common_scenarios": 3})
     return enrich.listed(shown.select("answer_id", "common_scenarios"), ["common_scenarios"])
 

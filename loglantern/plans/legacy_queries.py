@@ -132,12 +132,14 @@ FROM report WHERE text IS NOT NULL""",
 
 @query("legacy_report", _REPORT)
 def _(logs):
-    facts, rows = logs.legacy_facts, logs.legacy_rows
+    facts = logs.kept_legacy
+    rows = legacy.legacy_stage_rows(facts)
+    totals = legacy.legacy_totals(rows)
     return legacy.legacy_report(
-        logs.legacy_rollup,
+        legacy.legacy_rollup(totals, legacy.finished_marks(facts)),
         legacy.retry_types(facts),
         legacy.legacy_stages(rows),
-        legacy.legacy_top(facts, logs.legacy_totals),
+        legacy.legacy_top(facts, totals),
     )
 
 

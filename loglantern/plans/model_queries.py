@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loglantern import fixed_values as fx
 from loglantern.operators import evaluate, features, models, profile
 from loglantern.plans.registry import Registry
-from loglantern.session import shared_folder
+from loglantern.session import keep
 
 registry = Registry()
 query = registry.add
@@ -21,18 +21,15 @@ class Fitting:
     """Features of all documents, written once: learners read their input many times."""
 
     def __init__(self, logs):
-        documents = logs.table("documents")
+        documents = logs.texts_table("documents")
         labelled = logs.metadata.join(
             documents.select(F.col("doc_id").alias("log_id"), CLASS, "text"), "log_id"
         )
         self.texts = profile.stratified_split(labelled, CLASS)
         clean = self.texts.select("log_id", "split", features.normalise(F.col("text")).alias("clean"))
-        counts = features.term_counts(clean)
-        train = self.texts.filter("split = 'train'").select("log_id")
-        self.vocabulary = features.vocabulary(counts.join(train, "log_id", "left_semi"), train)
-        rows = models.labelled_features(self.texts, self.vocabulary, counts, CLASS, PLATFORMS)
-        shared_folder(logs.spark)
-        self.rows = rows.checkpoint()
+        self.vocabulary = features.vocabulary(clean.filter("split = 'train'"))
+        rows = models.labelled_features(self.texts, clean, self.vocabulary, CLASS, PLATFORMS)
+        self.rows = keep(rows)
         self.train = self.rows.filter("split = 'train'")
         self.held_out = self.rows.filter("split <> 'train'")
 

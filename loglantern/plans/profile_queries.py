@@ -252,10 +252,9 @@ def _clean(logs):
     return logs.found_texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
 
 
-def _train_vocabulary(logs, counts):
+def _train_vocabulary(logs, clean):
     train = logs.split.filter("split = 'train'").select("log_id")
-    train_logs = _clean(logs).select("log_id").join(train, "log_id", "left_semi")
-    return features.vocabulary(counts.join(train, "log_id", "left_semi"), train_logs)
+    return features.vocabulary(clean.join(train, "log_id", "left_semi"))
 
 
 @query("term_counts", sql(TERMS, "SELECT log_id, term, tf FROM counts"))
@@ -265,13 +264,13 @@ def _(logs):
 
 @query("vocabulary", sql(VOCABULARY, "SELECT term, df, freq, n_logs FROM vocabulary"))
 def _(logs):
-    return _train_vocabulary(logs, features.term_counts(_clean(logs)))
+    return _train_vocabulary(logs, _clean(logs))
 
 
 @query("tfidf", sql(VOCABULARY, "SELECT log_id, term, round(weight, 6) AS weight FROM tfidf"))
 def _(logs):
-    counts = features.term_counts(_clean(logs))
-    weights = features.tfidf(counts, _train_vocabulary(logs, counts))
+    clean = _clean(logs)
+    weights = features.tfidf(clean, _train_vocabulary(logs, clean))
     return weights.select("log_id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern.operators import legacy, parse, profile
+from loglantern.session import keep, spread
 from loglantern.sources import corpus
 
 
@@ -20,6 +21,10 @@ class Logs:
     def table(self, name: str) -> DataFrame:
         return corpus.read_table(self.spark, self.folder, name)
 
+    def texts_table(self, name: str) -> DataFrame:
+        """A table of texts, whose work is per row: spread over all cores."""
+        return spread(self.table(name))
+
     @cached_property
     def lines(self) -> DataFrame:
         return corpus.event_log_lines(self.table("events"))
@@ -58,6 +63,11 @@ class Logs:
     def legacy_facts(self) -> DataFrame:
         return legacy.legacy_lines(self.lines)
 
+    @cached_property
+    def kept_legacy(self) -> DataFrame:
+        """Legacy facts of the lines that matter to a report, written once for its many parts."""
+        return keep(legacy.telling_lines(self.legacy_facts))
+
     @cached_property
     def legacy_rows(self) -> DataFrame:
         return legacy.legacy_stage_rows(self.legacy_facts)
@@ -77,11 +87,11 @@ class Logs:
     @cached_property
     def texts(self) -> DataFrame:
         """Labelled metadata with text; a missing file reads as empty."""
-        return profile.attach_text(self.metadata, corpus.document_files(self.table("documents")))
+        return profile.attach_text(self.metadata, corpus.document_files(self.texts_table("documents")))
 
     @cached_property
     def found_texts(self) -> DataFrame:
-        files = corpus.document_files(self.table("documents"))
+        files = corpus.document_files(self.texts_table("documents"))
         return profile.attach_text(self.metadata, files, keep_missing=False)
 
     @cached_property
@@ -90,4 +100,4 @@ class Logs:
 
     @cached_property
     def raw_documents(self) -> DataFrame:
-        return corpus.document_logs(self.table("documents"))
+        return corpus.document_logs(self.texts_table("documents"))
