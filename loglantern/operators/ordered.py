@@ -94,22 +94,26 @@ def log_context(
     lines: DataFrame,
     latest: Mapping[str, Column] | None = None,
     anywhere: Mapping[str, Column] | None = None,
+    earliest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Tell each line what the rest of its log says.
 
     ``latest``: the last non-null value of an expression at or before the line.
+    ``earliest``: the first non-null value in the log.
     ``anywhere``: whether a condition holds on any line of the log.
     """
-    latest, anywhere = dict(latest or {}), dict(anywhere or {})
+    latest, anywhere, earliest = dict(latest or {}), dict(anywhere or {}), dict(earliest or {})
     marked = lines.select(
         "*",
-        *[value.alias(f"{n}_now") for n, value in latest.items()],
+        *[value.alias(f"{n}_now") for n, value in (latest | earliest).items()],
         *[F.coalesce(flag, F.lit(False)).alias(f"{n}_now") for n, flag in anywhere.items()],
     )
     part = Window.partitionBy(*line_keys(lines))
     so_far = part.orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = {n: F.last(f"{n}_now", ignorenulls=True).over(so_far) for n in latest}
     here |= {n: F.max(f"{n}_now").over(part) for n in anywhere}
+    all_lines = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here |= {n: F.first(f"{n}_now", ignorenulls=True).over(all_lines) for n in earliest}
     if "slice" not in lines.columns:
         return marked.select(*lines.columns, *[value.alias(n) for n, value in here.items()])
 
@@ -118,21 +122,26 @@ def log_context(
         .groupBy("log_id", "slice")
         .agg(
             *[
-                F.max_by(
+                pick(
                     f"{n}_now", F.when(F.col(f"{n}_now").isNotNull(), F.col("line_number"))
                 ).alias(n)
-                for n in latest
+                for pick, names in ((F.max_by, latest), (F.min_by, earliest))
+                for n in names
             ],
             *[F.max(f"{n}_now").alias(n) for n in anywhere],
         )
     )
     whole = Window.partitionBy("log_id")
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    all_slices = whole.orderBy("slice").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     carried = per_slice.select(
         "log_id",
         "slice",
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"{n}_else") for n in latest],
         *[F.max(n).over(whole).alias(f"{n}_else") for n in anywhere],
+        *[F.first(n, ignorenulls=True).over(all_slices).alias(f"{n}_else") for n in earliest],
     )
     both = marked.select("*", *[value.alias(f"{n}_here") for n, value in here.items()]).join(
         F.broadcast(carried), ["log_id", "slice"], "left"
@@ -140,7 +149,7 @@ def log_context(
     return both.select(
         *lines.columns,
         *[F.coalesce(f"{n}_here", f"{n}_else").alias(n) for n in latest],
-        *[F.coalesce(f"{n}_else", f"{n}_here").alias(n) for n in anywhere],
+        *[F.coalesce(f"{n}_else", f"{n}_here").alias(n) for n in (*anywhere, *earliest)],
     )
 
 

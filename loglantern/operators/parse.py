@@ -19,6 +19,7 @@ from loglantern.operators.ordered import first_rows, line_keys, log_context
 from loglantern.rules import PLATFORM_RULES, UNKNOWN_PLATFORM, PlatformRules
 
 LINE = "raw_line"
+HEADER = ("triggered_by", "duration_seconds")  # the same on all lines of a log
 
 
 def _by_platform(rules: Sequence[PlatformRules], value) -> Column:
@@ -68,7 +69,8 @@ def read_lines(lines: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
     Adds ``rule`` (position in ``rules``, null: unknown platform), ``opens`` (the stage
     the line opens), ``stage`` (the stage whose status it may change), ``context`` (what
     it is counted under), ``kind`` (error, warning or null), ``is_retry``, ``level``,
-    ``message`` and ``fails_stage``.
+    ``message``, ``fails_stage`` and, on every line, the log's ``triggered_by`` and
+    ``duration_seconds``.
     """
     line = F.col(LINE)
     latest = {}
@@ -78,12 +80,15 @@ def read_lines(lines: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
     anywhere = {
         f"marked_{position}": contains_any(line, rule.markers) for position, rule in enumerate(rules)
     }
-    told = log_context(lines, latest, anywhere).withColumn("rule", _first_rule(rules))
+    header = {"triggered_by": started_by(line), "duration_seconds": duration_seconds(line)}
+    told = log_context(lines, latest, anywhere, header).withColumn("rule", _first_rule(rules))
+    has_header = F.coalesce(_by_platform(rules, lambda _, r: F.lit(r.has_header)), F.lit(False))
 
     known = F.col("rule").isNotNull()
     placed = told.select(
         *lines.columns,
         "rule",
+        *[F.when(has_header, F.col(n)).alias(n) for n in HEADER],
         _by_platform(rules, lambda _, r: _opened(r)).alias("opens"),
         _by_platform(rules, lambda p, _: F.col(f"stage_{p}")).alias("stage"),
         _by_platform(rules, lambda p, _: F.col(f"context_{p}")).alias("context"),
@@ -123,6 +128,7 @@ def read_lines(lines: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
     return classified.select(
         *lines.columns,
         "rule",
+        *HEADER,
         "opens",
         "stage",
         "context",
@@ -149,12 +155,16 @@ def _one_if(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def roll_up(facts: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES) -> DataFrame:
+def roll_up(
+    facts: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES, headers: bool = False
+) -> DataFrame:
     """One row per (log, name): counts of the lines counted under the name, and its stage record.
 
     Rows with a null name hold the lines of a log that are counted under nothing.  All
-    buffers are numbers, so Spark aggregates by hash on both sides of the shuffle.
+    buffers are numbers, so Spark aggregates by hash on both sides of the shuffle; the
+    log's trigger and duration, where wanted, are grouping keys.
     """
+    keys = ["log_id", "rule", *(HEADER if headers else ())]
     line = F.col(LINE)
     is_line = F.col("line_number").isNotNull()
     signs = []
@@ -184,8 +194,8 @@ def roll_up(facts: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES) -
         F.col("opens").isNotNull() | F.col("fails_stage"), F.array(counted, marked)
     ).otherwise(F.array(counted))
     return (
-        facts.select("log_id", "rule", F.inline(both))
-        .groupBy("log_id", "rule", "name")
+        facts.select(*keys, F.inline(both))
+        .groupBy(*keys, "name")
         .agg(
             *[F.sum(n).alias(n) for n in ("lines", "errors", "warnings", "retries", "criticals")],
             F.min("opened_at").alias("opened_at"),
@@ -210,14 +220,15 @@ def stages(rolled: DataFrame) -> DataFrame:
 
 
 def log_counts(rolled: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES) -> DataFrame:
-    """One row per log: platform, found and final status, counts."""
+    """One row per log: platform, found and final status, counts, and headers rolled up with."""
+    headers = [n for n in HEADER if n in rolled.columns]
     is_stage = F.col("opened_at").isNotNull()
     signs = [
         (position, n, status)
         for position, rule in enumerate(rules)
         for n, (status, _) in enumerate(rule.status_signs)
     ]
-    totals = rolled.groupBy("log_id", "rule").agg(
+    totals = rolled.groupBy("log_id", "rule", *headers).agg(
         F.sum("lines").alias("total_lines"),
         F.sum(_one_if(is_stage)).cast("bigint").alias("stage_count"),
         F.sum(_one_if(is_stage & (F.col("failed") == 1))).cast("bigint").alias("failed_stage_count"),
@@ -256,26 +267,25 @@ def log_counts(rolled: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULE
             "warning_count",
             "retry_count",
             "critical_count",
+            *headers,
         )
     )
 
 
 def started_by(line: Column) -> Column:
-    return F.when(line.rlike(fx.PIPELINE_STARTED_BY), strip(F.regexp_extract(line, fx.PIPELINE_STARTED_BY, 1)))
+    found = line.contains("Started by ") & line.rlike(fx.PIPELINE_STARTED_BY)
+    return F.when(found, strip(F.regexp_extract(line, fx.PIPELINE_STARTED_BY, 1)))
 
 
 def duration_seconds(line: Column) -> Column:
     amount = first_match(line, fx.PIPELINE_DURATION, 1).cast("double")
-    unit = first_match(line, fx.PIPELINE_DURATION, 2)
-    seconds = None
-    for name, factor in fx.DURATION_SECONDS.items():
-        hit = unit == name
-        seconds = F.when(hit, amount * factor) if seconds is None else seconds.when(hit, amount * factor)
-    return seconds
+    factors = F.create_map(*[F.lit(v) for pair in fx.DURATION_SECONDS.items() for v in pair])
+    unit = F.regexp_extract(line, fx.PIPELINE_DURATION, 2)
+    return F.when(line.contains("Duration: "), amount * F.try_element_at(factors, unit))
 
 
 def log_headers(lines: DataFrame, strip_user_prefix: bool = False) -> DataFrame:
-    """First trigger and first duration of each log that has one.
+    """First trigger and first duration of each log that has one, whatever its platform.
 
     Only the few lines that hold either are grouped.
     """
@@ -301,18 +311,6 @@ def log_headers(lines: DataFrame, strip_user_prefix: bool = False) -> DataFrame:
     )
 
 
-def with_headers(
-    counts: DataFrame, headers: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
-) -> DataFrame:
-    named = [rule.platform for rule in rules if rule.has_header]
-    has_header = F.col("platform").isin(named)
-    return counts.join(headers, "log_id", "left").select(
-        *counts.columns,
-        F.when(has_header, F.col("triggered_by")).alias("triggered_by"),
-        F.when(has_header, F.col("duration_seconds")).alias("duration_seconds"),
-    )
-
-
 def named(counts: DataFrame, names: dict[str, Column]) -> DataFrame:
     """Attach what the caller knows; a log of unknown platform keeps none of it."""
     known = F.col("platform") != UNKNOWN_PLATFORM

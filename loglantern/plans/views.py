@@ -56,7 +56,7 @@ class Logs:
 
     @cached_property
     def summary(self) -> DataFrame:
-        full = parse.with_headers(self.counts, parse.log_headers(self.lines))
+        full = parse.log_counts(parse.roll_up(self.facts, headers=True))
         return parse.named(full, corpus.build_names(F.col("log_id")))
 
     @cached_property
@@ -87,12 +87,12 @@ class Logs:
     @cached_property
     def texts(self) -> DataFrame:
         """Labelled metadata with text; a missing file reads as empty."""
-        return profile.attach_text(self.metadata, corpus.document_files(self.texts_table("documents")))
+        return profile.attach_text(spread(self.metadata), corpus.document_files(self.texts_table("documents")))
 
     @cached_property
     def found_texts(self) -> DataFrame:
         files = corpus.document_files(self.texts_table("documents"))
-        return profile.attach_text(self.metadata, files, keep_missing=False)
+        return profile.attach_text(spread(self.metadata), files, keep_missing=False)
 
     @cached_property
     def split(self) -> DataFrame:
