@@ -84,7 +84,7 @@ def missing(
     return asked.join(live.select("cache_type", "key"), ["cache_type", "key"], "left_anti")
 
 
-def store(spark, path: str, results: DataFrame) -> None:
+def store(results: DataFrame, path: str) -> None:
     """Append results (cache_type, key, written_at, write_id, value)."""
     results.write.mode("append").partitionBy("cache_type").parquet(path)
 

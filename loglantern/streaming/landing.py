@@ -32,11 +32,7 @@ def landed_logs(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 
 def landed_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Logs landed as text files, one per build."""
-    files = (
-        spark.readStream.option("wholetext", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .text(folder)
-    )
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return raw_log_columns(files)
 
 
