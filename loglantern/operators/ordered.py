@@ -4,10 +4,10 @@ Lines are ordered within a log by windows.  Where some log is too long for one
 window partition, the table of lines carries a ``slice`` column: null for logs
 that fit, else 1, 2, ... for runs of consecutive lines, so that no window ever holds
 a whole long log.  What one slice must know of the earlier ones (how many lines,
-which stage is open) travels in a table with one row per slice of a long log.  That
-table has at most ``2 * rows / slice_rows`` rows, whatever the data, so it is
-broadcast.  Where no log is that long there is no such column and the plan is one
-shuffle by log.
+which stage is open) travels in a table with one row per slice of a long log, at most
+``2 * rows / slice_rows`` rows whatever the data.  It is joined on the keys the lines
+are already partitioned and sorted by, so the lines are not shuffled for it.  Where no
+log is that long there is no such column and the plan is one shuffle by log.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_ROWS = 1_000_000
+SLICE_ROWS = 250_000
 
 
 def _seconds(rows: DataFrame, at: str) -> Column:
@@ -62,6 +62,7 @@ def number_rows(
         )
 
     width = F.ceil(span * F.lit(float(slice_rows)) / F.col("long_rows_"))
+    # at most rows / slice_rows logs: small enough to broadcast
     long_logs = long_logs.select(key, "long_rows_", "from_", width.alias("width_"))
     step = F.floor((second - F.col("from_")) / F.col("width_")) + 1
     sliced = rows.join(F.broadcast(long_logs), key, "left").withColumn("slice", step)
@@ -79,7 +80,7 @@ def number_rows(
         "in_slice_", F.row_number().over(part.orderBy(at, tie)).cast("bigint")
     ).withColumn("log_rows", F.coalesce("long_rows_", F.count(F.lit(1)).over(part)))
     return (
-        numbered.join(F.broadcast(starts), [key, "slice"], "left")
+        numbered.join(starts, [key, "slice"], "left")
         .withColumn("line_number", F.col("in_slice_") + F.coalesce("before_", F.lit(0)))
         .drop("in_slice_", "before_", "long_rows_", "from_", "width_")
     )
@@ -144,7 +145,7 @@ def log_context(
         *[F.first(n, ignorenulls=True).over(all_slices).alias(f"{n}_else") for n in earliest],
     )
     both = marked.select("*", *[value.alias(f"{n}_here") for n, value in here.items()]).join(
-        F.broadcast(carried), ["log_id", "slice"], "left"
+        carried, ["log_id", "slice"], "left"
     )
     return both.select(
         *lines.columns,

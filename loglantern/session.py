@@ -22,6 +22,8 @@ def local_session(cpus: int | str = "*", app: str = "loglantern", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # the JVM never compiles larger methods; Spark then splits the work itself
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # line rules cost more than the bytes they read: keep all cores busy on small inputs
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
