@@ -26,10 +26,8 @@ metadata AS (
       ELSE 'permission_error' END AS error_category,
     CAST(doc_id % 1000 + 1 AS INTEGER) AS build_number
   FROM documents),
-files AS (SELECT concat('logs/', doc_id, '.txt') AS file_path, text FROM documents WHERE doc_id % 50 <> 0),
-texts AS (
-  SELECT m.*, coalesce(f.text, '') AS text FROM metadata m LEFT JOIN files f USING (file_path)),
-found AS (SELECT m.*, f.text FROM metadata m JOIN files f USING (file_path))
+texts AS (SELECT m.*, d.text FROM metadata m JOIN documents d ON m.log_id = d.doc_id),
+files AS (SELECT concat('logs/', doc_id, '.txt') AS file_path, text FROM documents SEMI JOIN labels USING (doc_id))
 """
 SPLIT = META + """,
 ordered AS (
@@ -44,14 +42,18 @@ split AS (
 """
 
 
-@query("metadata_text", sql(META, "SELECT log_id, file_path, platform, error_category, text FROM texts"))
+@query("metadata_text", sql(META, """SELECT log_id, file_path, platform, error_category,
+  coalesce(f.text, '') AS text FROM metadata LEFT JOIN files f USING (file_path)"""))
 def _(logs):
-    return logs.texts.select("log_id", "file_path", "platform", "error_category", "text")
+    rows = logs.with_files(logs.labelled_files)
+    return rows.select("log_id", "file_path", "platform", "error_category", "text")
 
 
-@query("metadata_found", sql(META, "SELECT log_id, file_path, length(text) AS chars FROM found"))
+@query("metadata_found", sql(META, """SELECT log_id, file_path, length(f.text) AS chars
+  FROM metadata JOIN files f USING (file_path)"""))
 def _(logs):
-    return logs.found_texts.select("log_id", "file_path", F.length("text").cast("bigint").alias("chars"))
+    rows = logs.with_files(logs.labelled_files, keep_missing=False)
+    return rows.select("log_id", "file_path", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("truncate_guard", f"""SELECT doc_id AS log_id, CAST(length(text) > 10000000 AS BIGINT) AS truncated,
@@ -110,16 +112,16 @@ def _(logs):
 
 @query("length_stats", sql(META, """SELECT round(avg(length(text)), 6) AS mean_chars,
   min(length(text)) AS min_chars, max(length(text)) AS max_chars,
-  round(median(length(text)), 6) AS median_chars FROM found"""))
+  round(median(length(text)), 6) AS median_chars FROM texts"""))
 def _(logs):
-    return profile.length_stats(logs.found_texts)
+    return profile.length_stats(logs.texts)
 
 
 @query("length_hist", sql(META, """SELECT least(20, 1 + (length(text) - low) * 20 // greatest(1, high - low)) AS bin,
-  count(*) AS logs FROM found, (SELECT min(length(text)) AS low, max(length(text)) AS high FROM found)
+  count(*) AS logs FROM texts, (SELECT min(length(text)) AS low, max(length(text)) AS high FROM texts)
   GROUP BY bin"""))
 def _(logs):
-    return profile.length_histogram(logs.found_texts)
+    return profile.length_histogram(logs.texts)
 
 
 @query("categories", sql(META, "SELECT DISTINCT error_category FROM metadata"))
@@ -132,15 +134,15 @@ _PREVIEW = """SELECT log_id, error_category, platform, CAST(len(p) AS BIGINT) AS
   FROM (SELECT *, string_split(text, chr(10)) AS p FROM {rows})"""
 
 
-@query("sample_per_category", sql(META, _PREVIEW.format(n=25, rows="""(SELECT * FROM found WHERE log_id IN
-  (SELECT min(log_id) FROM found GROUP BY error_category))""")))
+@query("sample_per_category", sql(META, _PREVIEW.format(n=25, rows="""(SELECT * FROM texts WHERE log_id IN
+  (SELECT min(log_id) FROM texts GROUP BY error_category))""")))
 def _(logs):
-    return profile.sample_per_category(logs.found_texts)
+    return profile.sample_per_category(logs.texts)
 
 
-@query("first_samples", sql(META, _PREVIEW.format(n=5, rows="(SELECT * FROM found ORDER BY log_id LIMIT 3)")))
+@query("first_samples", sql(META, _PREVIEW.format(n=5, rows="(SELECT * FROM texts ORDER BY log_id LIMIT 3)")))
 def _(logs):
-    return profile.first_samples(logs.found_texts)
+    return profile.first_samples(logs.texts)
 
 
 @query("stratified_split", sql(SPLIT, "SELECT log_id, error_category, split FROM split"))
@@ -189,13 +191,13 @@ def _normalised(x: str) -> str:
 
 
 CLEAN = META + f""",
-clean AS (SELECT log_id, {_normalised("text")} AS clean FROM found)
+clean AS (SELECT log_id, {_normalised("text")} AS clean FROM texts)
 """
 
 
 @query("normalise_text", sql(CLEAN, "SELECT log_id, clean FROM clean"))
 def _(logs):
-    return logs.found_texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
+    return logs.texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
 
 
 def _flag_sql(pattern: str, ignore_case: bool) -> str:
@@ -249,7 +251,7 @@ tfidf AS (
 
 
 def _clean(logs):
-    return logs.found_texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
+    return logs.texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
 
 
 def _train_vocabulary(logs, clean):

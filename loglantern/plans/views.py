@@ -86,13 +86,15 @@ class Logs:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Labelled metadata with text; a missing file reads as empty."""
-        return profile.attach_text(spread(self.metadata), corpus.document_files(self.texts_table("documents")))
+        """Labelled metadata with text."""
+        return self.with_files(corpus.document_files(self.texts_table("documents")))
 
     @cached_property
-    def found_texts(self) -> DataFrame:
-        files = corpus.document_files(self.texts_table("documents"))
-        return profile.attach_text(spread(self.metadata), files, keep_missing=False)
+    def labelled_files(self) -> DataFrame:
+        return corpus.labelled_files(self.texts_table("documents"), self.table("labels"))
+
+    def with_files(self, files: DataFrame, keep_missing: bool = True) -> DataFrame:
+        return profile.attach_text(spread(self.metadata), files, keep_missing)
 
     @cached_property
     def split(self) -> DataFrame:

@@ -139,11 +139,13 @@ def document_metadata(documents: DataFrame) -> DataFrame:
 
 
 def document_files(documents: DataFrame) -> DataFrame:
-    """Log texts by path; every fiftieth file is missing."""
-    doc = F.col("doc_id")
-    return documents.filter(doc % 50 != 0).select(
-        _text("logs/", doc, ".txt").alias("file_path"), F.col("text")
-    )
+    """Log texts by path."""
+    return documents.select(_text("logs/", F.col("doc_id"), ".txt").alias("file_path"), F.col("text"))
+
+
+def labelled_files(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of labelled documents only: to the metadata of the others the file is missing."""
+    return document_files(documents.join(labels.select("doc_id"), "doc_id", "left_semi"))
 
 
 def _memo_fields() -> tuple[Column, Column]:
