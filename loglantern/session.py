@@ -38,16 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for data that must outlive an executor.
 
     Only where the session names none (tests on one machine) a new temporary
-    folder is made.
+    folder is made; a cluster that names none is refused.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="loglantern-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
