@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm import chat, mixing, sharding, url_reputation, warc
+from loglantern.llm import chat, kdtree, mixing, quality, sharding, toxicity, url_reputation, warc
 from loglantern.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -66,3 +66,46 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"])
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Documents whose labels are never learned from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@query
+def op9_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = quality.score(docs, quality.train(docs, labels.where(~held_out())), ["doc_id"])
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op10_kd_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return kdtree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op10_kd_tree_top_k"] = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
