@@ -84,8 +84,8 @@ class Slice:
         return np.diff(self.before)
 
 
-def slices(texts: pa.Array, kinds: np.ndarray) -> Iterator[Slice]:
-    """The texts of a column, null being empty, in slices of whole texts."""
+def slices(texts: pa.Array, kinds: np.ndarray, most: int = 1 << 16) -> Iterator[Slice]:
+    """The texts of a column, null being empty, in slices of ``most`` whole texts at most."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -97,7 +97,7 @@ def slices(texts: pa.Array, kinds: np.ndarray) -> Iterator[Slice]:
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
-        last = min(last, len(texts))
+        last = min(last, first + most, len(texts))
         part = raw[at[first] : at[last]]
         if len(part):
             yield Slice(first, part, at[first : last + 1] - at[first], kinds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm import chat, decontaminate, kdtree, mixing, quality, sharding, toxicity, url_reputation, warc
+from loglantern.llm import chat, chosen_path, decontaminate, kdtree, mixing, quality, sharding, toxicity, url_reputation, warc
 from loglantern.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -115,3 +115,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op3_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("key")
+
+
+@query
+def op2_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    found = chosen_path.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "links")
