@@ -48,7 +48,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     told = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     order = F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"), F.xxhash64("text").alias("text_hash"))
     return lasting(slim)
 
 
@@ -179,3 +179,17 @@ def mix(
         .join(plan.select("key", "source_size", "target"), "key")
         .select("row", "doc_id", "source", "size", "source_size", "target", "position", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
+    """The documents of a mix, whole, each as often as it is taken to the nearest whole number.
+
+    Documents without words hold nothing to mix and are left out. Rows of equal id and text
+    are taken equally often.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("source"), F.xxhash64("text"))
+    slim = sizes(docs).withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text_hash")))
+    taken = mix(docs, weights, share, repeats, block, keep=slim).where("size > 0")
+    copies = taken.join(slim.select("row", "_key"), "row").groupBy("_key").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    own = docs.withColumn("_key", key).join(copies.where("_copies > 0"), "_key")
+    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_copies", "_copy")
