@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
 Documents that share a group (equal texts, or any other links given as groups) should meet
-in one shard. Linked documents start spread evenly. In each round a document's neighbours
-are counted per shard (per group, so that no pair of documents is ever made), and it asks to
-move where most of them are, ties going the same way for a whole group. A mover from a to b
+in one shard. Linked documents start spread evenly. In each round a group's members are
+counted per shard (so that no pair of documents is ever made) and the group votes with that
+count for the shard that most of them are in, ties going the same way for a whole group; a
+document asks to move where most votes of its groups point. A mover from a to b
 is let through if another moves from b to a, or if b has room; per pair of shards the number
 is a quota, and movers are taken in hash order. So no shard ever exceeds its share of the
 rows. Documents without links fill what is left, so that counts differ by one at most.
@@ -54,9 +55,9 @@ def _wishes(state: DataFrame, links: DataFrame) -> DataFrame:
     """(row, order, from, to) of linked documents most of whose neighbours are elsewhere."""
     members = links.join(state.select("row", "shard"), "row")
     counts = members.groupBy("group", "shard").agg(F.count("*").alias("n"))
-    per_shard = F.struct("shard", "n", F.xxhash64("group", "shard").alias("tie"))
-    spread = counts.groupBy("group").agg(F.collect_list(per_shard).alias("spread"))  # a row per shard at most
-    votes = links.join(spread, "group").select("row", F.explode("spread").alias("s"))
+    per_shard = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
+    label = counts.groupBy("group").agg(F.max(per_shard).alias("s"))
+    votes = links.join(label, "group")
     sums = votes.groupBy("row", F.col("s.shard").alias("to")).agg(F.sum("s.n").alias("n"), F.max("s.tie").alias("tie"))
     best = sums.groupBy("row").agg(F.max(F.struct("n", "tie", "to"))["to"].alias("to"))
     return state.join(best, "row").where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
