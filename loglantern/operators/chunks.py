@@ -58,15 +58,11 @@ def spans_of(token_counts: Column, limit: int, overlap: int) -> Column:
     return packed(token_counts)
 
 
-def kept_lines(text: Column, excluded: Column) -> Column:
-    """Lines of the text, numbered by line feeds, without the excluded line numbers."""
-    numbered = F.transform(
-        F.split(text, "\n"), lambda line, at: F.struct((at + 1).alias("at"), line.alias("line"))
-    )
-    left = F.filter(numbered, lambda e: ~F.array_contains(excluded, e["at"].cast("bigint")))
-    return F.when(F.size(excluded) == 0, F.split(text, "\n")).otherwise(
-        F.transform(left, lambda e: e["line"])
-    )
+def kept_lines(lines: Column, excluded: Column) -> Column:
+    """Lines, numbered from 1, without the excluded line numbers."""
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.size(lines).cast("bigint"))
+    kept = F.array_except(numbers, excluded)  # by hash: linear in the lines
+    return F.transform(kept, lambda n: F.get(lines, (n - 1).cast("int")))
 
 
 def body_chunks(
@@ -90,17 +86,22 @@ def body_chunks(
         marked = long_logs.join(lists, "log_id", "left").withColumn(
             "excluded", F.coalesce("excluded", none)
         )
-    kept = marked.select("log_id", kept_lines(F.col("raw_content"), F.col("excluded")).alias("lines"))
+    lines = marked.select("log_id", F.split("raw_content", "\n").alias("all"), "excluded")
+    kept = lines.select("log_id", kept_lines(F.col("all"), F.col("excluded")).alias("lines"))
     counted = kept.withColumn("counts", F.transform("lines", tokens_in))
     packed = counted.select("log_id", "lines", spans_of(F.col("counts"), limit, overlap).alias("spans"))
-    return packed.select("log_id", "lines", F.posexplode("spans").alias("n", "span")).select(
+
+    def cut(span: Column) -> Column:
+        text = F.array_join(F.slice("lines", span["first"], span["last"] - span["first"] + 1), "\n")
+        return F.struct(span["first"].alias("first"), span["last"].alias("last"), text.alias("chunk"))
+
+    # texts are cut before rows are made, so no row carries the whole log
+    return packed.select("log_id", F.posexplode(F.transform("spans", cut)).alias("n", "part")).select(
         "log_id",
         (F.col("n") + 1).cast("bigint").alias("chunk_id"),
-        F.col("span.first").cast("bigint").alias("first_line"),
-        F.col("span.last").cast("bigint").alias("last_line"),
-        F.array_join(
-            F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1), "\n"
-        ).alias("chunk"),
+        F.col("part.first").cast("bigint").alias("first_line"),
+        F.col("part.last").cast("bigint").alias("last_line"),
+        "part.chunk",
     )
 
 

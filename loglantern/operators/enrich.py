@@ -141,9 +141,15 @@ def error_details(near: DataFrame) -> Column:
 
 
 def fix_prompts(
-    chosen: DataFrame, entry_rows: DataFrame, summary: DataFrame, stage_rows: DataFrame
+    entry_rows: DataFrame, summary: DataFrame, stage_rows: DataFrame, per_log: int = fx.FIX_PER_LOG
 ) -> DataFrame:
-    near = neighbours(entry_rows).select("log_id", "line_number", "near")
+    """Prompts for the first errors of each log.
+
+    The errors shown near an error come first among its neighbours, so those of the first
+    ``per_log`` are among the first few of the log, and no others are looked at.
+    """
+    few = candidates(entry_rows, per_log + fx.NEIGHBOURS_SHOWN - 1)
+    near = neighbours(few, carry=("level", "position")).filter(F.col("position") <= per_log)
     prompt = fill(
         pt.FIX_PROMPT,
         {
@@ -157,8 +163,7 @@ def fix_prompts(
         },
     )
     return (
-        chosen.join(near, ["log_id", "line_number"])
-        .join(summary, "log_id")
+        near.join(summary, "log_id")
         .join(stage_context(stage_rows), "log_id", "left")
         .select("log_id", "line_number", prompt.alias("prompt"))
     )
@@ -318,6 +323,50 @@ def fallback_fixes(chosen: DataFrame) -> DataFrame:
     )
 
 
+SUMMARY_FIELDS = ("main_issue", "key_points", "impact", "confidence")
+
+
+def enriched_logs(
+    summary: DataFrame, rules: DataFrame, answers: DataFrame, memo_rows: DataFrame, type_name: str = "summaries"
+) -> DataFrame:
+    """One record per log: the stored result if the memo has one, else the model's answer, else the rules'.
+
+    ``summary`` has the parsed fields, ``log_id`` and ``key`` (the memo's key of the log's
+    text); ``rules`` and ``answers`` have ``log_id`` and the summary fields, ``answers`` one
+    row per log at most; ``memo_rows`` are live entries ``cache_type, key, value``, the value
+    being the summary fields as JSON.
+    """
+    kinds = {name: rules.schema[name].dataType.simpleString() for name in SUMMARY_FIELDS}
+    shape = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    stored = memo_rows.filter(F.col("cache_type") == type_name).select("key", F.from_json("value", shape).alias("memo"))
+    told = F.struct(*SUMMARY_FIELDS)
+    met = (
+        summary.join(stored, "key", "left")
+        .join(answers.select("log_id", told.alias("answer")), "log_id", "left")
+        .join(rules.select("log_id", told.alias("rule")), "log_id", "left")
+    )
+    source = F.when(F.col("memo").isNotNull(), "memo").when(F.col("answer").isNotNull(), "answer").otherwise("rule")
+    chosen = F.coalesce("memo", "answer", "rule")
+    return met.select(
+        *[c for c in summary.columns if c != "key"],
+        "key",
+        source.alias("source"),
+        *[chosen[name].alias(name) for name in SUMMARY_FIELDS],
+    )
+
+
+def to_store(records: DataFrame, written_at: Column, type_name: str = "summaries") -> DataFrame:
+    """What a run adds to the memo: the records that did not come from it."""
+    fresh = records.filter(F.col("source") != "memo")
+    return fresh.select(
+        F.lit(type_name).alias("cache_type"),
+        "key",
+        written_at.alias("written_at"),
+        F.xxhash64("key").alias("write_id"),
+        F.to_json(F.struct(*SUMMARY_FIELDS)).alias("value"),
+    )
+
+
 def listed(rows: DataFrame, columns, separator: str = " | ") -> DataFrame:
     """Lists as text, for flat outputs."""
     return rows.select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +13,6 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("model", "label", "prediction").agg(F.count("*").alias("rows"))
 
 
-def confusion_matrix(predictions: DataFrame, classes: Sequence) -> DataFrame:
-    return (
-        predictions.groupBy("model", "label")
-        .pivot("prediction", list(classes))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-        .select("model", "label", *[F.col(f"`{c}`").alias(f"predicted_{c}") for c in classes])
-    )
-
-
 def _or_zero(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 

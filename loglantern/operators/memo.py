@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
-from loglantern.operators.ordered import join_one_per_key
 
 SUFFIXES = {"summaries": "", "explanations": "_explain", "fixes": "_fix"}
 
@@ -62,9 +61,8 @@ def lookup(
     """Each request with its hit flag and, on a hit, the stored value."""
     live = current(entries).filter(is_live(now, ttl)).select("cache_type", "key", "value")
     return (
-        join_one_per_key(
-            _asked(requests), live.withColumn("found", F.lit(True)), ["cache_type", "key"], "request_id"
-        )
+        _asked(requests)
+        .join(live.withColumn("found", F.lit(True)), ["cache_type", "key"], "left")
         .select(
             "request_id",
             "cache_type",
@@ -89,6 +87,16 @@ def store(results: DataFrame, path: str) -> None:
     results.write.mode("append").partitionBy("cache_type").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All entries stored under a path, as ``store`` wrote them."""
+    return spark.read.parquet(path)
+
+
+def rewrite(entries: DataFrame, path: str) -> None:
+    """Writes what is left of a memo to a new folder; the old one is the caller's to drop."""
+    entries.write.mode("errorifexists").partitionBy("cache_type").parquet(path)
+
+
 def clear(entries: DataFrame, cache_type: str | None = None) -> DataFrame:
     """What is left after clearing one type, or all."""
     return entries.filter(F.lit(False) if cache_type is None else F.col("cache_type") != cache_type)

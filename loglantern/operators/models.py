@@ -44,6 +44,13 @@ def empty_vector(size: int = fx.VOCABULARY_SIZE):
     return array_to_vector(F.array_repeat(F.lit(0.0), size))
 
 
+def platform_flags(platforms: Sequence[str]) -> list:
+    return [
+        F.coalesce(F.col("platform") == p, F.lit(False)).cast("int").alias(f"platform_{p.replace('-', '_')}")
+        for p in platforms
+    ]
+
+
 def labelled_features(
     texts: DataFrame, clean: DataFrame, vocabulary: DataFrame, by: str, platforms: Sequence[str]
 ) -> DataFrame:
@@ -56,20 +63,20 @@ def labelled_features(
     train = texts.filter(F.col("split") == "train")
     codes = profile.label_codes(texts, by)
     weights = profile.class_weights(train, by).select(by, F.col("weight").alias(WEIGHT))
-    flags = [(F.col("platform") == p).cast("int").alias(f"platform_{p.replace('-', '_')}") for p in platforms]
     return (
         texts.join(vectors, "log_id", "left")
-        .join(F.broadcast(codes), by)
-        .join(F.broadcast(weights), by)
+        .join(codes, by, "left")
+        .join(weights, by, "left")
         .select(
             "log_id",
             "split",
             by,
-            F.col("label").cast("double").alias(LABEL),
-            WEIGHT,
+            # a class that train has not keeps its rows: no code stands for it
+            F.coalesce("label", F.lit(-1)).cast("double").alias(LABEL),
+            F.coalesce(WEIGHT, F.lit(1.0)).alias(WEIGHT),
             F.coalesce(TEXT_VECTOR, empty_vector()).alias(TEXT_VECTOR),
             *features.structural_features(F.col("text")),
-            *flags,
+            *platform_flags(platforms),
         )
     )
 
@@ -144,7 +151,7 @@ def predict(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
 def named_predictions(predictions: DataFrame, codes: DataFrame, by: str) -> DataFrame:
     """Predicted class by name."""
     names = codes.select(F.col("label").alias("prediction"), F.col(by).alias("predicted_category"))
-    return predictions.join(F.broadcast(names), "prediction")
+    return predictions.join(names, "prediction", "left")
 
 
 def top_features(
@@ -164,13 +171,41 @@ def top_features(
     return scores.join(names, "at").orderBy(F.desc("importance"), "feature").limit(n).drop("at")
 
 
-def save(model: PipelineModel, vocabulary: DataFrame, facts: dict, path: str) -> None:
-    """The model, the vocabulary it was fitted with and one row that describes it."""
+def save(model: PipelineModel, vocabulary: DataFrame, facts: dict, path: str, codes: DataFrame | None = None) -> None:
+    """The model, its vocabulary and class codes, and one row that describes it."""
     spark = vocabulary.sparkSession
     model.write().overwrite().save(f"{path}/model")
     vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    if codes is not None:
+        codes.write.mode("overwrite").parquet(f"{path}/codes")
     spark.createDataFrame([facts]).write.mode("overwrite").json(f"{path}/facts")
 
 
 def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
+
+
+def load_codes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/codes")
+
+
+def classify(
+    model: PipelineModel, vocabulary: DataFrame, codes: DataFrame, by: str, logs: DataFrame, platforms: Sequence[str]
+) -> DataFrame:
+    """Category and confidence of logs nobody has labelled (``log_id, platform, text``)."""
+    clean = logs.select("log_id", features.normalise(F.col("text")).alias("clean"))
+    vectors = text_vectors(features.tfidf(clean, vocabulary), term_index(vocabulary))
+    rows = (
+        logs.select("log_id", *features.structural_features(F.col("text")), *platform_flags(platforms))
+        .join(vectors, "log_id", "left")
+        .withColumns(
+            {
+                TEXT_VECTOR: F.coalesce(TEXT_VECTOR, empty_vector()),
+                LABEL: F.lit(-1.0),
+                WEIGHT: F.lit(1.0),
+                "split": F.lit("new"),
+            }
+        )
+    )
+    named = named_predictions(predict(model, rows, "saved"), codes, by)
+    return named.select("log_id", "predicted_category", "confidence")

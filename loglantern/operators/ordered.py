@@ -1,13 +1,10 @@
 """Order-dependent steps over the lines of a log, safe for a log of any length.
 
-Lines are ordered within a log by windows.  Where some log is too long for one
-window partition, the table of lines carries a ``slice`` column: null for logs
-that fit, else 1, 2, ... for runs of consecutive lines, so that no window ever holds
-a whole long log.  What one slice must know of the earlier ones (how many lines,
-which stage is open) travels in a table with one row per slice of a long log, at most
-``2 * rows / slice_rows`` rows whatever the data.  It is joined on the keys the lines
-are already partitioned and sorted by, so the lines are not shuffled for it.  Where no
-log is that long there is no such column and the plan is one shuffle by log.
+Every line carries a ``slice``: 0, 1, ... for runs of ``SLICE_ROWS`` consecutive lines of
+its log.  Windows run per (log, slice), so none ever holds a whole long log.  What a slice
+must know of the earlier ones (which stage is open) travels in a table with one row per
+slice, joined on the keys the lines are already partitioned by.  The plan is the same
+whatever the size of the logs, and nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -20,6 +17,11 @@ from pyspark.sql import types as T
 
 SLICE_ROWS = 250_000
 
+#: Stretch of time whose lines are counted together before lines are numbered.
+CHUNK_SECONDS = 3600
+#: The stretch of lines without a time, before all others.
+FIRST_CHUNK = -(1 << 62)
+
 
 def _seconds(rows: DataFrame, at: str) -> Column:
     """A whole number that never falls as ``at`` grows, whatever the session's time zone."""
@@ -38,57 +40,36 @@ def number_rows(
     tie: str,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add ``line_number`` (1-based by ``at``, ``tie`` within ``key``) and ``log_rows``.
+    """Add ``line_number`` (1-based by ``at``, ``tie`` within ``key``), ``log_rows`` and ``slice``.
 
-    One small job asks first whether any log has more than ``slice_rows`` rows.  If so,
-    such logs are sliced by time: each slice covers an equal stretch that holds
-    ``slice_rows`` rows on average.
+    Lines are counted per log and stretch of time; sums of these counts number the first
+    line of each stretch, a window within the stretch the others.  Lines without a time
+    come first.
     """
-    second = _seconds(rows, at)
-    span = F.col("to_") - F.col("from_") + 1
-    long_logs = (
-        rows.groupBy(key)
-        .agg(
-            F.count("*").alias("long_rows_"), F.min(second).alias("from_"), F.max(second).alias("to_")
-        )
-        .filter(F.col("long_rows_") > slice_rows)
-    )
-    if long_logs.isEmpty():
-        whole = Window.partitionBy(key)
-        return rows.select(
-            "*",
-            F.row_number().over(whole.orderBy(at, tie)).cast("bigint").alias("line_number"),
-            F.count(F.lit(1)).over(whole).alias("log_rows"),
-        )
-
-    width = F.ceil(span * F.lit(float(slice_rows)) / F.col("long_rows_"))
-    # at most rows / slice_rows logs: small enough to broadcast
-    long_logs = long_logs.select(key, "long_rows_", "from_", width.alias("width_"))
-    step = F.floor((second - F.col("from_")) / F.col("width_")) + 1
-    sliced = rows.join(F.broadcast(long_logs), key, "left").withColumn("slice", step)
-
-    per_slice = (
-        sliced.filter(F.col("slice").isNotNull()).groupBy(key, "slice").agg(F.count("*").alias("n_"))
+    chunk = F.floor(_seconds(rows, at) / CHUNK_SECONDS)
+    cut = rows.withColumn("chunk_", F.coalesce(chunk, F.lit(FIRST_CHUNK)))
+    counts = cut.groupBy(key, "chunk_").agg(F.count("*").alias("n_"))
+    whole = Window.partitionBy(key)
+    earlier = whole.orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        key,
+        "chunk_",
+        F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"),
+        F.sum("n_").over(whole).alias("log_rows"),
     )
-    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_slice.select(
-        key, "slice", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_")
+    spot = F.row_number().over(Window.partitionBy(key, "chunk_").orderBy(at, tie))
+    numbered = cut.join(starts, [key, "chunk_"]).withColumn(
+        "line_number", (F.col("before_") + spot).cast("bigint")
     )
-
-    part = Window.partitionBy(key, "slice")
-    numbered = sliced.withColumn(
-        "in_slice_", F.row_number().over(part.orderBy(at, tie)).cast("bigint")
-    ).withColumn("log_rows", F.coalesce("long_rows_", F.count(F.lit(1)).over(part)))
-    return (
-        numbered.join(starts, [key, "slice"], "left")
-        .withColumn("line_number", F.col("in_slice_") + F.coalesce("before_", F.lit(0)))
-        .drop("in_slice_", "before_", "long_rows_", "from_", "width_")
+    return numbered.select(
+        *rows.columns,
+        "line_number",
+        "log_rows",
+        F.floor((F.col("line_number") - 1) / slice_rows).cast("bigint").alias("slice"),
     )
 
 
-def line_keys(lines: DataFrame) -> list[str]:
-    """What a window over consecutive lines is partitioned by."""
-    return ["log_id", "slice"] if "slice" in lines.columns else ["log_id"]
+LINE_KEYS = ["log_id", "slice"]
 
 
 def log_context(
@@ -109,18 +90,14 @@ def log_context(
         *[value.alias(f"{n}_now") for n, value in (latest | earliest).items()],
         *[F.coalesce(flag, F.lit(False)).alias(f"{n}_now") for n, flag in anywhere.items()],
     )
-    part = Window.partitionBy(*line_keys(lines))
+    part = Window.partitionBy(*LINE_KEYS)
     so_far = part.orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = {n: F.last(f"{n}_now", ignorenulls=True).over(so_far) for n in latest}
     here |= {n: F.max(f"{n}_now").over(part) for n in anywhere}
     all_lines = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here |= {n: F.first(f"{n}_now", ignorenulls=True).over(all_lines) for n in earliest}
-    if "slice" not in lines.columns:
-        return marked.select(*lines.columns, *[value.alias(n) for n, value in here.items()])
-
     per_slice = (
-        marked.filter(F.col("slice").isNotNull())
-        .groupBy("log_id", "slice")
+        marked.groupBy(*LINE_KEYS)
         .agg(
             *[
                 pick(
@@ -196,48 +173,3 @@ def rank_by_hash(
         .withColumn("position", (F.col("spot_") + F.col("before_")).cast("bigint"))
         .drop("digest_", "bucket_", "spot_", "before_")
     )
-
-
-HOT_ROWS = 1_000_000
-
-
-def join_one_per_key(
-    rows: DataFrame,
-    one_per_key: DataFrame,
-    keys: Sequence[str],
-    row_id: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join many rows to at most one row per key, also where one key holds most of the rows.
-
-    One small job asks first whether there is a key with more than ``hot_rows`` rows.
-    The rows of a hot key are spread over as many salts as it takes to leave about
-    ``hot_rows`` on each, and its one row is repeated per salt.  There are at most
-    ``rows / hot_rows`` hot keys, so their list is broadcast.
-    """
-    keys = list(keys)
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n_"))
-        .filter(F.col("n_") > hot_rows)
-        .select(*keys, F.ceil(F.col("n_") / hot_rows).alias("salts_"))
-    )
-    if hot.isEmpty():
-        return rows.join(one_per_key, keys, how)
-    salted = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "salt_", F.when(F.col("salts_").isNotNull(), F.pmod(F.xxhash64(row_id), "salts_")).otherwise(0)
-        )
-        .drop("salts_")
-    )
-    every_salt = F.when(
-        F.col("salts_").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("salts_") - 1)
-    ).otherwise(F.array(F.lit(0).cast("bigint")))
-    repeated = (
-        one_per_key.join(F.broadcast(hot), keys, "left")
-        .withColumn("salt_", F.explode(every_salt))
-        .drop("salts_")
-    )
-    return salted.join(repeated, [*keys, "salt_"], how).drop("salt_")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loglantern import fixed_values as fx
 from loglantern.functions import line_rules as lr
 from loglantern.functions.text import clean_line, contains_any, first_match, strip
-from loglantern.operators.ordered import first_rows, line_keys, log_context
+from loglantern.operators.ordered import LINE_KEYS, first_rows, log_context
 from loglantern.rules import PLATFORM_RULES, UNKNOWN_PLATFORM, PlatformRules
 
 LINE = "raw_line"
@@ -147,7 +147,7 @@ def read_lines(lines: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
 def entries(facts: DataFrame) -> DataFrame:
     """Error and warning lines only."""
     return facts.filter(F.col("kind").isNotNull()).select(
-        *line_keys(facts), "line_number", "kind", "level", "context", "message", "raw_line"
+        *LINE_KEYS, "line_number", "kind", "level", "context", "message", "raw_line"
     )
 
 
@@ -373,7 +373,12 @@ def stage_context(stage_rows: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(entry_rows: DataFrame, within: int = fx.NEIGHBOUR_LINES, shown: int = fx.NEIGHBOURS_SHOWN) -> DataFrame:
+def neighbours(
+    entry_rows: DataFrame,
+    within: int = fx.NEIGHBOUR_LINES,
+    shown: int = fx.NEIGHBOURS_SHOWN,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Errors near each error: the first ``shown`` of those within some lines, itself left out.
 
     Lines are cut into blocks and the few errors near a block's edge are copied into
@@ -382,7 +387,7 @@ def neighbours(entry_rows: DataFrame, within: int = fx.NEIGHBOUR_LINES, shown: i
     block = 50 * within
     at = F.col("line_number")
     errors = entry_rows.filter(F.col("kind") == "error").select(
-        "log_id", "line_number", "message"
+        "log_id", "line_number", "message", *carry
     )
     home = F.floor(at / block)
     spread = errors.withColumn(
@@ -398,6 +403,7 @@ def neighbours(entry_rows: DataFrame, within: int = fx.NEIGHBOUR_LINES, shown: i
         "log_id",
         "line_number",
         "message",
+        *carry,
         "block",
         F.collect_list(
             F.struct(at.alias("near_line"), F.substring("message", 1, 80).alias("near_message"))
@@ -409,4 +415,4 @@ def neighbours(entry_rows: DataFrame, within: int = fx.NEIGHBOUR_LINES, shown: i
     others = F.filter(
         F.slice("around", 1, shown), lambda e: e["near_line"] != F.col("line_number")
     )
-    return seen.select("log_id", "line_number", "message", others.alias("near"))
+    return seen.select("log_id", "line_number", "message", *carry, others.alias("near"))

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
-from loglantern.operators.ordered import join_one_per_key, rank_by_hash
+from loglantern.operators.ordered import rank_by_hash
 
 
 def attach_text(metadata: DataFrame, files: DataFrame, keep_missing: bool = True) -> DataFrame:
     """Metadata with log text by path; a missing file reads as ``""`` or is left out."""
     how = "left" if keep_missing else "inner"
-    joined = join_one_per_key(metadata, files, ["file_path"], "log_id", how)
+    joined = metadata.join(files, "file_path", how)
     return joined.withColumn("text", F.coalesce("text", F.lit("")))
 
 
@@ -47,13 +47,16 @@ def corpus_statistics(metadata: DataFrame) -> DataFrame:
     )
 
 
-def crosstab(metadata: DataFrame, platforms: Sequence[str] = fx.PLATFORMS[:3]) -> DataFrame:
-    return (
-        metadata.groupBy("error_category")
-        .pivot("platform", list(platforms))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-        .select("error_category", *[F.col(f"`{p}`").alias(p.replace("-", "_")) for p in platforms])
+def crosstab(metadata: DataFrame) -> DataFrame:
+    """Logs per category and platform, in rows; combinations that do not occur count 0."""
+    counts = metadata.groupBy("error_category", "platform").agg(F.count("*").alias("logs"))
+    # both lists are short: one row per category, one per platform
+    cells = counts.select("error_category").distinct().join(
+        counts.agg(F.collect_set("platform").alias("platforms"))
+    )
+    grid = cells.select("error_category", F.explode("platforms").alias("platform"))
+    return grid.join(counts, ["error_category", "platform"], "left").select(
+        "error_category", "platform", F.coalesce("logs", F.lit(0)).cast("bigint").alias("logs")
     )
 
 
@@ -183,15 +186,26 @@ def encode_labels(split: DataFrame, by: str = "error_category") -> DataFrame:
     return split.join(F.broadcast(label_codes(split, by)), by, "left")
 
 
-def platform_one_hot(split: DataFrame, platforms: Sequence[str] = fx.PLATFORMS[:3]) -> DataFrame:
-    return split.select(
-        "log_id",
-        "split",
-        *[
-            (F.col("platform") == p).cast("bigint").alias("platform_" + p.replace("-", "_"))
-            for p in platforms
-        ],
+def seen_platforms(split: DataFrame) -> DataFrame:
+    """One row: the platforms of the train rows, in order, as ``platforms``."""
+    train = split.filter((F.col("split") == "train") & F.col("platform").isNotNull())
+    return train.agg(F.sort_array(F.collect_set("platform")).alias("platforms"))
+
+
+def one_hot(platform: Column, platforms: Column) -> Column:
+    """1 at the platform's place; one place more stands for platforms that train has not."""
+    place = F.coalesce(F.array_position(platforms, platform), F.lit(0))
+    own = F.transform(platforms, lambda _, at: (at + 1 == place).cast("bigint"))
+    return F.concat(own, F.array((place == 0).cast("bigint")))
+
+
+def platform_one_hot(split: DataFrame) -> DataFrame:
+    """The one-hot code of each row, a row per fitted platform and one for the rest."""
+    names = F.concat(F.transform("platforms", lambda p: F.concat(F.lit("platform_"), p)), F.array(F.lit("platform_other")))
+    coded = split.join(F.broadcast(seen_platforms(split))).select(
+        "log_id", "split", F.inline(F.arrays_zip(names.alias("feature"), one_hot(F.col("platform"), F.col("platforms")).alias("value")))
     )
+    return coded.toDF("log_id", "split", "feature", "value")
 
 
 def class_weights(rows: DataFrame, by: str = "error_category") -> DataFrame:
@@ -204,7 +218,7 @@ def class_weights(rows: DataFrame, by: str = "error_category") -> DataFrame:
 
 def weighted(rows: DataFrame, by: str = "error_category") -> DataFrame:
     weights = class_weights(rows, by).select(by, "weight")
-    return rows.join(F.broadcast(weights), by)
+    return rows.join(weights, by, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def feature_means(features: DataFrame, names: Sequence[str], by: str = "error_category") -> DataFrame:

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
 from loglantern.functions.line_rules import effective_status
-from loglantern.operators.ordered import line_keys
 from loglantern.operators.parse import first_entries
 
-PAGE_LINES = 1_000_000
 
 
 def _or(value: str, other: str) -> Column:
@@ -117,18 +115,14 @@ def verdicts(counts: DataFrame) -> DataFrame:
 def verdict_stages(counts: DataFrame, stage_rows: DataFrame) -> DataFrame:
     """The failed stages a verdict with errors names, in one text per log.
 
-    A log of more than a million lines has one text per million lines, so none grows
-    without bound.
+    A log has as many entries here as it names different stages.
     """
-    failed = stage_rows.filter(F.col("status") == "FAILED").withColumn(
-        "page", F.floor((F.col("stage_order") - 1) / PAGE_LINES)
-    )
-    names = failed.groupBy("log_id", "page").agg(
+    names = stage_rows.filter(F.col("status") == "FAILED").groupBy("log_id").agg(
         F.sort_array(F.collect_list(F.struct("stage_order", "stage"))).alias("items")
     )
     text = F.array_join(F.transform("items", lambda i: i["stage"]), ", ")
     return names.join(counts.filter(F.col("error_count") > 0).select("log_id"), "log_id", "left_semi").select(
-        "log_id", "page", F.concat(F.lit("Failed stages: "), text).alias("failed_stages")
+        "log_id", F.concat(F.lit("Failed stages: "), text).alias("failed_stages")
     )
 
 
@@ -193,12 +187,12 @@ def parsed_json(summary: DataFrame, stage_rows: DataFrame, entry_rows: DataFrame
 
 
 def nested_entries(entry_rows: DataFrame) -> DataFrame:
-    """Entry lists per log; a log too long for one window has a row per slice of its lines."""
+    """Entry lists, one row per log: the nested form, which holds a whole log's entries as one value."""
     items = F.struct("line_number", "level", "message", "raw_line")
 
     def ordered(kind: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, items)))
 
-    return entry_rows.groupBy(*line_keys(entry_rows)).agg(
+    return entry_rows.groupBy("log_id").agg(
         ordered("error").alias("errors"), ordered("warning").alias("warnings")
     )

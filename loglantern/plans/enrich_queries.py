@@ -208,8 +208,7 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_number
 """, f"""SELECT log_id, line_number, {_FIX_PROMPT} AS prompt
   FROM chosen n JOIN summary s USING (log_id) LEFT JOIN context c USING (log_id) WHERE position <= 3"""))
 def _(logs):
-    chosen = enrich.candidates(logs.entries, fx.FIX_PER_LOG)
-    return enrich.fix_prompts(chosen, logs.entries, logs.named_counts, logs.stages)
+    return enrich.fix_prompts(logs.entries, logs.named_counts, logs.stages)
 
 
 _RANKING_PROMPT = _filled(
@@ -361,7 +360,7 @@ _KEY_POINTS = f"""list_filter(list_transform(list_filter(list_transform(
   FROM (SELECT a.*, coalesce(s.status, 'UNKNOWN') AS log_status, coalesce(error_count, 0) AS error_count
     FROM answers a LEFT JOIN summary s USING (log_id))"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.texts_table("conversations"), "summary")
+    stored = corpus.stored_answers(logs.table("conversations"), "summary")
     told = stored.join(logs.counts.select("log_id", "status", "error_count"), "log_id", "left").select(
         "answer_id",
         "answer",
@@ -378,7 +377,7 @@ def _(logs):
   {_or_default(_items("RELATED ERRORS", True), ())} AS related_errors, {_confidence(80)} AS confidence
   FROM answers"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.texts_table("conversations"), "explanation")
+    stored = corpus.stored_answers(logs.table("conversations"), "explanation")
     return enrich.listed(answers.structure_explanations(stored), ["common_scenarios", "related_errors"])
 
 
@@ -393,6 +392,11 @@ def _changes(group: int) -> str:
       lambda x: {trim("x")})"""
 
 
+# of several changes to a file the last stands
+_LAST_CHANGES = f"""list_filter(list_zip({_changes(1)}, {_changes(2)}, generate_series(1, len({_changes(1)}))),
+    lambda x: NOT list_contains(({_changes(1)})[x[3] + 1:], x[1]))"""
+
+
 @query("answer_fix", sql(_answers("fix") + f""",
 split AS (SELECT *, {_FIX_LINES} AS l FROM answers),
 begun AS (SELECT *, list_position(list_transform(l, lambda x: {_IS_TEXT}), true) AS b FROM split),
@@ -403,37 +407,37 @@ paragraph AS (SELECT *, array_to_string(list_transform(list_filter(
   FROM ended)""", f"""SELECT answer_id,
   coalesce({trim(_wide("DIAGNOSIS"))}, nullif(p, ''), {q(pt.DEFAULT_DIAGNOSIS)}) AS diagnosis,
   {trim(extract("answer", "(?is)" + answers.QUICK_FIX))} AS quick_fix,
-  coalesce(array_to_string(list_sort(list_transform(list_zip({_changes(1)}, {_changes(2)}),
-    lambda x: concat(x[1], '=', x[2]))), ' | '), '') AS all_changes,
+  coalesce(array_to_string(list_sort(list_transform({_LAST_CHANGES}, lambda x: concat(x[1], '=', x[2]))), ' | '), '')
+    AS code_changes,
   {_or_default(_items("PREVENTION.*?", False), ())} AS prevention_tips,
   coalesce({_text_section("VERIFICATION")}, {q(pt.DEFAULT_VERIFICATION)}) AS verification,
   {_confidence(75)} AS confidence FROM paragraph"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.texts_table("conversations"), "fix")
+    stored = corpus.stored_answers(logs.table("conversations"), "fix")
     fixes = answers.structure_fixes(stored)
-    # what the last change to a file replaced is not in the map: add it back to compare whole lists
-    replaced = F.when(F.map_contains_key("code_changes", "b.py"), F.array(F.lit("b.py=y = 1"))).otherwise(
-        F.array().cast("array<string>")
-    )
-    kept = F.transform(
-        F.map_entries("code_changes"), lambda c: F.concat(c["key"], F.lit("="), c["value"])
-    )
+    kept = F.transform(F.map_entries("code_changes"), lambda c: F.concat(c["key"], F.lit("="), c["value"]))
     return enrich.listed(
-        fixes.withColumn("all_changes", F.array_join(F.sort_array(F.concat(kept, replaced)), " | ")).drop(
-            "detailed_steps", "code_changes"
-        ),
-        ["prevention_tips"],
+        fixes.drop("detailed_steps").withColumn("code_changes", F.sort_array(kept)), ["prevention_tips", "code_changes"]
     )
 
 
-@query("answer_fix_steps")
+# a step begins at a numbered line and ends before the next one or before a line of code
+_STEPS_SECTION = _wide("DETAILED STEPS", answers.MANY_LINES_TO_TITLE)
+_STEP_START = "\\n[0-9]+\\." + answers.BLANK + "+"
+_STEPS_CUT = f"""string_split(regexp_replace(concat(chr(10), {_STEPS_SECTION}), {q(_STEP_START)}, chr(1), 'g'), chr(1))[2:]"""
+_STEPS = f"""list_transform({_STEPS_CUT}, lambda x: regexp_replace({trim("regexp_replace(x, '(?s)\\n```.*$', '')")},
+  {q(answers.CODE_BLOCK)}, '[See code block]', 'g'))"""
+
+
+@query("answer_fix_steps", sql(_answers("fix"), f"""SELECT answer_id, CAST(len(steps) AS BIGINT) AS steps,
+  array_to_string(steps, ' | ') AS detailed_steps FROM (SELECT answer_id, CASE WHEN len({_STEPS}) > 0 THEN {_STEPS}
+    ELSE [{", ".join(q(x) for x in pt.DEFAULT_STEPS)}] END AS steps FROM answers)"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.texts_table("conversations"), "fix")
+    stored = corpus.stored_answers(logs.table("conversations"), "fix")
     return answers.structure_fixes(stored).select(
         "answer_id",
         F.size("detailed_steps").cast("bigint").alias("steps"),
         F.array_join("detailed_steps", " | ").alias("detailed_steps"),
-        F.size("code_changes").cast("bigint").alias("files"),
     )
 
 
@@ -441,7 +445,7 @@ def _(logs):
   {_or_default(_items("COMMON SCENARIOS", True) + "[:3]", pt.DEFAULT_SCENARIOS)} AS common_scenarios
   FROM answers"""))
 def _(logs):
-    stored = corpus.stored_answers(logs.texts_table("conversations"), "explanation")
+    stored = corpus.stored_answers(logs.table("conversations"), "explanation")
     shown = answers.display_lists(answers.structure_explanations(stored), {"common_scenarios": 3})
     return enrich.listed(shown.select("answer_id", "common_scenarios"), ["common_scenarios"])
 
@@ -543,13 +547,13 @@ def _(logs):
 
 _TYPE = "CASE event_id % 3 WHEN 0 THEN 'summaries' WHEN 1 THEN 'explanations' ELSE 'fixes' END"
 MEMO = f"""
-entries AS (SELECT {_TYPE} AS cache_type, sha256(concat('u', user_id, '-', event_id % 10)) AS key,
-  ts AS written_at, event_id, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_type = 'purchase'),
+stored_entries AS (SELECT {_TYPE} AS cache_type, sha256(concat('u', user_id, '-', event_id % 10)) AS key,
+  ts AS written_at, event_id, CAST(event_id AS VARCHAR) AS value FROM events WHERE coalesce(event_type IN ('purchase', 'signup'), false)),
 current AS (SELECT cache_type, key, written_at, value,
-    written_at >= TIMESTAMP '2024-01-24 00:00:00' AS live FROM entries
+    written_at >= TIMESTAMP '2024-01-24 00:00:00' AS live FROM stored_entries
   QUALIFY row_number() OVER (PARTITION BY cache_type, key ORDER BY written_at DESC, event_id DESC) = 1),
 requests AS (SELECT event_id AS request_id, {_TYPE} AS cache_type,
-  sha256(concat('u', user_id, '-', event_id % 10)) AS key FROM events WHERE event_type = 'view'),
+  sha256(concat('u', user_id, '-', event_id % 10)) AS key FROM events WHERE NOT coalesce(event_type IN ('purchase', 'signup'), false)),
 looked AS (SELECT request_id, r.cache_type, r.key, CAST(c.key IS NOT NULL AS BIGINT) AS hit, c.value
   FROM requests r LEFT JOIN (SELECT * FROM current WHERE live) c USING (cache_type, key))
 """
@@ -609,3 +613,51 @@ def _(logs):
   JOIN (SELECT cache_type, count(*) AS entries FROM current GROUP BY cache_type) USING (cache_type)"""))
 def _(logs):
     return memo.statistics(*_memo(logs), NOW)
+
+
+# --- enrichment end to end -------------------------------------------------------------
+
+# a log's text is known to the memo by a short name; its stored value is a write's number
+_ENRICHED = SUMMARY + ", " + MEMO + ", " + _answers("summary") + """,
+turns AS (SELECT conv_id AS log_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+last_answers AS (SELECT a.* FROM answers a JOIN turns t ON a.answer_id = concat(t.log_id, '-', t.turn)),
+stored AS (SELECT key, value FROM current WHERE live AND cache_type = 'summaries')
+"""
+
+
+@query("enriched_logs", sql(_ENRICHED, f"""SELECT log_id, platform, status, error_count,
+  CASE WHEN m.key IS NOT NULL THEN 'memo' WHEN a.answer IS NOT NULL THEN 'answer' ELSE 'rule' END AS source,
+  CASE WHEN m.key IS NOT NULL THEN concat('stored ', m.value)
+    WHEN a.answer IS NOT NULL THEN coalesce({_line("MAIN ISSUE")}, CASE WHEN error_count > 0 THEN
+      concat('Build failed with ', error_count, ' errors') ELSE 'Build completed' END)
+    WHEN error_count > 0 THEN concat('Build failed with ', error_count, ' error(s) and ', warning_count, ' warning(s)')
+    WHEN warning_count > 0 THEN concat('Build completed with ', warning_count, ' warning(s)')
+    ELSE 'Build completed successfully' END AS main_issue,
+  CASE WHEN m.key IS NOT NULL THEN 'Low' WHEN a.answer IS NOT NULL THEN coalesce({_line("IMPACT")}, {_IMPACT})
+    ELSE {_IMPACT} END AS impact,
+  CASE WHEN m.key IS NOT NULL THEN 90 WHEN a.answer IS NOT NULL THEN {_confidence(75)}
+    ELSE {pt.FALLBACK_SUMMARY_CONFIDENCE} END AS confidence
+  FROM summary LEFT JOIN stored m ON m.key = sha256(concat('u', log_id, '-0'))
+  LEFT JOIN last_answers a USING (log_id)"""))
+def _(logs):
+    key = memo.content_key(F.concat(F.lit("u"), F.col("log_id"), F.lit("-0")))
+    summary = logs.counts.withColumn("key", key)
+    value = F.to_json(
+        F.struct(
+            F.concat(F.lit("stored "), "value").alias("main_issue"),
+            F.array(F.lit("as stored")).alias("key_points"),
+            F.lit("Low").alias("impact"),
+            F.lit(90).alias("confidence"),
+        )
+    )
+    live = memo.cleanup(_memo(logs)[1], NOW).withColumn("value", value)
+    turns = logs.table("conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    stored = corpus.stored_answers(turns.join(last, ["conv_id", "turn"]), "summary")
+    told = stored.join(logs.counts.select("log_id", "status", "error_count"), "log_id").select(
+        F.col("log_id").alias("answer_id"), "answer", F.col("status").alias("log_status"), "error_count"
+    )
+    structured = answers.structure_summaries(told).withColumnRenamed("answer_id", "log_id")
+    rules = enrich.fallback_summaries(logs.counts, logs.entries)
+    records = enrich.enriched_logs(summary, rules, structured, live)
+    return records.select("log_id", "platform", "status", "error_count", "source", "main_issue", "impact", "confidence")

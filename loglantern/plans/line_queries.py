@@ -169,9 +169,19 @@ _SUMMARY_COLUMNS = """log_id, platform, job_name, build_number, status, duration
   total_lines, stage_count, failed_stage_count, error_count, warning_count, retry_count, critical_count"""
 
 
-@query("log_summary", sql(SUMMARY, f"SELECT {_SUMMARY_COLUMNS} FROM summary"))
+# what the caller tells of a build, for logs of a known platform
+_TOLD = """CASE WHEN platform <> 'unknown' THEN concat('https://builds.example/', log_id) END AS build_url,
+  CASE WHEN platform <> 'unknown' THEN CASE WHEN log_id % 5 = 0 THEN 'main' ELSE concat('topic-', log_id % 5) END END
+    AS branch,
+  CASE WHEN platform <> 'unknown' THEN substring(md5(CAST(log_id AS VARCHAR)), 1, 12) END AS commit,
+  CASE WHEN platform <> 'unknown' AND log_id % 4 = 2 THEN concat('flow-', log_id % 3) END AS workflow,
+  CASE WHEN platform <> 'unknown' AND log_id % 4 = 2 THEN CAST(log_id * 100 AS VARCHAR) END AS run_id"""
+
+
+@query("log_summary", sql(SUMMARY, f"SELECT {_SUMMARY_COLUMNS}, {_TOLD} FROM summary"))
 def _(logs):
-    return logs.summary.select(*[c.strip() for c in _SUMMARY_COLUMNS.split(",")])
+    columns = [c.strip() for c in _SUMMARY_COLUMNS.split(",")]
+    return logs.summary.select(*columns, "build_url", "branch", "commit", "workflow", "run_id")
 
 
 @query("quick_summary", sql(SUMMARY, """SELECT log_id, platform, status, job_name, build_number,
@@ -201,10 +211,10 @@ def _(logs):
     return reports.verdicts(logs.counts)
 
 
-@query("verdict_stages", sql(SUMMARY, """SELECT log_id, (stage_order - 1) // 1000000 AS page,
+@query("verdict_stages", sql(SUMMARY, """SELECT log_id,
   concat('Failed stages: ', string_agg(stage, ', ' ORDER BY stage_order)) AS failed_stages
   FROM stages s JOIN (SELECT log_id FROM summary WHERE error_count > 0) USING (log_id)
-  WHERE status = 'FAILED' GROUP BY log_id, page"""))
+  WHERE status = 'FAILED' GROUP BY log_id"""))
 def _(logs):
     return reports.verdict_stages(logs.counts, logs.stages)
 

@@ -86,10 +86,9 @@ def _(logs):
     return logs.metadata.agg(F.count("*").alias("logs"))
 
 
-@query("crosstab", sql(META, """SELECT error_category,
-  count(*) FILTER (platform = 'jenkins') AS jenkins,
-  count(*) FILTER (platform = 'github-actions') AS github_actions,
-  count(*) FILTER (platform = 'gitlab-ci') AS gitlab_ci FROM metadata GROUP BY error_category"""))
+@query("crosstab", sql(META, """SELECT error_category, platform, count(m.log_id) AS logs
+  FROM (SELECT DISTINCT error_category FROM metadata) CROSS JOIN (SELECT DISTINCT platform FROM metadata)
+  LEFT JOIN metadata m USING (error_category, platform) GROUP BY ALL"""))
 def _(logs):
     return profile.crosstab(logs.metadata)
 
@@ -168,10 +167,10 @@ def _(logs):
     return profile.encode_labels(logs.split).select("log_id", "split", "error_category", "label")
 
 
-@query("platform_one_hot", sql(SPLIT, """SELECT log_id, split,
-  CAST(platform = 'jenkins' AS BIGINT) AS platform_jenkins,
-  CAST(platform = 'github-actions' AS BIGINT) AS platform_github_actions,
-  CAST(platform = 'gitlab-ci' AS BIGINT) AS platform_gitlab_ci FROM split"""))
+@query("platform_one_hot", sql(SPLIT, """SELECT log_id, split, concat('platform_', p) AS feature,
+  CAST(CASE WHEN p = 'other' THEN platform IS NULL OR platform NOT IN (SELECT platform FROM split WHERE split = 'train')
+    ELSE coalesce(platform = p, false) END AS BIGINT) AS value
+  FROM split, (SELECT DISTINCT platform AS p FROM split WHERE split = 'train' UNION ALL SELECT 'other')"""))
 def _(logs):
     return profile.platform_one_hot(logs.split)
 
@@ -255,6 +254,7 @@ def _clean(logs):
 
 
 def _train_vocabulary(logs, clean):
+    # only counted terms of a log meet its part of the split, never its text
     train = logs.split.filter("split = 'train'").select("log_id")
     return features.vocabulary(clean.join(train, "log_id", "left_semi"))
 
@@ -305,10 +305,9 @@ def _predictions(logs):
     return corpus.score_predictions(logs.table("documents"), logs.table("labels"))
 
 
-@query("confusion", sql(PREDICTIONS, """SELECT model, label, count(*) FILTER (prediction = 0) AS predicted_0,
-  count(*) FILTER (prediction = 1) AS predicted_1 FROM predictions GROUP BY ALL"""))
+@query("confusion", sql(PREDICTIONS, "SELECT model, label, prediction, count(*) AS rows FROM predictions GROUP BY ALL"))
 def _(logs):
-    return evaluate.confusion_matrix(_predictions(logs), [0, 1])
+    return evaluate.confusion(_predictions(logs))
 
 
 @query("class_report", sql(PREDICTIONS, """SELECT model, class, hits, support, round(precision, 6) AS precision,

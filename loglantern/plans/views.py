@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern.operators import legacy, parse, profile
-from loglantern.session import keep, spread
+from loglantern.session import keep
 from loglantern.sources import corpus
 
 
@@ -21,10 +21,6 @@ class Logs:
     def table(self, name: str) -> DataFrame:
         return corpus.read_table(self.spark, self.folder, name)
 
-    def texts_table(self, name: str) -> DataFrame:
-        """A table of texts, whose work is per row: spread over all cores."""
-        return spread(self.table(name))
-
     @cached_property
     def lines(self) -> DataFrame:
         return corpus.event_log_lines(self.table("events"))
@@ -86,15 +82,20 @@ class Logs:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Labelled metadata with text."""
-        return self.with_files(corpus.document_files(self.texts_table("documents")))
+        """Labelled metadata with text, from one scan."""
+        return corpus.document_metadata(self.table("documents"), "text")
+
+    @cached_property
+    def texts_by_path(self) -> DataFrame:
+        """The same by way of the metadata's paths, as it is where texts are files."""
+        return self.with_files(corpus.document_files(self.table("documents")))
 
     @cached_property
     def labelled_files(self) -> DataFrame:
-        return corpus.labelled_files(self.texts_table("documents"), self.table("labels"))
+        return corpus.labelled_files(self.table("documents"), self.table("labels"))
 
     def with_files(self, files: DataFrame, keep_missing: bool = True) -> DataFrame:
-        return profile.attach_text(spread(self.metadata), files, keep_missing)
+        return profile.attach_text(self.metadata, files, keep_missing)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -102,4 +103,4 @@ class Logs:
 
     @cached_property
     def raw_documents(self) -> DataFrame:
-        return corpus.document_logs(self.texts_table("documents"))
+        return corpus.document_logs(self.table("documents"))

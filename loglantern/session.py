@@ -55,12 +55,3 @@ def keep(rows: DataFrame) -> DataFrame:
     """Write rows to the shared folder once, for readers that come back to them many times."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a part of a table that arrives in fewer parts than there are cores.
-
-    Tables of many files stay as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

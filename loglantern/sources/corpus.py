@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.operators.ordered import SLICE_ROWS, line_keys, number_rows
+from loglantern.operators.ordered import LINE_KEYS, SLICE_ROWS, number_rows
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,14 +89,14 @@ END
 
 
 def event_log_lines(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One log per user, one line per event: ``log_id[, slice], line_number, raw_line``."""
+    """One log per user, one line per event: ``log_id, slice, line_number, raw_line``."""
     rows = number_rows(
         events.select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id", slice_rows
     )
     named = rows.withColumnRenamed("user_id", "log_id")
     # exploding a single value keeps the long expression in one place: no filter copies it
     line = F.explode(F.array(F.expr(EVENT_LINE_SQL.replace("user_id", "log_id")))).alias("raw_line")
-    return named.select(*line_keys(named), "line_number", line)
+    return named.select(*LINE_KEYS, "line_number", line)
 
 
 def build_names(log_id: Column) -> dict[str, Column]:
@@ -105,9 +105,11 @@ def build_names(log_id: Column) -> dict[str, Column]:
     return {
         "job_name": F.concat(prefix, log_id.cast("string")),
         "build_number": log_id.cast("string"),
-        "build_url": F.lit(None).cast("string"),
-        "branch": F.lit(None).cast("string"),
-        "commit": F.lit(None).cast("string"),
+        "build_url": _text("https://builds.example/", log_id),
+        "branch": F.when(log_id % 5 == 0, "main").otherwise(_text("topic-", log_id % 5)),
+        "commit": F.substring(F.md5(log_id.cast("string")), 1, 12),
+        "workflow": F.when(log_id % 4 == 2, _text("flow-", log_id % 3)),
+        "run_id": F.when(log_id % 4 == 2, (log_id * 100).cast("string")),
     }
 
 
@@ -116,8 +118,8 @@ def document_logs(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("log_id"), F.col("text").alias("raw_content"))
 
 
-def document_metadata(documents: DataFrame) -> DataFrame:
-    """Labelled metadata, one row per document."""
+def document_metadata(documents: DataFrame, *more: str) -> DataFrame:
+    """Labelled metadata, one row per document, with further columns of it."""
     doc = F.col("doc_id")
     twentieth = doc % 20
     category = (
@@ -135,6 +137,7 @@ def document_metadata(documents: DataFrame) -> DataFrame:
         _choose(doc % 3, ("jenkins", "github-actions", "gitlab-ci")).alias("platform"),
         category.alias("error_category"),
         (doc % 1000 + 1).cast("int").alias("build_number"),
+        *more,
     )
 
 
@@ -155,10 +158,14 @@ def _memo_fields() -> tuple[Column, Column]:
     return cache_type, content
 
 
+def _is_write() -> Column:
+    return F.coalesce(F.col("event_type").isin("purchase", "signup"), F.lit(False))
+
+
 def memo_writes(events: DataFrame) -> DataFrame:
-    """Stored results: one write per purchase event."""
+    """Stored results: one write per purchase or signup; all other events are look-ups."""
     cache_type, content = _memo_fields()
-    return events.filter(F.col("event_type") == "purchase").select(
+    return events.filter(_is_write()).select(
         cache_type.alias("cache_type"),
         content.alias("content"),
         F.col("ts").alias("written_at"),
@@ -168,9 +175,9 @@ def memo_writes(events: DataFrame) -> DataFrame:
 
 
 def memo_requests(events: DataFrame) -> DataFrame:
-    """Lookups: one per view event."""
+    """Look-ups: one per event that stores nothing."""
     cache_type, content = _memo_fields()
-    return events.filter(F.col("event_type") == "view").select(
+    return events.filter(~_is_write()).select(
         F.col("event_id").alias("request_id"),
         cache_type.alias("cache_type"),
         content.alias("content"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from loglantern import fixed_values as fx
 from loglantern.functions.text import lines_of
+from loglantern.operators.ordered import SLICE_ROWS
 
 METADATA_SCHEMA = T.StructType(
     [
@@ -92,10 +93,12 @@ def guard_size(raw_logs: DataFrame, limit: int = fx.MAX_LOG_CHARS) -> DataFrame:
 
 
 def split_lines(raw_logs: DataFrame) -> DataFrame:
-    """Lines of raw logs; an empty log stays as one row without a line.
-
-    A raw log is one value in one row, so it is never too long for a window.
-    """
+    """Lines of raw logs, sliced by their place; an empty log stays as one row without a line."""
     return raw_logs.select(
         "log_id", F.posexplode_outer(lines_of(F.col("raw_content"))).alias("pos", "raw_line")
-    ).select("log_id", (F.col("pos") + 1).cast("bigint").alias("line_number"), "raw_line")
+    ).select(
+        "log_id",
+        F.floor(F.coalesce("pos", F.lit(0)) / SLICE_ROWS).cast("bigint").alias("slice"),
+        (F.col("pos") + 1).cast("bigint").alias("line_number"),
+        "raw_line",
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,15 +47,21 @@ def analyse(
     """Write summaries, stages and entries of arriving logs under ``out``."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        facts = parse.read_lines(split_lines(batch), rules)
+        # a build that landed twice counts once, as its latest name and text
+        builds = batch.groupBy("log_id").agg(F.max(F.struct("job_name", "raw_content")).alias("b"))
+        builds = builds.select("log_id", "b.*")
+        facts = parse.read_lines(split_lines(builds), rules)
         # three results come from it; a lost executor's part is read again
-        facts = facts.drop("slice").persist()
+        facts = facts.persist()
         try:
             rolled = parse.roll_up(facts, rules, headers=True)
             results = {
-                "summaries": parse.log_counts(rolled, rules).join(
-                    batch.select("log_id", "job_name"), "log_id"
-                ),
+                "summaries": parse.named(
+                    parse.log_counts(rolled, rules).join(
+                        builds.select("log_id", F.col("job_name").alias("landed_name")), "log_id"
+                    ),
+                    {"job_name": F.col("landed_name")},
+                ).drop("landed_name"),
                 "stages": parse.stages(rolled),
                 "entries": parse.entries(facts),
             }

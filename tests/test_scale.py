@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from loglantern.operators import chunks, memo, ordered, parse
+from loglantern.operators import chunks, features, memo, ordered, parse, profile, reports
 from loglantern.plans.views import Logs
 from loglantern.sources import corpus
 
@@ -17,37 +17,112 @@ def rows_of(frame):
     return sorted(map(str, frame.drop("slice").collect()))
 
 
+VIEWS = ["lines", "facts", "entries", "stages", "summary", "named_counts", "legacy_facts", "legacy_rollup", "legacy_rows"]
+
+
+def with_lines(spark, events, slice_rows):
+    logs = Logs(spark, SMALL)
+    logs.__dict__["lines"] = corpus.event_log_lines(events, slice_rows=slice_rows)
+    return logs
+
+
 @pytest.fixture(scope="module")
 def whole_and_sliced(spark):
-    whole, sliced = Logs(spark, SMALL), Logs(spark, SMALL)
-    sliced.__dict__["lines"] = corpus.event_log_lines(sliced.table("events"), slice_rows=7)
-    assert "slice" in sliced.lines.columns and "slice" not in whole.lines.columns
-    return whole, sliced
+    events = corpus.read_table(spark, SMALL, "events")
+    return with_lines(spark, events, 250_000), with_lines(spark, events, 7)
 
 
-@pytest.mark.parametrize("name", ["lines", "entries", "stages", "summary", "legacy_rollup", "legacy_rows"])
+@pytest.mark.parametrize("name", VIEWS)
 def test_slicing_long_logs_changes_nothing(whole_and_sliced, name):
     whole, sliced = whole_and_sliced
     assert rows_of(getattr(whole, name)) == rows_of(getattr(sliced, name))
 
 
+def test_nested_outputs_have_one_row_per_log(whole_and_sliced):
+    whole, sliced = whole_and_sliced
+    nested = [reports.nested_entries(v.entries) for v in (whole, sliced)]
+    assert rows_of(nested[0]) == rows_of(nested[1])
+    assert nested[1].count() == nested[1].select("log_id").distinct().count()
+    assert rows_of(reports.verdict_stages(whole.counts, whole.stages)) == rows_of(
+        reports.verdict_stages(sliced.counts, sliced.stages)
+    )
+
+
 def test_a_log_with_a_third_of_all_lines(spark):
     events = corpus.read_table(spark, SMALL, "events")
     hot = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 8).otherwise(F.col("user_id")))
-    whole, sliced = Logs(spark, SMALL), Logs(spark, SMALL)
-    whole.__dict__["lines"] = corpus.event_log_lines(hot)
-    sliced.__dict__["lines"] = corpus.event_log_lines(hot, slice_rows=100)
-    assert sliced.lines.filter("slice IS NOT NULL").select("log_id").distinct().count() == 1
+    whole, sliced = with_lines(spark, hot, 250_000), with_lines(spark, hot, 100)
+    assert sliced.lines.filter("slice > 0").select("log_id").distinct().count() == 1
     for name in ("lines", "stages", "summary", "legacy_rows"):
         assert rows_of(getattr(whole, name)) == rows_of(getattr(sliced, name))
 
 
-def test_join_one_per_key_with_a_hot_key(spark):
-    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    side = spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = rows.join(side, "k", "left")
-    salted = ordered.join_one_per_key(rows, side, ["k"], "id", hot_rows=10)
-    assert rows_of(plain.select("id", "k", "v")) == rows_of(salted.select("id", "k", "v"))
+def numbered(spark, rows, slice_rows):
+    frame = spark.createDataFrame(rows, "k int, at timestamp_ntz, tie int")
+    return ordered.number_rows(frame, "k", "at", "tie", slice_rows)
+
+
+def test_a_burst_is_sliced_evenly_and_lines_without_a_time_come_first(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, start, n) for n in range(1000)] + [(1, start + dt.timedelta(days=n), 5000 + n) for n in range(5)]
+    rows += [(1, None, 7000 + n) for n in range(10)] + [(2, None, 1), (2, start, 0)]
+    random.Random(3).shuffle(rows)
+    for size in (100, 250_000):
+        got = numbered(spark, rows, size).collect()
+        for key in (1, 2):
+            own = sorted((r for r in got if r.k == key), key=lambda r: r.line_number)
+            assert [r.line_number for r in own] == list(range(1, len(own) + 1))
+            assert [(r.at is not None, r.at or start, r.tie) for r in own] == sorted(
+                (a is not None, a or start, t) for k, a, t in rows if k == key
+            )
+            assert {r.log_rows for r in own} == {len(own)}
+            assert all(r.slice == (r.line_number - 1) // size for r in own)
+
+
+def test_nothing_runs_while_a_plan_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    logs = Logs(spark, SMALL)
+    for name in VIEWS:
+        getattr(logs, name)
+    assert len(tracker.getJobIdsForGroup("building")) <= 1  # the schema of the table
+    spark.sparkContext.setJobGroup("tests", "others")
+
+
+def test_platforms_outside_train_are_kept(spark):
+    rows = [(n, "train" if n < 6 else "val", ("a", "b", "c")[n % 2 if n < 6 else n % 3], "x") for n in range(12)]
+    split = spark.createDataFrame(rows, "log_id long, split string, platform string, error_category string")
+    coded = profile.platform_one_hot(split).collect()
+    assert {r.feature for r in coded} == {"platform_a", "platform_b", "platform_other"}
+    for n, _, platform, _ in rows:
+        hot = [r.feature for r in coded if r.log_id == n and r.value == 1]
+        assert hot == [f"platform_{platform}" if platform in "ab" else "platform_other"]
+    assert {r.platform: r.logs for r in profile.crosstab(split).collect()}["c"] == 2
+
+
+def test_text_work_needs_no_shuffle(spark):
+    logs = Logs(spark, SMALL)
+    clean = logs.texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
+    flags = logs.texts.select("log_id", *features.structural_features(F.col("text")))
+    for frame in (clean, flags):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_log_of_many_errors_is_chunked_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "\n".join(f"line {i} of the log" for i in range(n))
+        raw = spark.createDataFrame([(1, text)], "log_id bigint, raw_content string")
+        errors = spark.range(0, n, 2).select(F.lit(1).cast("bigint").alias("log_id"), (F.col("id") + 1).alias("line_number"))
+        began = time.perf_counter()
+        rows = chunks.body_chunks(raw, errors).collect()
+        took.append(time.perf_counter() - began)
+        kept = [line for line in text.split("\n")[1::2]]
+        assert rows[0].chunk.split("\n") == kept[: rows[0].last_line]
+        assert max(r.last_line for r in rows) == len(kept)
+    assert took[1] < 12 * took[0]
 
 
 @pytest.mark.parametrize("group", ["g", None])
@@ -63,12 +138,13 @@ def test_rank_by_hash_is_the_rank_of_the_sorted_hash(spark, group):
         assert r.group_rows == len(peers)
 
 
-def test_counts_need_one_shuffle(spark):
-    # the summary's grouping keys start with the log, by which lines are already placed
-    plan = Logs(spark, SMALL).summary._jdf.queryExecution().executedPlan().toString()
-    initial = plan.split("Initial Plan")[-1]
-    assert initial.count("Exchange hashpartitioning") == 1
-    for sign in ("Python", "SortAggregate", "CartesianProduct", "BroadcastNestedLoopJoin"):
+def test_lines_are_shuffled_to_be_numbered_and_to_be_classified(spark):
+    summary = Logs(spark, SMALL).summary
+    summary.collect()
+    plan = summary._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # lines by stretch of time and by slice, and three small tables: counts, slices, roll-up
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
+    for sign in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert sign not in plan
 
 
