@@ -36,6 +36,7 @@ HEADLINE = (
     "summary_prompt",
     "fix_prompt",
     "fallback_summary",
+    "enriched_logs",
     "answer_explanation",
     "chunks",
     "memo_lookup",

@@ -79,21 +79,7 @@ LEVEL_WORDS = (
     ("DEBUG", ("[DEBUG]", "DEBUG:")),
 )
 DEFAULT_LEVEL = "INFO"
-LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
-STATUSES = ("SUCCESS", "FAILED", "UNSTABLE", "TIMEOUT", "ABORTED", "UNKNOWN")
 PLATFORMS = ("jenkins", "github-actions", "gitlab-ci", "unknown")
-CATEGORIES = (
-    "dependency_error",
-    "syntax_error",
-    "test_failure",
-    "timeout",
-    "environment_error",
-    "configuration_error",
-    "network_error",
-    "permission_error",
-    "resource_error",
-    "unknown",
-)
 
 # --- fixed values: pipeline-style platform ------------------------------------
 PIPELINE_MARKERS = ("[Pipeline]", "Running on Jenkins", "Started by user", "/var/jenkins_home/")

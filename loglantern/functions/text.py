@@ -66,7 +66,3 @@ def lines_of(text: Column) -> Column:
 
 def tokens_in(text: Column) -> Column:
     return (F.length(text) / CHARS_PER_TOKEN).cast("bigint")
-
-
-def split_on_newline(text: Column) -> Column:
-    return F.split(text, "\n")

@@ -118,6 +118,7 @@ def _section(rows: DataFrame, name: str, order: str, text: Column) -> DataFrame:
     )
 
 
+# --- fixed values: the wording of the texts made below is what readers of them expect ---
 def head_chunks(
     summary: DataFrame, entry_rows: DataFrame, stage_rows: DataFrame, prioritize_errors: bool = True
 ) -> DataFrame:

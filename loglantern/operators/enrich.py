@@ -256,6 +256,7 @@ def comparison_prompts(
     )
 
 
+# --- fixed values: the wording of the texts made below is what readers of them expect ---
 def fallback_summaries(summary: DataFrame, entry_rows: DataFrame, shown: int = 3) -> DataFrame:
     """Status, main issue, key points and impact of every log without asking a model."""
     point = F.concat(F.lit("Line "), F.col("line_number"), F.lit(": "), F.substring("message", 1, 100))

@@ -89,6 +89,7 @@ def report_entries(entry_rows: DataFrame, show_all: bool = False) -> DataFrame:
     return errors.unionByName(warnings).select(*columns)
 
 
+# --- fixed values: the wording of the texts made below is what readers of them expect ---
 def verdicts(counts: DataFrame) -> DataFrame:
     errors, warnings = F.col("error_count"), F.col("warning_count")
     text = (
