@@ -8,11 +8,15 @@ text, not the batch.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+
+# workers get these functions themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -43,7 +47,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def powers(base: int) -> np.ndarray:
         p = np.full(n + 1, base, np.uint64)

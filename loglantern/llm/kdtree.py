@@ -19,14 +19,19 @@ exact; larger ones raise an error. Other columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglantern.llm.common import lasting
 
+# workers get these functions themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCALE = 256
 #: Rows of a shard (expected) and of a tree's leaf, queries of a block, blocks of a task.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, STRIPE_BLOCKS = 4096, 128, 256, 64

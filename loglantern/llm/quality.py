@@ -15,16 +15,21 @@ equally named results replace them.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglantern.llm.common import lasting
 from loglantern.llm.hashed_words import WORDS_AND_SIGNS, mixed, ngrams, slices
 
+# workers get these functions themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLOTS = 1 << 18
 #: Bound of the labelled sample a model is learned from (expected number of documents).
 MOST_LABELLED = 20_000
