@@ -24,11 +24,13 @@ like results are replaced.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,12 @@ from loglantern.llm.common import lasting
 from loglantern.llm.hashed_words import LETTERS, mixed, slices
 from loglantern.llm.quality import labelled_sample, sigmoid
 
+# workers get these functions themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLOTS = 1 << 18
 #: Bound of the labelled sample (expected number of documents).
-MOST_LABELLED = 12_000
+MOST_LABELLED = 30_000
 PREFIXES = (3, 4, 5, 6)
 GRADES = 3
 ROUNDS, STEP, L1 = 25, 0.5, 5e-5
@@ -69,17 +74,17 @@ def sample_features(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
     def batches(given):
         for batch in given:
-            slots = [np.zeros(0, np.int64)] * batch.num_rows
+            slots = [np.zeros(0, np.int32)] * batch.num_rows
             for first, n, text, slot in features(batch.column("text")):
                 cuts = np.searchsorted(text, np.arange(n + 1))
                 for i in range(n):
-                    slots[first + i] = slot[cuts[i] : cuts[i + 1]]
-            columns = [batch.column("label").cast(pa.int32()), batch.column("key"), pa.array(slots, pa.list_(pa.int64()))]
+                    slots[first + i] = slot[cuts[i] : cuts[i + 1]].astype(np.int32)
+            columns = [batch.column("label").cast(pa.int32()), batch.column("key"), pa.array(slots, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "key", "slots"])
 
     key = F.xxhash64("text").alias("key")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", key)
-    made = chosen.mapInArrow(batches, "label int, key long, slots array<long>")
+    made = chosen.mapInArrow(batches, "label int, key long, slots array<int>")
     return lasting(made.dropDuplicates(["label", "key"]).select("label", "slots"))
 
 
@@ -151,6 +156,7 @@ def learn(examples: DataFrame, grades: int = GRADES, rounds: int = ROUNDS) -> Mo
     lift = lifts(examples)
     used = lift >= LEAST_LIFT
     shared_marks = spark.sparkContext.broadcast(lift >= MARKER_LIFT)
+    shared_used = spark.sparkContext.broadcast(used)
 
     def graded(slot, at, label):
         hits = np.add.reduceat(np.append(shared_marks.value[slot], 0), np.minimum(at[:-1], len(slot))) * (np.diff(at) > 0)
@@ -168,7 +174,7 @@ def learn(examples: DataFrame, grades: int = GRADES, rounds: int = ROUNDS) -> Mo
                 slot, at, label = _columns(batch)
                 g, t, _ = gradients(now, slot, at, graded(slot, at, label))
                 by_slot, by_threshold, n = by_slot + g, by_threshold + t, n + len(label)
-            seen = np.flatnonzero(by_slot)
+            seen = np.flatnonzero((by_slot != 0) & shared_used.value)
             slots = np.concatenate([seen, -1 - np.arange(grades - 1), [-grades]])
             values = np.concatenate([by_slot[seen], by_threshold, [float(n)]])
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(values)], ["slot", "g"])
@@ -179,7 +185,6 @@ def learn(examples: DataFrame, grades: int = GRADES, rounds: int = ROUNDS) -> Mo
         n = max(g.get(-grades, 0.0), 1.0)
         by_slot = np.zeros(SLOTS)
         by_slot[sums.slot[sums.slot >= 0]] = sums.g[sums.slot >= 0] / n
-        by_slot[~used] = 0.0
         by_threshold = np.array([g.get(-1 - k, 0.0) for k in range(grades - 1)]) / n
         squares += by_slot**2
         threshold_squares += by_threshold**2
