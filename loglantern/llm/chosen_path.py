@@ -22,24 +22,29 @@ ignored. Memory follows ``LIMIT`` sets.
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglantern.llm.common import lasting
 from loglantern.llm.hashed_words import LETTERS, mixed, ngrams, slices
 
+# workers get these functions themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHINGLE, SIMILARITY = 5, 0.8
 BRANCHES, DEPTH, RECALL = 3.0, 3, 0.999
 #: Sets that are compared with one another at once.
-LIMIT = 500
+LIMIT = 5000
 BINS, LONGS = 128, 16
 #: Sketches may fall short of the threshold by so many standard deviations.
-SLACK = 4.0
+SLACK = 3.5
 #: Sets whose tokens are held by one task while pairs are compared (expected).
 GROUP_SETS = 1024
 
@@ -178,10 +183,10 @@ def sketches_agree(a: Column, b: Column, larger: Column, least: float = SIMILARI
 
 def candidate_pairs(sets: DataFrame, placed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(bucket, a, b) with a < b: each pair of sets whose sizes and sketches allow it, once."""
-    homes = placed.groupBy("sid").agg(F.sort_array(F.collect_set("bucket")).alias("homes"))  # a few per run
-    chunk = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-    known = sets.select("sid", "n", "sketch").join(homes, "sid")
-    rows = placed.withColumn("chunk", chunk).join(known, "sid")
+    own = placed.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bucket", "chunks"))).alias("own"))  # a few per run
+    known = sets.select("sid", "n", "sketch").join(own, "sid").withColumn("homes", F.col("own.bucket"))
+    rows = known.select("sid", "n", "sketch", "homes", F.inline("own"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     upto = F.sequence(F.lit(0), F.col("chunk"))
     onwards = F.sequence(F.col("chunk"), F.col("chunks") - 1)
     kept = ("sid", "n", "sketch", "homes", "bucket")
@@ -202,11 +207,11 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, least: float = SIM
     Pairs of a bucket are compared in one group, so a set travels to the few buckets its
     pairs are counted in, not once per pair. Only sets that are in a pair are read again.
     """
-    sides = pairs.select("bucket", F.explode(F.array("a", "b")).alias("sid"))
-    used = sides.distinct().count()
+    sides = pairs.select("bucket", F.col("a").alias("sid")).unionByName(pairs.select("bucket", F.col("b").alias("sid")))
+    used = sides.agg(F.approx_count_distinct("sid")).first()[0]
     groups = max(1, -(-used // GROUP_SETS))
     group = F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int").alias("group")
-    wanted = sides.select("sid", group).distinct().groupBy("sid").agg(F.collect_list("group").alias("groups"))
+    wanted = sides.select("sid", group).groupBy("sid").agg(F.collect_set("group").alias("groups"))
     readable = wanted.join(sets.select("sid", "key", "a", "b"), "sid")
 
     def tokens(given):
@@ -243,7 +248,7 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, least: float = SIM
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) of all nodes in edges (a, b): alternating large and small stars until nothing changes."""
+    """(node, root) of all nodes in edges (a, b): alternating large and small stars until all are stars."""
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         """Ties a node's larger (or all smaller) neighbours to the least of them and itself."""
@@ -252,17 +257,15 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         met = both.join(least, "u")
         ties = met.where(F.col("v") != F.col("m") if small else F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if small:
-            ties = ties.unionByName(least.select("u", F.col("m").alias("v")))
-        return ties.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            ties = ties.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        return ties.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    now = lasting(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    now = lasting(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"))
     for _ in range(most_rounds):
         now = lasting(star(star(now, small=False), small=True))
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if told == before:
+        # in a table of stars no root is tied to another node
+        if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = told
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -278,16 +281,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, recall: float =
     edges = lasting(links(docs, sets, pairs, least).select("a", "b"))
     slim = sets.select("sid", "a", "b", "copies", "rep")
     ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(slim.select(F.col("sid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
-    rooted = (
-        slim.join(components(edges), F.col("sid") == F.col("node"), "left")
-        .join(others, "sid", "left")
-        .withColumn("root", F.coalesce("root", "sid"))
-    )
-    classes = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
-    links_of = (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")
-    full = rooted.join(classes, "root").select(
-        "a", "b", F.col("first.doc_id").alias("class_id"), "class_size", links_of, F.col("first.key").alias("keeper")
+    linked = ends.join(slim.select(F.col("sid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
+    rooted = components(edges).withColumnRenamed("node", "sid").join(linked, "sid").join(slim.select("sid", "copies", "rep"), "sid")
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("size"))
+    told_of = rooted.select("sid", "root", "others").join(classes, "root").select("sid", "others", "first", "size")
+    full = slim.join(told_of, "sid", "left").select(
+        "a",
+        "b",
+        F.coalesce("first", "rep")["doc_id"].alias("class_id"),
+        F.coalesce("size", "copies").alias("class_size"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+        F.coalesce("first", "rep")["key"].alias("keeper"),
     )
     held = told.where("n > 0").select("doc_id", "key", "a", "b").join(full, ["a", "b"]).drop("a", "b")
     alone = told.where("n = 0").select(
