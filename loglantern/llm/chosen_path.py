@@ -42,9 +42,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 BRANCHES, DEPTH, RECALL = 3.0, 3, 0.999
 #: Sets that are compared with one another at once.
 LIMIT = 5000
-BINS, LONGS = 128, 16
+BINS = 128
 #: Sketches may fall short of the threshold by so many standard deviations.
 SLACK = 3.5
+#: Sets of a tile, in which sketches are compared at once.
+TILE = 512
 #: Sets whose tokens are held by one task while pairs are compared (expected).
 GROUP_SETS = 1024
 
@@ -105,8 +107,8 @@ def described(docs: DataFrame, runs: int, branches: float = BRANCHES, depth: int
             owner.append(text[mine] * lists + i)
         flat = _nested(np.concatenate(drawn), np.concatenate(owner), n_texts * lists)
         nested = pa.ListArray.from_arrays(pa.array(np.arange(n_texts + 1) * lists, pa.int32()), flat)
-        longs = sketch.view("<i8")
-        sketches = pa.ListArray.from_arrays(pa.array(np.arange(n_texts + 1) * LONGS, pa.int32()), pa.array(longs))
+        ends = pa.py_buffer((np.arange(n_texts + 1) * BINS).astype(np.int32))
+        sketches = pa.Array.from_buffers(pa.binary(), n_texts, [None, ends, pa.py_buffer(sketch)])
         return {"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(n.astype(np.int32)), "sketch": sketches, "drawn": nested}
 
     def batches(given):
@@ -127,7 +129,7 @@ def described(docs: DataFrame, runs: int, branches: float = BRANCHES, depth: int
     slim = docs.select("doc_id", _row_key().alias("key"), "text")
     kept = slim.select("doc_id", "key").schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return slim.mapInArrow(batches, f"{schema}, a long, b long, n int, sketch array<long>, drawn array<array<long>>")
+    return slim.mapInArrow(batches, f"{schema}, a long, b long, n int, sketch binary, drawn array<array<long>>")
 
 
 def _row_key() -> Column:
@@ -170,49 +172,109 @@ def buckets(sets: DataFrame, runs: int, depth: int = DEPTH, limit: int = LIMIT)
     return every.select("bucket", "sid", F.ceil(F.col("size") / limit).cast("int").alias("chunks"))
 
 
-def sketches_agree(a: Column, b: Column, larger: Column, least: float = SIMILARITY) -> Column:
-    """Whether sketches may belong to sets of similarity ``least``, the larger one having ``larger`` shingles.
+def agreeing(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs whose sizes and sketches may belong to sets of similarity ``least``.
 
-    Bins of both sets agree with the chance of their similarity; bytes that differ do so in
-    four bits on average. More bits than chance explains rule a pair out.
+    Bins of both sets agree with the chance of their similarity. Bits are compared first
+    (bytes that differ do so in four bits on average), then bytes: more differences than
+    chance explains rule a pair out.
     """
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(LONGS)])
-    bins = F.least(F.lit(float(BINS)), larger / least)
-    return differ <= 4 * (1 - least) * bins + SLACK * F.sqrt((1 - least) * (2 + 16 * least) * bins) + 4
+    differ = np.zeros((len(x), len(y)), np.uint16)
+    one, two = x.view(np.uint64), y.view(np.uint64)
+    for k in range(one.shape[1]):
+        differ += np.bitwise_count(one[:, k, None] ^ two[None, :, k])
+    small, large = np.minimum(nx[:, None], ny[None, :]), np.maximum(nx[:, None], ny[None, :])
+    bins = np.minimum(float(BINS), large / least)
+    bits = 4 * (1 - least) * bins + SLACK * np.sqrt((1 - least) * (2 + 16 * least) * bins) + 4
+    i, j = np.nonzero((differ <= bits) & (small >= large * least))
+    unequal = np.count_nonzero(x[i] != y[j], axis=1)
+    bins = bins[i, j]
+    good = unequal <= (1 - least) * bins + SLACK * np.sqrt(least * (1 - least) * bins) + 1
+    return i[good], j[good]
 
 
 def candidate_pairs(sets: DataFrame, placed: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(bucket, a, b) with a < b: each pair of sets whose sizes and sketches allow it, once."""
+    """Pairs of sets that may be similar, each once, packed by tile of a bucket.
+
+    Rows (bucket, sids, left, right): ``left`` and ``right`` are places in ``sids``.
+    """
     own = placed.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bucket", "chunks"))).alias("own"))  # a few per run
     known = sets.select("sid", "n", "sketch").join(own, "sid").withColumn("homes", F.col("own.bucket"))
     rows = known.select("sid", "n", "sketch", "homes", F.inline("own"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    upto = F.sequence(F.lit(0), F.col("chunk"))
-    onwards = F.sequence(F.col("chunk"), F.col("chunks") - 1)
-    kept = ("sid", "n", "sketch", "homes", "bucket")
-    left = rows.select(*(F.col(c).alias(f"l_{c}") for c in kept), F.col("chunk").alias("l_i"), F.explode(onwards).alias("l_j"))
-    right = rows.select(*(F.col(c).alias(f"r_{c}") for c in kept), F.explode(upto).alias("r_i"), F.col("chunk").alias("r_j"))
-    unit = reduce(lambda x, y: x & y, [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("bucket", "i", "j")])
-    small, large = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
-    ordered = (F.col("l_i") != F.col("l_j")) | (F.col("l_sid") < F.col("r_sid"))
-    near = (small >= large * least) & sketches_agree(F.col("l_sketch"), F.col("r_sketch"), large, least)
-    first = F.get(F.array_intersect("l_homes", "r_homes"), 0) == F.col("l_bucket")
-    met = left.join(right, unit & ordered & near & first)
-    return met.select(F.col("l_bucket").alias("bucket"), F.least("l_sid", "r_sid").alias("a"), F.greatest("l_sid", "r_sid").alias("b"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    units = rows.withColumn("other", F.explode(every)).withColumn("unit", F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
+    slim = units.select("unit", "bucket", side.alias("side"), "sid", "n", "sketch", "homes")
+
+    def compare(part: pa.Table):
+        side, sid, n = (np.asarray(part.column(c)) for c in ("side", "sid", "n"))
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        homes, bucket = part.column("homes").to_pylist(), part.column("bucket")[0].as_py()
+        lefts = np.flatnonzero(side < 2)
+        rights = np.flatnonzero(side == 0) if side[0] == 0 else np.flatnonzero(side == 2)
+        for a in range(0, len(lefts), TILE):
+            for b in range(0, len(rights), TILE):
+                x, y = lefts[a : a + TILE], rights[b : b + TILE]
+                i, j = agreeing(sketch[x], sketch[y], n[x], n[y], least)
+                i, j = x[i], y[j]
+                if side[0] == 0:
+                    i, j = i[i < j], j[i < j]
+                # counted in the first bucket that both are in
+                first = [p for p, (u, v) in enumerate(zip(i, j, strict=True)) if min(set(homes[u]).intersection(homes[v])) == bucket]
+                if first:
+                    used, place = np.unique(np.concatenate([i[first], j[first]]), return_inverse=True)
+                    yield bucket, sid[used], place[: len(first)], place[len(first) :]
+
+    def meet(given):
+        rest = None
+        for batch in _with_end(given):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                rest = new if rest is None else pa.concat_tables([rest, new])
+            if rest is None or not rest.num_rows:
+                continue
+            unit = np.asarray(rest.column("unit"))
+            cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+            ready = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last unit may go on
+            out = []
+            for a, b in zip(cuts[:ready], cuts[1 : ready + 1], strict=True):
+                if b - a > 1:
+                    out += compare(rest.slice(a, b - a))
+            rest = rest.slice(cuts[ready])
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([o[0] for o in out], pa.int64()),
+                        pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                        *(pa.array([o[k] for o in out], pa.list_(pa.int32())) for k in (2, 3)),
+                    ],
+                    ["bucket", "sids", "left", "right"],
+                )
+
+    dealt = slim.repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(meet, "bucket long, sids array<long>, left array<int>, right array<int>")
+
+
+def _with_end(batches):
+    """The batches and a last None."""
+    yield from batches
+    yield None
 
 
 def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of pairs whose whole sets are similar enough.
+    """(sid, others, root): per set and group of tiles the documents it is linked to, by exact comparison.
 
-    Pairs of a bucket are compared in one group, so a set travels to the few buckets its
-    pairs are counted in, not once per pair. Only sets that are in a pair are read again.
+    ``root`` is the least set it is connected to within the group. A pair lies in one tile,
+    so sums of ``others`` count each link once, and no row is made per link. A set travels to
+    the groups its tiles are in, not once per pair; only sets that are in a pair are read again.
     """
-    sides = pairs.select("bucket", F.col("a").alias("sid")).unionByName(pairs.select("bucket", F.col("b").alias("sid")))
-    used = sides.agg(F.approx_count_distinct("sid")).first()[0]
+    used = pairs.agg(F.sum(F.size("sids"))).first()[0] or 0
     groups = max(1, -(-used // GROUP_SETS))
-    group = F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int").alias("group")
-    wanted = sides.select("sid", group).groupBy("sid").agg(F.collect_set("group").alias("groups"))
-    readable = wanted.join(sets.select("sid", "key", "a", "b"), "sid")
+    tile = F.xxhash64("bucket", F.get("sids", 0), F.size("left"))
+    group = F.pmod(tile, F.lit(groups)).cast("int").alias("group")
+    wanted = pairs.select(group, F.explode("sids").alias("sid")).groupBy("sid").agg(F.collect_set("group").alias("groups"))
+    readable = wanted.join(sets.select("sid", "key", "copies"), "sid")
 
     def tokens(given):
         for batch in given:
@@ -220,31 +282,47 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, least: float = SIM
                 ends = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
                 part = batch.slice(first, n)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("groups"), lists], ["sid", "groups", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), part.column("groups"), lists], ["sid", "copies", "groups", "tokens"])
 
-    texts = docs.select(_row_key().alias("key"), "text").join(readable, "key").select("sid", "groups", "text")
-    read = texts.mapInArrow(tokens, "sid long, groups array<int>, tokens array<long>")
-    sent = read.select(F.explode("groups").alias("group"), "sid", "tokens")
+    texts = docs.select(_row_key().alias("key"), "text").join(readable, "key").select("sid", "copies", "groups", "text")
+    read = texts.mapInArrow(tokens, "sid long, copies long, groups array<int>, tokens array<long>")
+    sent = read.select(F.explode("groups").alias("group"), "sid", "copies", "tokens")
 
     def compare(asked, held):
         if not asked.num_rows or not held.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("sid", "others", "root")})
         lists = held.column("tokens").combine_chunks()
-        at, flat, sid = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(held.column("sid"))
+        at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        sid, copies = np.asarray(held.column("sid")), np.asarray(held.column("copies"))
         where = {int(s): i for i, s in enumerate(sid)}
-        a, b = np.asarray(asked.column("a")), np.asarray(asked.column("b"))
-        found = np.zeros(len(a))
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            i, j = where[x], where[y]
-            one, two = flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]]
-            spot = np.searchsorted(two, one)
-            both = np.count_nonzero(two[np.minimum(spot, len(two) - 1)] == one)
-            found[k] = both / (len(one) + len(two) - both)
-        good = found >= least
-        return pa.table({"a": a[good], "b": b[good], "similarity": found[good]})
-
-    asked = pairs.select(group, "a", "b").groupBy("group")
-    return asked.cogroup(sent.groupBy("group")).applyInArrow(compare, "a long, b long, similarity double")
+        tokens = [flat[at[i] : at[i + 1]] for i in range(len(sid))]
+        others, parent = np.zeros(len(sid), np.int64), list(range(len(sid)))
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for sids, left, right in zip(*(asked.column(c).to_pylist() for c in ("sids", "left", "right")), strict=True):
+            place = [where[s] for s in sids]
+            for x, y in zip(left, right, strict=True):
+                i, j = place[x], place[y]
+                one, two = tokens[i], tokens[j]
+                spot = np.searchsorted(two, one)
+                common = np.count_nonzero(two[np.minimum(spot, len(two) - 1)] == one)
+                if common >= least * (len(one) + len(two) - common):
+                    others[i] += copies[j]
+                    others[j] += copies[i]
+                    u, v = top(i), top(j)
+                    if u != v:
+                        u, v = (u, v) if sid[u] < sid[v] else (v, u)
+                        parent[v] = u
+        linked = np.flatnonzero(others)
+        roots = sid[[top(int(i)) for i in linked]] if len(linked) else np.zeros(0, np.int64)
+        return pa.table({"sid": sid[linked], "others": others[linked], "root": roots})
+
+    asked = pairs.select(group, "sids", "left", "right").groupBy("group")
+    return asked.cogroup(sent.groupBy("group")).applyInArrow(compare, "sid long, others long, root long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -278,11 +356,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, recall: float =
     told = lasting(described(docs, runs))
     sets = distinct_sets(told)
     pairs = lasting(candidate_pairs(sets, buckets(sets, runs, limit=limit), least))
-    edges = lasting(links(docs, sets, pairs, least).select("a", "b"))
+    linked = lasting(links(docs, sets, pairs, least))
     slim = sets.select("sid", "a", "b", "copies", "rep")
-    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(slim.select(F.col("sid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
-    rooted = components(edges).withColumnRenamed("node", "sid").join(linked, "sid").join(slim.select("sid", "copies", "rep"), "sid")
+    others = linked.groupBy("sid").agg(F.sum("others").alias("others"))
+    edges = linked.where("sid != root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+    rooted = components(edges).withColumnRenamed("node", "sid").join(others, "sid").join(slim.select("sid", "copies", "rep"), "sid")
     classes = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("size"))
     told_of = rooted.select("sid", "root", "others").join(classes, "root").select("sid", "others", "first", "size")
     full = slim.join(told_of, "sid", "left").select(
