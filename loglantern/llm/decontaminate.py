@@ -5,8 +5,11 @@ gives the window that is as long as the item and aligned with it; runs of shared
 give their window once, and the window's words are cut out on the spot, so that texts are
 neither shuffled nor read again. Windows and items of one length meet in a multi-index: 64
 fingerprint bits are cut into ``RADIUS + 1`` blocks, and two fingerprints that differ in at
-most ``RADIUS`` bits agree in a block at least. Candidates are then compared exactly, by the
-weighted Jaccard similarity of their shingles, weights being how often a shingle occurs.
+most ``RADIUS`` bits agree in a block at least. Distances of windows at the threshold scatter
+beyond any useful radius, so the fingerprint rules nothing out alone: a window farther off meets
+the items whose shingles gave it, and goes on unless too many of their shingles are missing from
+it, which loses no pair. Candidates are then compared exactly, by the weighted Jaccard
+similarity of their shingles, weights being how often a shingle occurs.
 
 Benchmark shingles are broadcast in slices of a bounded number; a larger benchmark takes
 more slices, each a scan of the documents. Windows, not documents, are what is shuffled.
@@ -31,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 64, 11
 #: Rows of the benchmark's shingles that are broadcast at once.
 MOST_BROADCAST = 1_000_000
+#: In place of a block's number where a window asks for an item by its id.
+OWN = -1
 
 GAPS = r"[^\p{L}\p{N}]+"
 #: Three bits of a number spread to three lanes of 21 bits, in which they can be summed.
@@ -115,18 +120,18 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(known: DataFrame, n: int) -> DataFrame:
-    """(hash, length, at, before): where shingles of ``n`` words stand in items of which length."""
+    """(item, hash, length, at, before): where shingles of ``n`` words stand in items of which length; ``item`` is a hash of the id."""
     rows = known.where(F.least("length", F.lit(SHINGLE)) == n).select(
-        "length", "words", F.explode(F.sequence(F.lit(0), F.col("length") - n)).alias("at")
+        F.xxhash64("item_id").alias("item"), "length", "words", F.explode(F.sequence(F.lit(0), F.col("length") - n)).alias("at")
     )
     before = F.when(F.col("at") > 0, _hash_at("words", F.col("at") - 1, n))
-    return rows.select(_hash_at("words", F.col("at"), n).alias("hash"), "length", "at", before.alias("before")).distinct()
+    return rows.select("item", _hash_at("words", F.col("at"), n).alias("hash"), "length", "at", before.alias("before")).distinct()
 
 
 def windows(docs: DataFrame, known: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(doc_id, key, start, length, words) of item-sized windows that share a shingle with an item of that length.
+    """(doc_id, key, items, start, length, words) of item-sized windows that share a shingle with an item of that length.
 
-    ``key`` is a hash of the whole text.
+    ``key`` is a hash of the whole text, ``items`` are hashes of the ids of the items that share it.
     """
     sizes = [r[0] for r in known.select(F.least("length", F.lit(SHINGLE))).distinct().collect()]  # five at most
     found = []
@@ -137,41 +142,57 @@ def windows(docs: DataFrame, known: DataFrame, most_broadcast: int = MOST_BROADC
         places = cut.where(F.size("words") >= n).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("place"))
         hashed = places.withColumn("hash", _hash_at("words", F.col("place"), n))
         for part in range(parts):
-            own = anchors.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part)
+            own = anchors.where(F.pmod(F.xxhash64("hash", "item"), F.lit(parts)) == part)
+            own = own.groupBy("hash", "length", "at", "before").agg(F.collect_set("item").alias("items"))  # within the slice's rows
             hits = hashed.join(F.broadcast(own), "hash")
             fresh = (F.col("place") == 0) | F.col("before").isNull() | (_hash_at("words", F.col("place") - 1, n) != F.col("before"))
             start = F.greatest(F.least(F.col("place") - F.col("at"), F.size("words") - F.col("length")), F.lit(0))
             found.append(
                 hits.where(fresh)
                 .withColumn("start", start)
-                .select("doc_id", "key", "start", "length", _filled(F.slice("words", F.col("start") + 1, F.col("length"))).alias("words"))
+                .select("doc_id", "key", "items", "start", "length", _filled(F.slice("words", F.col("start") + 1, F.col("length"))).alias("words"))
             )
     if not found:
         return docs.where("false").select(
-            "doc_id", F.lit("").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array(F.lit("")).alias("words")
+            "doc_id", F.lit("").alias("key"), F.array(F.lit(0).cast("long")).alias("items"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array(F.lit("")).alias("words")
         )
     return reduce(DataFrame.unionByName, found)
 
 
-def candidates(found: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Windows with the items of their length whose fingerprints differ in at most ``radius`` bits."""
+def candidates(found: DataFrame, known: DataFrame, radius: int = RADIUS, own: Column | None = None, least: float = SIMILARITY) -> DataFrame:
+    """Windows with the items of their length whose fingerprints differ in at most ``radius`` bits.
+
+    ``own`` are hashes of ids of items that a window meets at any distance, unless so many of
+    their shingles are missing from it that it cannot be ``least`` similar. Each pair is met once.
+    """
     printed = found.withColumn("window_print", fingerprint(F.col("words")))
-    asked = printed.select("*", F.explode(_blocks(F.col("window_print"))).alias("b")).select("*", "b.*").drop("b")
+    asks = _blocks(F.col("window_print"))
+    if own is not None:
+        asks = F.concat(asks, F.transform(own, lambda i: F.struct(F.lit(OWN).alias("block"), i.alias("bits"))))
+    asked = printed.select("*", F.explode(asks).alias("b")).select("*", "b.*").drop("b")
+    own_key = F.array(F.struct(F.lit(OWN).alias("block"), F.xxhash64("item_id").alias("bits")))
     index = known.select(
-        "item_id", "length", "print", F.col("shingles").alias("item_shingles"), F.explode(_blocks(F.col("print"))).alias("b")
+        "item_id", "length", "print", F.col("shingles").alias("item_shingles"), F.explode(F.concat(_blocks(F.col("print")), own_key)).alias("b")
     ).select("*", "b.*").drop("b")
     differ = F.col("window_print").bitwiseXOR(F.col("print"))
     first = reduce(
-        lambda later, i: F.when(_block(differ, block_spans()[i]) == 0, F.lit(i)).otherwise(later), range(RADIUS, -1, -1), F.lit(-1)
+        lambda later, i: F.when(_block(differ, block_spans()[i]) == 0, F.lit(i)).otherwise(later), range(RADIUS, -1, -1), F.lit(OWN)
     )
     met = asked.join(index, ["length", "block", "bits"])
-    return met.where((F.col("block") == first) & (F.bit_count(differ) <= radius))
+    near = F.bit_count(differ) <= radius
+    return met.where(F.when(F.col("block") == OWN, ~near & _may_be_alike(F.col("item_shingles"), shingles(F.col("words")), least)).otherwise((F.col("block") == first) & near))
+
+
+def _may_be_alike(a: Column, b: Column, least: float) -> Column:
+    """False only where the shingles of ``a`` that ``b`` lacks rule a similarity of ``least`` out."""
+    shared = F.size(a) - F.size(F.array_except(a, b))  # no more than this
+    return shared >= least / (1 + least) * (F.size(a) + F.size(b)) - 1e-6
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, key, item_id, start, length, similarity): the best window per document and item."""
     known = items(benchmark)
-    near = candidates(windows(docs, known, most_broadcast), known)
+    near = candidates(windows(docs, known, most_broadcast), known, own=F.col("items"), least=least)
     alike = near.withColumn("similarity", F.round(similarity(F.col("item_shingles"), shingles(F.col("words"))), 9)).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best")
     return (

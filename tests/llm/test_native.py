@@ -67,6 +67,29 @@ def test_fingerprints_and_blocks(spark):
     assert near.count() == len(met)
 
 
+def test_items_that_lack_an_end_are_found(spark):
+    """Every window of similarity 0.8 to 0.9 is found, also those whose fingerprints are far from the item's."""
+    pick = random.Random(14)
+    words = [f"u{n}" for n in range(5000)]
+    items = [[pick.choice(words) for _ in range(pick.randint(30, 90))] for _ in range(40)]
+    docs, expected = [], {}
+    for n in range(400):
+        item = items[n % 40]
+        shingled = len(item) - 4
+        lost = next(k for k in range(shingled // 9, 0, -1) if (shingled - k) / (shingled + k) >= 0.8)
+        lost = lost if n % 3 else pick.randint(-(-shingled // 19), lost)
+        other = [pick.choice(words) for _ in range(lost)] if n % 5 else [pick.choice(words)] * lost
+        held = item[:-lost] + other if n % 2 else other + item[lost:]
+        docs.append((n, " ".join([pick.choice(words) for _ in range(20)] + held + [pick.choice(words) for _ in range(20)])))
+        expected[n, n % 40] = round((shingled - lost) / (shingled + lost), 9)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert 0.8 <= min(expected.values()) < 0.82
+    found = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert found.keys() == expected.keys()
+    assert all(found[p] >= s - 1e-9 for p, s in expected.items())
+
+
 def test_clean_keeps_the_rest_whole(spark, odd_documents, no_documents):
     bench = spark.createDataFrame([(1, "nothing like it at all here"), (2, "short one")], "item_id long, text string")
     kept = decontaminate.clean(odd_documents, bench)
