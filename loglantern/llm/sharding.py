@@ -2,15 +2,19 @@
 
 Documents that share a group (equal texts, or any other links given as groups) should meet
 in one shard. Linked documents start spread evenly. In each round a group's members are
-counted per shard (so that no pair of documents is ever made) and the group votes with that
-count for the shard that most of them are in, ties going the same way for a whole group; a
-document asks to move where most votes of its groups point. A mover from a to b
+counted per shard (so that no pair of documents is ever made) and the group votes with these
+counts, ties going the same way for a whole group within a round; a document asks to move
+where most votes of its groups point. A mover from a to b
 is let through if another moves from b to a, or if b has room; per pair of shards the number
 is a quota, and movers are taken in hash order. So no shard ever exceeds its share of the
-rows. Documents without links fill what is left, so that counts differ by one at most.
+rows. Then follow rounds that fill: members ask for the fullest shard of their group that has
+room, a group that is too large for it for as many shards as it fills, until no wish is granted
+(or, at the latest, after as many rounds as there are shards).
+Documents without links fill what is left, so that counts differ by one at most.
 
 Ranks are taken from bucket sums, so no shard, pair or group meets in one task; the tables
-that are broadcast have one row per shard or pair of shards.
+that are broadcast have one row per shard or pair of shards. A vote is one row with a number
+per shard.
 
 Defined cases: a null text has no size, no checksum and no links; empty texts are equal
 texts; repeated rows are rows of their own; with fewer rows than shards some shards stay
@@ -51,16 +55,59 @@ def _capacity(rows: int, shards: int) -> Column:
     return F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("int")
 
 
-def _wishes(state: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, order, from, to) of linked documents most of whose neighbours are elsewhere."""
+def _votes(state: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """The linked rows with ``votes``, members of their groups per shard, and a ``seed`` that a group shares."""
     members = links.join(state.select("row", "shard"), "row")
-    counts = members.groupBy("group", "shard").agg(F.count("*").alias("n"))
-    per_shard = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
-    label = counts.groupBy("group").agg(F.max(per_shard).alias("s"))
-    votes = links.join(label, "group")
-    sums = votes.groupBy("row", F.col("s.shard").alias("to")).agg(F.sum("s.n").alias("n"), F.max("s.tie").alias("tie"))
-    best = sums.groupBy("row").agg(F.max(F.struct("n", "tie", "to"))["to"].alias("to"))
-    return state.join(best, "row").where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
+    inside = [F.sum((F.col("shard") == s).cast("long")) for s in range(shards)]
+    spread = members.groupBy("group").agg(F.array(*inside).alias("spread"))
+    sums = [F.sum(F.get("spread", F.lit(s))) for s in range(shards)]
+    votes = links.join(spread, "group").groupBy("row").agg(F.array(*sums).alias("votes"), F.max(F.xxhash64("group")).alias("seed"))
+    return state.join(votes, "row")
+
+
+def _asking(voted: DataFrame, to: Column) -> DataFrame:
+    return voted.withColumn("to", to).where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
+
+
+def _wishes(voted: DataFrame, number: int) -> DataFrame:
+    """(row, order, from, to) of linked documents most of whose neighbours are elsewhere."""
+
+    def label(n: Column, s: Column) -> Column:
+        return F.struct(n.alias("n"), F.xxhash64("seed", s, F.lit(number)).alias("tie"), s.alias("to"))
+
+    return _asking(voted, F.array_max(F.transform("votes", label))["to"])
+
+
+def _filling(voted: DataFrame, rooms: list[int], number: int) -> DataFrame:
+    """(row, order, from, to) of documents that ask for their groups' fullest shards with room.
+
+    A group's homes are the fullest shards that have room, as many as the members elsewhere
+    need. These are dealt over the homes by hash, up to each one's room; who is in a home, or
+    has more neighbours where it is, stays.
+    """
+    room = F.array(*[F.lit(r).cast("long") for r in rooms])
+
+    def label(n: Column, s: Column) -> Column:
+        return F.struct(n.alias("n"), F.xxhash64("seed", s, F.lit(number)).alias("tie"), s.alias("shard"), F.get(room, s).alias("room"))
+
+    def add(found: Column, shard: Column) -> Column:
+        upto = found["upto"] + shard["room"]
+        home = F.struct(upto.alias("upto"), shard["shard"].alias("shard"), shard["n"].alias("n"))
+        more = F.struct(F.concat(found["homes"], F.array(home)).alias("homes"), upto.alias("upto"), (found["away"] - shard["n"]).alias("away"))
+        return F.when(found["upto"] < found["away"], more).otherwise(found)
+
+    open_shards = F.sort_array(F.filter(F.transform("votes", label), lambda e: e["room"] > 0), asc=False)
+    ranked = voted.withColumn("open", open_shards).where(F.size("open") > 0)
+    mobile = F.filter(F.transform("votes", label), lambda e: (e["room"] > 0) | (e["n"] <= F.get("open", F.lit(0))["n"]))
+    away = F.aggregate(mobile, F.lit(0).cast("long"), lambda n, e: n + e["n"])
+    none = F.expr("struct(cast(array() as array<struct<upto: bigint, shard: int, n: bigint>>) as homes, 0L as upto)")
+    start = F.struct(none["homes"].alias("homes"), none["upto"].alias("upto"), away.alias("away"))
+    dealt = ranked.withColumn("found", F.aggregate("open", start, add)).select("*", F.col("found.homes").alias("homes"))
+    spot = F.pmod(F.xxhash64("row", "order", F.lit(number)), F.greatest(F.least("found.away", "found.upto"), F.lit(1)))
+    chosen = dealt.withColumn("spot", spot).withColumn("home", F.get(F.filter("homes", lambda h: h["upto"] > F.col("spot")), F.lit(0)))
+    settled = F.exists("homes", lambda h: h["shard"] == F.col("shard"))
+    better = F.get("votes", F.col("shard")) <= F.col("home.n")
+    return _asking(chosen.where(~settled & better), F.col("home.shard"))
 
 
 def _quotas(wishes: DataFrame, state: DataFrame, rows: int, shards: int) -> DataFrame:
@@ -74,29 +121,54 @@ def _quotas(wishes: DataFrame, state: DataFrame, rows: int, shards: int) -> Data
     )
     swaps = F.least("n", F.coalesce("back", F.lit(0)))
     demand = F.sum("rest").over(Window.partitionBy("to"))
+    upto = F.sum("rest").over(Window.partitionBy("to").orderBy("from"))
+
+    def share(n: Column) -> Column:
+        """Of the free rows, those of the first ``n`` that ask; no free row is lost to rounding."""
+        return F.floor(F.col("free") * n / F.greatest("demand", "free", F.lit(1)))
+
     return (
         asked.join(back, ["from", "to"], "left")
         .join(free, "to")
         .withColumn("swaps", swaps)
         .withColumn("rest", F.col("n") - F.col("swaps"))
-        .withColumn("quota", F.col("swaps") + F.when(demand > 0, F.floor(F.col("free") * F.col("rest") / F.greatest(demand, "free"))).otherwise(0))
+        .withColumns({"demand": demand, "upto": upto})
+        .withColumn("quota", F.col("swaps") + share(F.col("upto")) - share(F.col("upto") - F.col("rest")))
         .select("from", "to", "quota")
     )
 
 
+def _loads(state: DataFrame) -> dict[int, int]:
+    return {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
+
+
 def propagate(slim: DataFrame, links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(row, order, shard) of linked documents after the last round; no shard exceeds its share of ``rows``."""
     linked = slim.join(links.select("row").distinct(), "row").select("row", "order")
     even = placed(linked.withColumn("all", F.lit(0)), ["all"], ["order", "row"])
     state = lasting(even.select("row", "order", F.pmod("position", F.lit(shards)).cast("int").alias("shard")))
-    for _ in range(rounds):
-        wishes = lasting(_wishes(state, links))
+
+    def granted(wishes: DataFrame) -> DataFrame:
+        """(row, to) of the wishes within the quotas."""
+        wishes = lasting(wishes)
         quotas = _quotas(wishes, state, rows, shards)
         ranked = placed(wishes, ["from", "to"], ["order", "row"], buckets=64)
-        moved = ranked.join(F.broadcast(quotas), ["from", "to"]).where("position < quota").select("row", "to")
-        state = lasting(
-            state.join(moved, "row", "left").select("row", "order", F.coalesce("to", "shard").alias("shard"))
-        )
+        return lasting(ranked.join(F.broadcast(quotas), ["from", "to"]).where("position < quota").select("row", "to"))
+
+    def moved(movers: DataFrame) -> DataFrame:
+        return lasting(state.join(movers, "row", "left").select("row", "order", F.coalesce("to", "shard").alias("shard")))
+
+    for number in range(rounds):
+        state = moved(granted(_wishes(_votes(state, links, shards), number)))
+    for number in range(rounds, rounds + shards):
+        loads = _loads(state)
+        rooms = [rows // shards + (s < rows % shards) - loads.get(s, 0) for s in range(shards)]
+        if not any(rooms):
+            break
+        movers = granted(_filling(_votes(state, links, shards), rooms, number))
+        if movers.isEmpty():
+            break
+        state = moved(movers)
     return state
 
 
@@ -104,7 +176,7 @@ def shard(slim: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     """The slim rows with ``shard`` and ``slot``; ``links`` has (row, group)."""
     total = slim.count()
     state = propagate(slim, links, total, shards, rounds)
-    loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
+    loads = _loads(state)
     alone = placed(slim.join(state.select("row"), "row", "left_anti").withColumn("all", F.lit(0)), ["all"], ["order", "row"], buckets=4096)
     place, upto = F.lit(shards - 1), 0
     ends = []
@@ -125,6 +197,13 @@ def cut_share(sharded: DataFrame, links: DataFrame) -> DataFrame:
     return groups.agg(F.sum("all").alias("linked"), F.sum(F.col("all") - F.col("most")).alias("apart"))
 
 
+def pairs_together(sharded: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: linked pairs (per group) and those that share a shard."""
+    counts = links.join(sharded.select("row", "shard"), "row").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("together"))
+    return groups.agg(F.sum(F.col("all") * (F.col("all") - 1) / 2).alias("pairs"), F.sum("together").alias("together"))
+
+
 def shard_texts(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Documents linked by equal texts, in shards of equal row counts."""
     slim = documents(docs)

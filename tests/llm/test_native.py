@@ -117,6 +117,25 @@ def test_shards_hold_equal_rows_and_linked_ones_meet(spark, sizes):
     assert apart <= max(by_chance * 0.5, 2) + oversize
 
 
+def test_a_group_larger_than_a_shard_fills_several(spark):
+    """A third of all rows in one group, and pairs beside it: both meet as far as shards have room."""
+    sizes = [320] + [2] * 60 + [1] * 520
+    rows = [(n, f"text {g}") for n, g in enumerate(g for g, size in enumerate(sizes) for _ in range(size))]
+    slim = sharding.documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = sharding.text_links(slim)
+    out = sharding.shard(slim, links, shards=8).collect()
+    counts = [sum(r.shard == s for r in out) for s in range(8)]
+    assert counts == [120] * 8
+    by_text = {}
+    for r in out:
+        by_text.setdefault(r.group, []).append(r.shard)
+    hot = next(p for p in by_text.values() if len(p) == 320)
+    together = sum(hot.count(s) ** 2 for s in range(8)) / 320**2
+    assert together >= 0.3  # 0.34 with two full shards and the rest in a third, 0.125 by chance
+    pairs = [p for p in by_text.values() if len(p) == 2]
+    assert sum(a == b for a, b in pairs) >= 50
+
+
 def test_links_of_any_kind(spark):
     """Two rings of linked documents end in fewer shards than chance would put them in."""
     slim = spark.range(60).select(F.col("id").alias("row"), F.xxhash64("id").alias("order"))
