@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from pyspark.sql import functions as F
 
 from loglantern.operators import answers, evaluate, memo, models, profile, reports

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 
 from loglantern.plans import all_oracles, all_queries
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from pyspark.sql import functions as F
 
 from loglantern.operators import chunks, features, memo, ordered, parse, profile, reports
