@@ -213,3 +213,172 @@ alike AS (SELECT *, round(common / (len(x) + len(y) - common), 9) AS similarity
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, similarity FROM alike WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit; -1 stands for a step to the next bit."""
+    eight = ", ".join(["-1"] * 8)
+    steps = f"[4294967295]::BIGINT[] || flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, {eight}]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce({steps}, lambda c, x: {step}), 4294967295)"
+
+
+# --- Merkle manifest: all nodes level by level, and a walk up from every leaf ---------------
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + "))"
+
+
+def _walk(name: str, start: str, nodes: str) -> str:
+    """From (id, grp, spot, n, honest, folded, path): all levels of a tree of nodes (grp, level, spot, n, h)."""
+    return f"""
+{name} AS (
+  SELECT * FROM ({start})
+  UNION ALL
+  SELECT w.id, w.grp, w.level + 1, w.spot // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN w.honest WHEN w.spot % 2 = 1 THEN s.h || w.honest ELSE w.honest || s.h END),
+         sha256(CASE WHEN s.h IS NULL THEN w.folded WHEN w.spot % 2 = 1 THEN s.h || w.folded ELSE w.folded || s.h END),
+         w.path || coalesce(s.h, '')
+  FROM {name} w LEFT JOIN {nodes} s ON s.grp = w.grp AND s.level = w.level AND s.spot = xor(w.spot, 1)
+  WHERE w.n > 1
+)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    return f"""
+{name} AS (
+  {leaves}
+  UNION ALL
+  SELECT grp, level + 1, spot // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY spot)) FROM {name}
+  WHERE n > 1 GROUP BY grp, level + 1, spot // 2, (n + 1) // 2
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS grp, {_leaf("n_chars")} AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0
+              THEN {_leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS tampered
+  FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY grp) AS n
+  FROM docs
+),
+{_tree("nodes", "SELECT grp, 0 AS level, spot, n, leaf AS h FROM placed")},
+tops AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS spot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree("above", "SELECT '' AS grp, 0 AS level, spot, n, h FROM tops")},
+{_walk("up", "SELECT id, grp, 0 AS level, spot, n, leaf AS honest, coalesce(tampered, leaf) AS folded, '' AS path FROM placed", "nodes")},
+reached AS (SELECT u.id, t.spot, t.n, u.honest, u.folded, u.path FROM up u JOIN tops t USING (grp) WHERE u.n = 1),
+{_walk("over", "SELECT id, '' AS grp, 0 AS level, spot, n, honest, folded, path FROM reached", "above")}
+SELECT d.doc_id, d.leaf, r.honest AS subroot, o.honest AS root, sha256(o.path) AS proof_sha256,
+       o.folded AS folded_root, o.folded = o.honest AS verified
+FROM docs d JOIN reached r USING (id) JOIN over o USING (id)
+WHERE o.n = 1
+"""
+
+
+# --- conversation repair: (cost, edits) of each state, compared as they are ---------------------
+def _best(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w.cost IS NOT NULL))"
+
+
+def _edit(letter: str, cost: str, rest: str) -> str:
+    return f"{{'cost': {rest}.cost + {cost}, 'audit': '{letter}' || {rest}.audit}}"
+
+
+def _insertable(v: dict[str, str]) -> dict[str, str]:
+    """Each state after as many as two inserts; v0 nothing yet, v1 system, v2 user, v3 assistant."""
+    to = {"0": "2", "1": "2", "2": "3", "3": "2"}
+    once = {s: _edit("I", "2", v[t]) for s, t in to.items()}
+    twice = {s: _edit("I", "2", "(" + once[t] + ")") for s, t in to.items()}
+    return {s: _best(v[s], f"({once[s]})", f"({twice[s]})") for s in to}
+
+
+def _states(v: dict[str, str]) -> str:
+    return ", ".join(f"{x} AS v{s}" for s, x in v.items())
+
+
+def _turn_ways() -> dict[str, str]:
+    stays = "r.fault IS DISTINCT FROM 'blank' AND r.fault IS DISTINCT FROM 'duplicate'"
+    extra = "CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END"
+    after, initial = {"0": "2", "1": "2", "2": "3", "3": "2"}, {"2": "u", "3": "a"}
+    ways = {}
+    for s, t in after.items():
+        keep = _edit("K", f"(CASE WHEN {stays} AND r.initial = '{initial[t]}' THEN {extra} END)", f"b.v{t}")
+        rerole = _edit("R", f"(CASE WHEN {stays} THEN 2 + {extra} END)", f"b.v{t}")
+        opening = [_edit("K", f"(CASE WHEN {stays} AND r.initial = 's' THEN {extra} END)", "b.v1")] if s == "0" else []
+        ways[s] = _best(_edit("D", "3", f"b.v{s}"), keep, rerole, *opening)
+    return ways
+
+
+_NONE = "{'cost': CAST(NULL AS BIGINT), 'audit': CAST(NULL AS VARCHAR)}"
+_END = "{'cost': CAST(0 AS BIGINT), 'audit': ''}"
+_PUNCTUATION = "[.!?]"
+
+REPAIR = f"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm
+  FROM conversations
+),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '{_PUNCTUATION}', '', 'g') ELSE text END AS text
+  FROM drawn, range(2) copies(i) WHERE harm <> 0 AND (i = 0 OR harm = 3)
+),
+numbered AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n,
+         regexp_extract(text, '([^ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*$', 1) AS last,
+         substr(role, 1, 1) AS initial
+  FROM harmed
+),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM numbered
+),
+ends AS (SELECT {_states(_insertable({"0": _END, "1": _NONE, "2": _NONE, "3": _END}))}),
+back AS (
+  SELECT conv, n + 1 AS i, v0, v1, v2, v3 FROM (SELECT DISTINCT conv, n FROM judged), ends
+  UNION ALL
+  SELECT conv, i, {_states(_insertable({s: f"w{s}" for s in "0123"}))}
+  FROM (SELECT b.conv, r.i, {", ".join(f"{x} AS w{s}" for s, x in _turn_ways().items())}
+        FROM back b JOIN judged r ON r.conv = b.conv AND r.i = b.i - 1)
+),
+least AS (SELECT conv, v0.cost AS cost, v0.audit AS audit FROM back WHERE i = 1),
+walk AS (
+  SELECT conv, 0 AS p, 0 AS i, 0 AS state, audit, '' AS made, false AS any_made FROM least
+  UNION ALL
+  SELECT w.conv, w.p + 1, CASE WHEN e = 'I' THEN w.i ELSE w.i + 1 END,
+         CASE WHEN e = 'D' THEN w.state WHEN e = 'K' AND r.initial = 's' THEN 1 WHEN w.state = 2 THEN 3 ELSE 2 END,
+         w.audit,
+         CASE WHEN e = 'D' THEN w.made ELSE w.made || CASE WHEN w.any_made THEN chr(10) ELSE '' END
+              || CASE WHEN e = 'K' THEN r.role WHEN w.state = 2 THEN 'assistant' ELSE 'user' END || ':'
+              || CASE WHEN e = 'I' THEN '' ELSE r.text END END,
+         w.any_made OR e <> 'D'
+  FROM (SELECT *, substr(audit, p + 1, 1) AS e FROM walk) w
+  LEFT JOIN judged r ON r.conv = w.conv AND r.i = w.i + 1
+  WHERE w.p < length(w.audit)
+),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(l.audit, '') AS audit,
+       sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv FROM conversations) c
+LEFT JOIN counted USING (conv) LEFT JOIN least l USING (conv)
+LEFT JOIN (SELECT conv, made FROM walk WHERE p = length(audit)) USING (conv)
+"""

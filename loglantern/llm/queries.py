@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm import chat, chosen_path, decontaminate, kdtree, mixing, oracles, quality, sharding, toxicity, url_reputation, warc
+from loglantern.llm import (
+    chat,
+    chosen_path,
+    decontaminate,
+    kdtree,
+    merkle,
+    mixing,
+    oracles,
+    pivots,
+    quality,
+    repair,
+    sharding,
+    toxicity,
+    url_reputation,
+    warc,
+)
 from loglantern.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -123,6 +138,38 @@ def op3_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
 def op2_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     found = chosen_path.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "class_size", "links")
+
+
+@query
+def op11_pivot_tables(spark: SparkSession, folder: str) -> DataFrame:
+    found = pivots.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op12_integer_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged by checksum, then repaired."""
+    harmed = repair.damaged(table(spark, folder, "conversations"))
+    told = repair.repaired(harmed, F.col("gone"))
+    return told.withColumn("repaired_sha256", repair.turns_digest(F.col("repaired"))).drop("repaired")
+
+
+@query
+def op13_octopus_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof, checked with its leaf or, for one id in seven, with that of a document one sign longer."""
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    longer = F.col("n_chars").cast("decimal(20,0)") + 1
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    tampered = F.when(changed & F.col("n_chars").isNotNull(), merkle.leaf(*own[:3], longer, own[4]))
+    made = merkle.manifest(merkle.leaves(table(spark, folder, "documents"), tampered=tampered))
+    found = merkle.proofs(made)
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return found.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 ORACLE |= {
     "op1_url_reputation": oracles.url_reputation_sql(RULES),
     "op2_chosen_path": oracles.NEAR_DUPLICATES,
@@ -130,4 +177,6 @@ ORACLE |= {
     "op5_warc_derivatives": oracles.warc_sql(DATE),
     "op6_chat_format": oracles.chat_sql(ATTACK),
     "op7_source_schedule": oracles.mixing_sql(),
+    "op12_integer_repair": oracles.REPAIR,
+    "op13_octopus_manifest": oracles.MERKLE,
 }
