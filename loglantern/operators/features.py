@@ -1,12 +1,24 @@
-"""Text features: normalised text, structural flags, terms, vocabulary and tf-idf weights."""
+"""Text features: normalised text, structural flags, terms, vocabulary and tf-idf weights.
+
+Terms are counted from a log's ``words``, the words of its normalised text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import math
+
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
 from loglantern.functions.text import any_case, one_line, strip
+from loglantern.session import keep
+
+#: Counters of the first, rough count of terms.
+BUCKETS = 1 << 20
 
 STRUCTURAL_NAMES = ("log_length", "num_lines", *[name for name, _, _ in fx.STRUCTURAL_FLAGS])
 
@@ -31,83 +43,119 @@ def structural_features(text: Column) -> list[Column]:
     ]
 
 
-def terms_of(clean_text: Column) -> Column:
-    """Words of at least two characters, and pairs of neighbouring words."""
-    words = F.regexp_extract_all(F.lower(clean_text), F.lit(fx.TOKEN), 0)
+def words_of(clean_text: Column) -> Column:
+    """Words of at least two characters."""
+    return F.regexp_extract_all(F.lower(clean_text), F.lit(fx.TOKEN), 0)
 
-    def with_pairs(tokens: Column) -> Column:
-        firsts = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-        seconds = F.slice(tokens, 2, F.size(tokens))
-        return F.concat(tokens, F.zip_with(firsts, seconds, lambda a, b: F.concat_ws(" ", a, b)))
 
-    return with_pairs(words)
+def terms_of(words: Column) -> Column:
+    """Words, and pairs of neighbouring words."""
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    seconds = F.slice(words, 2, F.size(words))
+    return F.concat(words, F.zip_with(firsts, seconds, lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """Occurrences of each term per log.
+    """Occurrences of each term per log, from its ``words``.
 
     All terms of a log leave the same row, so they are counted before the shuffle.
     """
     return (
-        texts.select("log_id", F.explode(terms_of(F.col("clean"))).alias("term"))
+        texts.select("log_id", F.explode(terms_of(F.col("words"))).alias("term"))
         .groupBy("log_id", "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def term_frequencies(texts: DataFrame) -> DataFrame:
-    """Per term the logs that hold it (``df``) and its occurrences (``freq``).
+def marked_terms(texts: DataFrame) -> DataFrame:
+    """(term, first, bucket) of every term of every log; ``first`` marks one of a log's equal terms.
 
-    The first of equal terms in a log's sorted terms marks the log, so one count per
-    term does for both and only terms are shuffled, not pairs of log and term.
+    ``bucket`` is one of ``BUCKETS`` the term's hash falls into.
     """
-    ordered = texts.select(F.sort_array(terms_of(F.col("clean"))).alias("terms"))
+    ordered = texts.select(F.sort_array(terms_of(F.col("words"))).alias("terms"))
     marked = F.zip_with(
         F.col("terms"),
         F.concat(F.array(F.lit("")), F.col("terms")),
         lambda term, before: F.struct(term.alias("term"), (term != before).alias("first")),
     )
-    return (
-        ordered.select(F.inline(marked))
-        .filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count_if("first").alias("df"), F.count("*").alias("freq"))
-    )
+    flat = ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
+    return flat.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+
+
+def _usual(n_logs: int) -> Column:
+    most = F.lit(float(n_logs)) * F.lit(fx.VOCABULARY_MAX_SHARE)
+    return (F.col("df") >= fx.VOCABULARY_MIN_DOCS) & (F.col("df") <= most)
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """The most frequent terms found in at least two logs and at most 80 % of them.
+    """The most frequent terms found in at least two logs and at most 80 % of them, with their numbers.
 
-    Ties go to the term that sorts first.
+    Ties go to the term that sorts first.  Terms are first counted by hash bucket, in
+    ``BUCKETS`` counters per task that are then added up: no term is more frequent than its
+    bucket.  A bucket that holds a single term tells its exact numbers, so the buckets of
+    that kind give a number of occurrences that the last term of the vocabulary reaches at
+    least.  Only terms of buckets that reach it are counted by name.
     """
-    total = texts.agg(F.count("*").alias("n_logs"), F.lit(1).alias("k"))
-    # the total is one row
-    return (
-        term_frequencies(texts)
-        .filter(F.col("df") >= fx.VOCABULARY_MIN_DOCS)
-        .withColumn("k", F.lit(1))
-        .join(F.broadcast(total), "k")
-        .filter(F.col("df") <= F.col("n_logs") * F.lit(fx.VOCABULARY_MAX_SHARE))
-        .orderBy(F.desc("freq"), "term")
-        .limit(fx.VOCABULARY_SIZE)
-        .select("term", "df", "freq", "n_logs")
+    n_logs = texts.count()
+    terms = marked_terms(texts)
+    other = F.xxhash64("term", F.lit(1))
+    buckets = keep(
+        terms.groupBy("bucket").agg(
+            F.count("*").alias("freq"), F.count_if("first").alias("df"), (F.min(other) == F.max(other)).alias("single")
+        )
     )
+    sure = buckets.filter(F.col("single") & _usual(n_logs)).orderBy(F.desc("freq")).limit(fx.VOCABULARY_SIZE)
+    known = sure.agg(F.count("*").alias("terms"), F.min("freq").alias("least")).first()
+    bar = known["least"] if known["terms"] == fx.VOCABULARY_SIZE else 0
+    # no more rows than BUCKETS
+    wanted = F.broadcast(buckets.filter(F.col("freq") >= bar).select("bucket"))
+    counted = terms.join(wanted, "bucket", "left_semi").groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("freq"))
+    chosen = counted.filter(_usual(n_logs)).orderBy(F.desc("freq"), "term").limit(fx.VOCABULARY_SIZE)
+    return chosen.select("term", "df", "freq", F.lit(n_logs).cast("bigint").alias("n_logs"))
+
+
+def known_terms(vocabulary_rows: DataFrame) -> tuple[list[str], list[float]]:
+    """The vocabulary (``VOCABULARY_SIZE`` terms at most) in alphabetical order, and the inverse document frequencies."""
+    rows = sorted(vocabulary_rows.collect(), key=lambda r: r["term"])
+    return [r["term"] for r in rows], [math.log((1 + r["n_logs"]) / (1 + r["df"])) + 1 for r in rows]
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A list as one literal; one per value would make a long plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def counted_terms(texts: DataFrame, terms: list[str], into: str = "counts") -> DataFrame:
+    """Adds a vector of the occurrences of the known terms among a log's ``words``."""
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="terms_", outputCol=into)
+    listed = F.coalesce(terms_of(F.col("words")), F.array().cast("array<string>"))
+    return counter.transform(texts.withColumn("terms_", listed)).drop("terms_")
+
+
+def term_weights(counts: Column, idf: list[float]) -> Column:
+    """Weights (1 + ln tf) * idf of a vector of counts, not yet scaled; 0 for terms a log has not."""
+    factors = _constant(idf, "array<double>")
+    return F.transform(vector_to_array(counts), lambda tf, at: F.when(tf > 0, (1 + F.log(tf)) * F.get(factors, at)).otherwise(0.0))
 
 
 def tfidf(texts: DataFrame, vocabulary_rows: DataFrame) -> DataFrame:
     """Weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per log.
 
-    Terms outside the vocabulary (500 rows at most) drop out before anything is shuffled.
+    The vocabulary is handed to the tasks; a log's terms are counted and weighed within its
+    row, so nothing is shuffled.
     """
-    idf = F.log((1 + F.col("n_logs")) / (1 + F.col("df"))) + 1
-    known = vocabulary_rows.select("term", idf.alias("idf"))
-    counts = (
-        texts.select("log_id", F.explode(terms_of(F.col("clean"))).alias("term"))
-        .join(F.broadcast(known), "term")
-        .groupBy("log_id", "term")
-        .agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
-    )
-    raw = counts.select("log_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    # a log holds each vocabulary term once: 500 rows per window at most
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("log_id")))
-    return raw.select("log_id", "term", (F.col("raw") / norm).alias("weight"))
+    terms, idf = known_terms(vocabulary_rows)
+    if not terms:
+        return texts.select("log_id", F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    counted = counted_terms(texts, terms).select("log_id", "counts")
+    names = _constant(terms, "array<string>")
+
+    def with_length(weights: Column) -> Column:
+        present = F.transform(weights, lambda w, at: F.struct(F.get(names, at).alias("term"), w.alias("raw")))
+        norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda total, w: total + w * w))
+        return F.struct(F.filter(present, lambda e: e["raw"] > 0).alias("present"), norm.alias("norm"))
+
+    # inlined, so that the list is made once for both its length and its rows
+    told = counted.select("log_id", F.inline(F.transform(F.array(term_weights(F.col("counts"), idf)), with_length)))
+    rows = told.select("log_id", "norm", F.inline("present"))
+    return rows.select("log_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))

@@ -1,10 +1,10 @@
 """Order-dependent steps over the lines of a log, safe for a log of any length.
 
-Every line carries a ``slice``: 0, 1, ... for runs of ``SLICE_ROWS`` consecutive lines of
-its log.  Windows run per (log, slice), so none ever holds a whole long log.  What a slice
-must know of the earlier ones (which stage is open) travels in a table with one row per
-slice, joined on the keys the lines are already partitioned by.  The plan is the same
-whatever the size of the logs, and nothing runs while it is built.
+Lines are sorted by ranges of (log, time, tie).  A log's lines within one range are a
+``slice``: windows run per (log, slice), so none ever holds a whole long log, a burst of
+one second or all lines without a time.  What a slice must know of the earlier ones (how
+many lines they hold, which stage is open) travels in a table with one row per slice, joined
+on the keys the lines are already partitioned by.
 """
 
 from __future__ import annotations
@@ -13,63 +13,56 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SLICE_ROWS = 250_000
-
-#: Stretch of time whose lines are counted together before lines are numbered.
-CHUNK_SECONDS = 3600
-#: The stretch of lines without a time, before all others.
-FIRST_CHUNK = -(1 << 62)
 
+from loglantern.session import keep
 
-def _seconds(rows: DataFrame, at: str) -> Column:
-    """A whole number that never falls as ``at`` grows, whatever the session's time zone."""
-    moment = F.col(at)
-    if isinstance(rows.schema[at].dataType, T.TimestampNTZType):
-        days = F.datediff(moment, F.lit("1970-01-01"))
-        of_day = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
-        return days.cast("bigint") * 86_400 + of_day
-    return F.unix_seconds(moment)
+#: Lines of a slice of a log that is one text.
+SLICE_ROWS = 250_000
 
 
-def number_rows(
-    rows: DataFrame,
-    key: str,
-    at: str,
-    tie: str,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """Add ``line_number`` (1-based by ``at``, ``tie`` within ``key``), ``log_rows`` and ``slice``.
+def number_rows(rows: DataFrame, key: str, at: str, tie: str, parts: int | None = None) -> DataFrame:
+    """Add ``line_number`` (1-based by ``at``, ``tie`` within ``key``), ``log_rows``, ``slice`` and ``is_cut``.
 
-    Lines are counted per log and stretch of time; sums of these counts number the first
-    line of each stretch, a window within the stretch the others.  Lines without a time
-    come first.
+    Rows are sorted into ``parts`` ranges (as many as the session shuffles into, if None),
+    whose bounds Spark samples, and written once: bounds drawn anew would number anew.  A
+    window numbers a log's lines within a range, and sums of counts number the ranges of
+    the logs that lie in several.  Those are at most two rows per range, so they are
+    broadcast.  Lines without a time come first; repeated lines keep some order.  ``is_cut``
+    marks the lines of logs that lie in several slices.
     """
-    chunk = F.floor(_seconds(rows, at) / CHUNK_SECONDS)
-    cut = rows.withColumn("chunk_", F.coalesce(chunk, F.lit(FIRST_CHUNK)))
-    counts = cut.groupBy(key, "chunk_").agg(F.count("*").alias("n_"))
+    order = [F.col(c).asc_nulls_first() for c in (key, at, tie, "row_")]
+    marked = rows.withColumn("row_", F.monotonically_increasing_id())
+    cut = marked.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    spot = F.monotonically_increasing_id()
+    sorted_rows = keep(cut.drop("row_").withColumn("spot_", spot).withColumn("slice", F.shiftright("spot_", 33)))
+
+    one = Window.partitionBy(key, "slice")
     whole = Window.partitionBy(key)
-    earlier = whole.orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        key,
-        "chunk_",
+    earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sorted_rows.groupBy(key, "slice").agg(F.count("*").alias("n_"))
+    spanning = counts.select(
+        F.col(key).alias("key_"),
+        F.col("slice").alias("slice_"),
         F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"),
-        F.sum("n_").over(whole).alias("log_rows"),
-    )
-    spot = F.row_number().over(Window.partitionBy(key, "chunk_").orderBy(at, tie))
-    numbered = cut.join(starts, [key, "chunk_"]).withColumn(
-        "line_number", (F.col("before_") + spot).cast("bigint")
+        F.sum("n_").over(whole).alias("all_"),
+        F.count("*").over(whole).alias("slices_"),
+    ).filter("slices_ > 1")
+    here = sorted_rows.withColumns(
+        {"place_": F.row_number().over(one.orderBy("spot_")), "here_": F.count("*").over(one)}
     )
-    return numbered.select(
+    same = F.col(key).eqNullSafe(F.col("key_")) & (F.col("slice") == F.col("slice_"))
+    return here.join(F.broadcast(spanning), same, "left").select(
         *rows.columns,
-        "line_number",
-        "log_rows",
-        F.floor((F.col("line_number") - 1) / slice_rows).cast("bigint").alias("slice"),
+        (F.col("place_") + F.coalesce("before_", F.lit(0))).cast("bigint").alias("line_number"),
+        F.coalesce("all_", "here_").alias("log_rows"),
+        "slice",
+        F.col("all_").isNotNull().alias("is_cut"),
     )
 
 
 LINE_KEYS = ["log_id", "slice"]
+#: What places a line: its log, slice, and whether the log has other slices.
+PLACE = [*LINE_KEYS, "is_cut"]
 
 
 def log_context(
@@ -83,6 +76,9 @@ def log_context(
     ``latest``: the last non-null value of an expression at or before the line.
     ``earliest``: the first non-null value in the log.
     ``anywhere``: whether a condition holds on any line of the log.
+
+    A window over the slice says all that a log of one slice needs; only lines of logs cut
+    into several are looked at again, and only these logs have rows in the table of slices.
     """
     latest, anywhere, earliest = dict(latest or {}), dict(anywhere or {}), dict(earliest or {})
     marked = lines.select(
@@ -97,7 +93,7 @@ def log_context(
     all_lines = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here |= {n: F.first(f"{n}_now", ignorenulls=True).over(all_lines) for n in earliest}
     per_slice = (
-        marked.groupBy(*LINE_KEYS)
+        marked.filter("is_cut").groupBy(*LINE_KEYS)
         .agg(
             *[
                 pick(

@@ -115,12 +115,12 @@ def read_lines(lines: DataFrame, rules: Sequence[PlatformRules] = PLATFORM_RULES
         & (~line.contains(r.fail_mask) if r.fail_mask else F.lit(True)),
     )
     may_be_critical = F.coalesce(_by_platform(rules, lambda _, r: F.lit(r.critical)), F.lit(False))
-    # one inline row: the tests run once, however often their outcome is used below
-    tested = F.struct(
-        kind.alias("kind"), (known & ~F.col("skipped") & ~noted & lr.is_retry(line)).alias("is_retry")
-    )
-    classified = placed.select("*", F.inline(F.array(tested))).withColumn(
-        "in_stage", F.coalesce(F.col("stage") != "", F.lit(False))
+    classified = placed.withColumns(
+        {
+            "kind": kind,
+            "is_retry": known & ~F.col("skipped") & ~noted & lr.is_retry(line),
+            "in_stage": F.coalesce(F.col("stage") != "", F.lit(False)),
+        }
     )
     is_critical = (
         may_be_critical & ~noted & F.col("context").isNotNull() & F.lower(line).contains("critical")
@@ -181,7 +181,7 @@ def roll_up(
         _one_if(F.col("level") == "CRITICAL").alias("criticals"),
         F.lit(None).cast("bigint").alias("opened_at"),
         F.lit(0).alias("failed"),
-        *[_one_if(flag).alias(n) for n, flag in signs],
+        *[F.col(n) for n, _ in signs],
     )
     marked = F.struct(
         F.col("stage").alias("name"),
@@ -193,8 +193,9 @@ def roll_up(
     both = F.when(
         F.col("opens").isNotNull() | F.col("fails_stage"), F.array(counted, marked)
     ).otherwise(F.array(counted))
+    told = facts.withColumns({n: _one_if(flag) for n, flag in signs})
     return (
-        facts.select(*keys, F.inline(both))
+        told.select(*keys, F.inline(both))
         .groupBy(*keys, "name")
         .agg(
             *[F.sum(n).alias(n) for n in ("lines", "errors", "warnings", "retries", "criticals")],

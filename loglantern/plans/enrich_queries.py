@@ -14,6 +14,7 @@ from loglantern.operators.parse import neighbours, stage_context
 from loglantern.plans.duck import FACTS, LINES, SUMMARY, any_of, extract, matches, q, sql, trim
 from loglantern.plans.line_queries import _RANKED
 from loglantern.plans.registry import Registry
+from loglantern.session import keep
 from loglantern.sources import corpus
 from loglantern.sources.raw_logs import split_lines
 
@@ -157,7 +158,7 @@ _SUMMARY_PROMPT = _filled(
 @query("summary_prompt", sql(SUMMARY + _TEXTS, f"""SELECT log_id, {_SUMMARY_PROMPT} AS prompt
   FROM summary JOIN whole USING (log_id)"""))
 def _(logs):
-    return enrich.summary_prompts(logs.named_counts, logs.lines)
+    return enrich.summary_prompts(logs.named_counts, logs.kept_lines)
 
 
 _RANKED_SUMMARY = SUMMARY + _CONTEXT + """,
@@ -184,6 +185,7 @@ _EXPLAIN_PROMPT = _filled(
   FROM ranked r JOIN summary s USING (log_id) LEFT JOIN context c USING (log_id)
   WHERE kind = 'error' AND position <= 5"""))
 def _(logs):
+    logs = logs.written()
     chosen = enrich.candidates(logs.entries, fx.EXPLAIN_PER_LOG)
     return enrich.explain_prompts(chosen, logs.summary, logs.stages)
 
@@ -208,6 +210,7 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_number
 """, f"""SELECT log_id, line_number, {_FIX_PROMPT} AS prompt
   FROM chosen n JOIN summary s USING (log_id) LEFT JOIN context c USING (log_id) WHERE position <= 3"""))
 def _(logs):
+    logs = logs.written()
     return enrich.fix_prompts(logs.entries, logs.named_counts, logs.stages)
 
 
@@ -227,6 +230,7 @@ listed AS (SELECT log_id, string_agg(concat(position, '. Line ', line_number, ':
     ORDER BY position) AS errors_list FROM ranked WHERE kind = 'error' AND position <= 10 GROUP BY log_id)
 """, f"SELECT log_id, {_RANKING_PROMPT} AS prompt FROM listed JOIN summary s USING (log_id)"))
 def _(logs):
+    logs = logs.written()
     return enrich.ranking_prompts(logs.entries, logs.named_counts)
 
 
@@ -254,6 +258,7 @@ listed AS (SELECT log_id, string_agg(concat('- Line ', line_number, ': ', messag
   FROM pairs f JOIN builds g ON g.job = f.job AND g.build = f.success_build
   LEFT JOIN listed l ON l.log_id = f.log_id"""))
 def _(logs):
+    logs = logs.written()
     job = (F.col("log_id") % 3).alias("job")
     builds = logs.counts.select(
         "log_id", job, F.col("log_id").alias("build"), "status", "error_count", "warning_count"
@@ -277,6 +282,7 @@ points AS (SELECT log_id, string_agg(concat('Line ', line_number, ': ', substrin
   coalesce(points, 'See full log for details') AS key_points, {_IMPACT} AS impact,
   CAST(50 AS BIGINT) AS confidence FROM summary LEFT JOIN points USING (log_id)"""))
 def _(logs):
+    logs = logs.written()
     return enrich.listed(enrich.fallback_summaries(logs.counts, logs.entries), ["key_points"])
 
 
@@ -511,6 +517,7 @@ stage_lists AS (SELECT log_id, string_agg(concat('  ', CASE status WHEN 'SUCCESS
   ELSE {_HEAD} END AS head FROM summary LEFT JOIN error_lists USING (log_id)
   LEFT JOIN warning_lists USING (log_id) LEFT JOIN stage_lists USING (log_id)"""))
 def _(logs):
+    logs = logs.written()
     return chunks.head_chunks(logs.summary, logs.entries, logs.stages)
 
 
@@ -532,7 +539,7 @@ SELECT log_id, CAST(1 AS BIGINT) AS chunk_id, CASE WHEN length(text) // 4 <= 300
 UNION ALL SELECT log_id, chunk_id + 1, array_to_string(l[first_line:last_line], chr(10))
   FROM spans JOIN pieces USING (log_id)""")
 def _(logs):
-    facts = parse.read_lines(split_lines(logs.raw_documents))
+    facts = keep(parse.read_lines(split_lines(logs.raw_documents)))
     rolled = parse.roll_up(facts)
     nothing = F.lit(None).cast("string")
     named = parse.log_counts(rolled).withColumns(
@@ -640,6 +647,7 @@ stored AS (SELECT key, value FROM current WHERE live AND cache_type = 'summaries
   FROM summary LEFT JOIN stored m ON m.key = sha256(concat('u', log_id, '-0'))
   LEFT JOIN last_answers a USING (log_id)"""))
 def _(logs):
+    logs = logs.written()
     key = memo.content_key(F.concat(F.lit("u"), F.col("log_id"), F.lit("-0")))
     summary = logs.counts.withColumn("key", key)
     value = F.to_json(

@@ -220,6 +220,7 @@ UNION ALL SELECT log_id, 4, position, concat('- Line ', line_number, ': ', messa
 """SELECT log_id, CAST(section AS BIGINT) AS section, CAST(position AS BIGINT) AS position, text
 FROM report WHERE text IS NOT NULL"""))
 def _(logs):
+    logs = logs.written()
     return reports.markdown_report(logs.named_counts, logs.stages, logs.entries)
 
 
@@ -229,6 +230,7 @@ UNION ALL SELECT log_id, 'stage', stage_order, stage, error_count FROM stages
 UNION ALL SELECT log_id, 'entry', line_number, message, line_number FROM entries"""))
 def _(logs):
     """The records read back: what each says of itself."""
+    logs = logs.written()
     records = reports.parsed_json(logs.named_counts, logs.stages, logs.entries)
     name = {"log": "$.status", "stage": "$.stage", "entry": "$.message"}
     number = {"log": "$.error_count", "stage": "$.error_count", "entry": "$.line_number"}

@@ -216,6 +216,7 @@ def _(logs):
   FROM stages s JOIN (SELECT log_id FROM summary WHERE error_count > 0) USING (log_id)
   WHERE status = 'FAILED' GROUP BY log_id"""))
 def _(logs):
+    logs = logs.written()
     return reports.verdict_stages(logs.counts, logs.stages)
 
 

@@ -9,6 +9,7 @@ from loglantern.operators import evaluate, features, profile
 from loglantern.plans import duck
 from loglantern.plans.duck import matches, q, sql, trim
 from loglantern.plans.registry import Registry
+from loglantern.session import keep
 from loglantern.sources import corpus
 from loglantern.sources.raw_logs import guard_size
 
@@ -249,30 +250,24 @@ tfidf AS (
 """
 
 
-def _clean(logs):
-    return logs.texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
-
-
-def _train_vocabulary(logs, clean):
-    # only counted terms of a log meet its part of the split, never its text
+def _train_vocabulary(logs):
     train = logs.split.filter("split = 'train'").select("log_id")
-    return features.vocabulary(clean.join(train, "log_id", "left_semi"))
+    return features.vocabulary(keep(logs.kept_words.join(train, "log_id", "left_semi")))
 
 
 @query("term_counts", sql(TERMS, "SELECT log_id, term, tf FROM counts"))
 def _(logs):
-    return features.term_counts(_clean(logs))
+    return features.term_counts(logs.words)
 
 
 @query("vocabulary", sql(VOCABULARY, "SELECT term, df, freq, n_logs FROM vocabulary"))
 def _(logs):
-    return _train_vocabulary(logs, _clean(logs))
+    return _train_vocabulary(logs)
 
 
 @query("tfidf", sql(VOCABULARY, "SELECT log_id, term, round(weight, 6) AS weight FROM tfidf"))
 def _(logs):
-    clean = _clean(logs)
-    weights = features.tfidf(clean, _train_vocabulary(logs, clean))
+    weights = features.tfidf(logs.kept_words, _train_vocabulary(logs))
     return weights.select("log_id", "term", F.round("weight", 6).alias("weight"))
 
 

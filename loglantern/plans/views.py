@@ -7,13 +7,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.operators import legacy, parse, profile
-from loglantern.session import keep
+from loglantern.operators import features, legacy, parse, profile
+from loglantern.session import keep, spread
 from loglantern.sources import corpus
 
 
 class Logs:
-    """The event log corpus and everything read from it; nothing runs until a query does."""
+    """The event log corpus and everything read from it.
+
+    Numbering lines and what is written once run while a plan is built, all else with the query.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -25,9 +28,20 @@ class Logs:
     def lines(self) -> DataFrame:
         return corpus.event_log_lines(self.table("events"))
 
+    @cached_property
+    def kept_lines(self) -> DataFrame:
+        """The lines, written once and dealt by log and slice, for readers that need windows over them."""
+        return keep(self.lines)
+
     @cached_property
     def facts(self) -> DataFrame:
-        return parse.read_lines(self.lines)
+        return parse.read_lines(self.kept_lines)
+
+    def written(self) -> Logs:
+        """These logs with their facts written once, for queries that join several parts of them."""
+        if "facts_written" not in self.__dict__:
+            self.__dict__["facts_written"] = self.__dict__["facts"] = keep(self.facts)
+        return self
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -82,8 +96,19 @@ class Logs:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Labelled metadata with text, from one scan."""
-        return corpus.document_metadata(self.table("documents"), "text")
+        """Labelled metadata with text, from one scan over all cores."""
+        return corpus.document_metadata(spread(self.table("documents").select("doc_id", "text")), "text")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """The words of the normalised texts."""
+        clean = features.normalise(F.col("text"))
+        return self.texts.select("log_id", features.words_of(clean).alias("words"))
+
+    @cached_property
+    def kept_words(self) -> DataFrame:
+        """The same, written once for readers that count and weigh terms."""
+        return keep(self.words)
 
     @cached_property
     def texts_by_path(self) -> DataFrame:

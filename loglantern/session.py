@@ -55,3 +55,13 @@ def keep(rows: DataFrame) -> DataFrame:
     """Write rows to the shared folder once, for readers that come back to them many times."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a table that arrives in fewer parts than there are cores over all of them.
+
+    Tables of many files stay as they are: only a small one, where the work per row outweighs
+    its bytes, is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.operators.ordered import LINE_KEYS, SLICE_ROWS, number_rows
+from loglantern.operators.ordered import PLACE, number_rows
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,15 +88,13 @@ END
 """
 
 
-def event_log_lines(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One log per user, one line per event: ``log_id, slice, line_number, raw_line``."""
+def event_log_lines(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """One log per user, one line per event: ``log_id, slice, is_cut, line_number, raw_line``."""
     rows = number_rows(
-        events.select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id", slice_rows
+        events.select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id", parts
     )
     named = rows.withColumnRenamed("user_id", "log_id")
-    # exploding a single value keeps the long expression in one place: no filter copies it
-    line = F.explode(F.array(F.expr(EVENT_LINE_SQL.replace("user_id", "log_id")))).alias("raw_line")
-    return named.select(*LINE_KEYS, "line_number", line)
+    return named.select(*PLACE, "line_number", F.expr(EVENT_LINE_SQL.replace("user_id", "log_id")).alias("raw_line"))
 
 
 def build_names(log_id: Column) -> dict[str, Column]:

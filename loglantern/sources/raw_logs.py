@@ -94,11 +94,15 @@ def guard_size(raw_logs: DataFrame, limit: int = fx.MAX_LOG_CHARS) -> DataFrame:
 
 def split_lines(raw_logs: DataFrame) -> DataFrame:
     """Lines of raw logs, sliced by their place; an empty log stays as one row without a line."""
-    return raw_logs.select(
-        "log_id", F.posexplode_outer(lines_of(F.col("raw_content"))).alias("pos", "raw_line")
+    whole = raw_logs.select("log_id", lines_of(F.col("raw_content")).alias("lines"))
+    return whole.select(
+        "log_id",
+        F.coalesce(F.size("lines") > SLICE_ROWS, F.lit(False)).alias("is_cut"),
+        F.posexplode_outer("lines").alias("pos", "raw_line"),
     ).select(
         "log_id",
         F.floor(F.coalesce("pos", F.lit(0)) / SLICE_ROWS).cast("bigint").alias("slice"),
+        "is_cut",
         (F.col("pos") + 1).cast("bigint").alias("line_number"),
         "raw_line",
     )

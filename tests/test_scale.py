@@ -5,31 +5,32 @@ import random
 
 import numpy as np
 import pytest
-from small_tables import SMALL
 from pyspark.sql import functions as F
+from small_tables import SMALL
 
+from loglantern import session
 from loglantern.operators import chunks, features, memo, ordered, parse, profile, reports
 from loglantern.plans.views import Logs
 from loglantern.sources import corpus
 
 
 def rows_of(frame):
-    return sorted(map(str, frame.drop("slice").collect()))
+    return sorted(map(str, frame.drop("slice", "is_cut").collect()))
 
 
 VIEWS = ["lines", "facts", "entries", "stages", "summary", "named_counts", "legacy_facts", "legacy_rollup", "legacy_rows"]
 
 
-def with_lines(spark, events, slice_rows):
+def with_lines(spark, events, parts):
     logs = Logs(spark, SMALL)
-    logs.__dict__["lines"] = corpus.event_log_lines(events, slice_rows=slice_rows)
+    logs.__dict__["lines"] = corpus.event_log_lines(events, parts=parts)
     return logs
 
 
 @pytest.fixture(scope="module")
 def whole_and_sliced(spark):
     events = corpus.read_table(spark, SMALL, "events")
-    return with_lines(spark, events, 250_000), with_lines(spark, events, 7)
+    return with_lines(spark, events, 1), with_lines(spark, events, 90)
 
 
 @pytest.mark.parametrize("name", VIEWS)
@@ -51,15 +52,16 @@ def test_nested_outputs_have_one_row_per_log(whole_and_sliced):
 def test_a_log_with_a_third_of_all_lines(spark):
     events = corpus.read_table(spark, SMALL, "events")
     hot = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 8).otherwise(F.col("user_id")))
-    whole, sliced = with_lines(spark, hot, 250_000), with_lines(spark, hot, 100)
-    assert sliced.lines.filter("slice > 0").select("log_id").distinct().count() == 1
+    whole, sliced = with_lines(spark, hot, 1), with_lines(spark, hot, 30)
+    assert sliced.lines.filter("log_id = 8").select("slice").distinct().count() >= 8
+    assert sliced.lines.filter("log_id = 8 AND NOT is_cut").isEmpty() and whole.lines.filter("is_cut").isEmpty()
     for name in ("lines", "stages", "summary", "legacy_rows"):
         assert rows_of(getattr(whole, name)) == rows_of(getattr(sliced, name))
 
 
-def numbered(spark, rows, slice_rows):
+def numbered(spark, rows, parts):
     frame = spark.createDataFrame(rows, "k int, at timestamp_ntz, tie int")
-    return ordered.number_rows(frame, "k", "at", "tie", slice_rows)
+    return ordered.number_rows(frame, "k", "at", "tie", parts)
 
 
 def test_a_burst_is_sliced_evenly_and_lines_without_a_time_come_first(spark):
@@ -67,8 +69,8 @@ def test_a_burst_is_sliced_evenly_and_lines_without_a_time_come_first(spark):
     rows = [(1, start, n) for n in range(1000)] + [(1, start + dt.timedelta(days=n), 5000 + n) for n in range(5)]
     rows += [(1, None, 7000 + n) for n in range(10)] + [(2, None, 1), (2, start, 0)]
     random.Random(3).shuffle(rows)
-    for size in (100, 250_000):
-        got = numbered(spark, rows, size).collect()
+    for parts in (1, 12):
+        got = numbered(spark, rows, parts).collect()
         for key in (1, 2):
             own = sorted((r for r in got if r.k == key), key=lambda r: r.line_number)
             assert [r.line_number for r in own] == list(range(1, len(own) + 1))
@@ -76,16 +78,47 @@ def test_a_burst_is_sliced_evenly_and_lines_without_a_time_come_first(spark):
                 (a is not None, a or start, t) for k, a, t in rows if k == key
             )
             assert {r.log_rows for r in own} == {len(own)}
-            assert all(r.slice == (r.line_number - 1) // size for r in own)
+            assert [r.slice for r in own] == sorted(r.slice for r in own)
+            assert {r.is_cut for r in own} == {len({r.slice for r in own}) > 1}
+
+
+def test_a_million_lines_of_one_second_and_a_million_without_a_time_are_cut(spark):
+    n, parts = 1_000_000, 32
+    at = F.when(F.col("id") < n, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(2 * n).select(F.lit(7).alias("k"), at.alias("at"), F.pmod(F.xxhash64("id"), F.lit(10 * n)).alias("tie"))
+    got = ordered.number_rows(rows, "k", "at", "tie", parts)
+    slices = got.groupBy("slice").agg(
+        F.count("*").alias("rows"), F.min("line_number").alias("first"), F.max("line_number").alias("last"),
+        F.count_distinct("line_number").alias("numbers"), F.min("tie").alias("low"), F.max("tie").alias("high"),
+    ).orderBy("slice").collect()
+    assert max(r.rows for r in slices) < n / 10
+    assert slices[0].first == 1 and slices[-1].last == 2 * n
+    assert all(r.rows == r.numbers == r.last - r.first + 1 for r in slices)
+    assert all(b.first == a.last + 1 for a, b in zip(slices, slices[1:], strict=False))
+    assert got.filter("(at IS NULL) <> (line_number <= 1000000) OR log_rows <> 2000000").isEmpty()
+
 
+def test_a_line_repeated_for_a_third_of_a_log_is_cut(spark):
+    rows = spark.range(60_000).select(F.lit(1).alias("k"), F.lit(None).cast("timestamp_ntz").alias("at"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("tie"))
+    got = ordered.number_rows(rows, "k", "at", "tie", 20)
+    assert got.groupBy("slice").count().agg(F.max("count")).first()[0] < 6_000
+    assert got.select("line_number").distinct().count() == 60_000
 
-def test_nothing_runs_while_a_plan_is_built(spark):
+
+def test_a_log_without_a_name_is_numbered(spark):
+    rows = spark.createDataFrame([(None, None, 2), (None, None, 1), (1, None, 4)], "k int, at timestamp_ntz, tie int")
+    got = {(r.k, r.tie): (r.line_number, r.log_rows) for r in ordered.number_rows(rows, "k", "at", "tie", 3).collect()}
+    assert got == {(None, 1): (1, 2), (None, 2): (2, 2), (1, 4): (1, 1)}
+
+
+def test_only_numbering_and_writing_run_while_a_plan_is_built(spark):
+    logs = Logs(spark, SMALL)
+    logs.kept_lines  # noqa: B018
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "plans only")
-    logs = Logs(spark, SMALL)
     for name in VIEWS:
         getattr(logs, name)
-    assert len(tracker.getJobIdsForGroup("building")) <= 1  # the schema of the table
+    assert not tracker.getJobIdsForGroup("building")
     spark.sparkContext.setJobGroup("tests", "others")
 
 
@@ -100,12 +133,42 @@ def test_platforms_outside_train_are_kept(spark):
     assert {r.platform: r.logs for r in profile.crosstab(split).collect()}["c"] == 2
 
 
-def test_text_work_needs_no_shuffle(spark):
+def test_text_work_needs_no_shuffle_but_to_reach_all_cores(spark):
     logs = Logs(spark, SMALL)
     clean = logs.texts.select("log_id", features.normalise(F.col("text")).alias("clean"))
     flags = logs.texts.select("log_id", *features.structural_features(F.col("text")))
     for frame in (clean, flags):
-        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning") == 1
+    dealt = session.spread(spark.range(100).repartition(50))
+    assert "RoundRobinPartitioning(50)" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighing_terms_needs_no_shuffle(spark):
+    words = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, None), (4, [])], "log_id int, words array<string>")
+    known = spark.createDataFrame([("a", 2, 3, 9), ("a b", 1, 2, 9), ("z", 2, 2, 9)], "term string, df int, freq int, n_logs int")
+    weights = features.tfidf(words, known)
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    idf = {"a": np.log(10 / 3) + 1, "a b": np.log(10 / 2) + 1}
+    raw = np.array([(1 + np.log(2)) * idf["a"], idf["a b"]])
+    got = {(r.log_id, r.term): r.weight for r in weights.collect()}
+    assert got == pytest.approx({(1, "a"): (raw / np.linalg.norm(raw))[0], (1, "a b"): (raw / np.linalg.norm(raw))[1]})
+
+
+@pytest.mark.parametrize("buckets", [1 << 20, 64, 1])
+def test_vocabulary_is_that_of_a_full_count_whatever_the_buckets(spark, monkeypatch, buckets):
+    from collections import Counter
+
+    pick = random.Random(1)
+    texts = [[f"w{int(pick.paretovariate(0.6)) % 3000}" for _ in range(pick.randint(1, 80))] for _ in range(300)]
+    terms = [[*t, *map(" ".join, zip(t, t[1:], strict=False))] for t in texts]
+    freq, df = Counter(x for t in terms for x in t), Counter(x for t in terms for x in set(t))
+    usual = sorted((-freq[x], x) for x in freq if 2 <= df[x] <= 0.8 * len(texts))[:500]
+    monkeypatch.setattr(features, "BUCKETS", buckets)
+    rows = spark.createDataFrame(list(enumerate(texts)), "log_id int, words array<string>")
+    found = features.vocabulary(rows).collect()
+    assert sorted((-r.freq, r.term) for r in found) == usual
+    assert all((r.df, r.n_logs) == (df[r.term], 300) for r in found)
 
 
 def test_a_log_of_many_errors_is_chunked_in_linear_time(spark):
@@ -138,17 +201,18 @@ def test_rank_by_hash_is_the_rank_of_the_sorted_hash(spark, group):
         assert r.group_rows == len(peers)
 
 
-def test_lines_are_shuffled_to_be_numbered_and_to_be_classified(spark):
-    summary = Logs(spark, SMALL).summary
-    summary.collect()
-    plan = summary._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    # lines by stretch of time and by slice, and three small tables: counts, slices, roll-up
-    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
+def test_written_lines_are_classified_without_a_shuffle(spark):
+    facts = Logs(spark, SMALL).facts
+    facts.collect()
+    plan = facts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # only the table of slices of logs that lie in several is shuffled, and handed to all tasks
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 2
+    assert "SortMergeJoin" not in plan
     for sign in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert sign not in plan
 
 
-def test_scans_read_only_what_they_need(spark):
+def test_lines_are_written_with_what_they_need_only(spark):
     plan = Logs(spark, SMALL).lines._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "value" not in plan
 
