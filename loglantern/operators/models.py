@@ -1,70 +1,103 @@
-"""Classifiers of a log's error category with Spark's own learners."""
+"""Classifiers of a log's error category with Spark's own learners.
+
+Everything between a raw log (``platform, text``) and its category is a stage of one
+``PipelineModel``: normalised words, structural and platform flags, counted terms, their
+weights, the learner's model and the names of the classes.  Saved and loaded as one, it scores
+logs that nobody has labelled.  Several models are compared on the same rows in one pass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
 from loglantern.operators import features, profile
 
-TEXT_VECTOR, FEATURES, LABEL, WEIGHT = "text_vector", "features", "label", "class_weight"
+FEATURES, LABEL, WEIGHT, CATEGORY = "features", "label", "class_weight", "predicted_category"
+TERMS, COUNTS, RAW, TEXT_VECTOR = "terms_", "counts_", "raw_weights_", "text_vector"
 
 
-def term_index(vocabulary: DataFrame) -> DataFrame:
-    """The vocabulary with a position per term, in alphabetical order."""
-    order = Window.partitionBy(F.lit(1)).orderBy("term")  # 500 rows at most
-    return vocabulary.withColumn("at", F.row_number().over(order) - 1)
+def _flag(platform: str) -> str:
+    return f"platform_{platform.replace('-', '_')}"
 
 
-def text_vectors(weights: DataFrame, index: DataFrame, size: int = fx.VOCABULARY_SIZE) -> DataFrame:
-    """One vector of term weights per log."""
-    placed = weights.join(F.broadcast(index.select("term", "at")), "term")
-    cells = placed.groupBy("log_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "weight"))).alias("cells")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda at: F.coalesce(F.col("cells")[at], F.lit(0.0))
-    )
-    return cells.select("log_id", array_to_vector(dense).alias(TEXT_VECTOR))
+class LogFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds a log's terms, structural features and platform flags; null texts have no terms."""
 
+    platforms = Param(Params._dummy(), "platforms", "platforms that have a flag", TypeConverters.toListString)
 
-def empty_vector(size: int = fx.VOCABULARY_SIZE):
-    return array_to_vector(F.array_repeat(F.lit(0.0), size))
+    @keyword_only
+    def __init__(self, platforms: Sequence[str] = ()):
+        super().__init__()
+        self._set(platforms=list(platforms))
 
+    def _transform(self, logs: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        flags = {
+            _flag(p): F.coalesce(F.col("platform") == p, F.lit(False)).cast("int") for p in self.getOrDefault("platforms")
+        }
+        words = logs.withColumn("words_", features.words_of(features.normalise(text)))
+        named = dict(zip(features.STRUCTURAL_NAMES, features.structural_features(text), strict=True))
+        return words.withColumns({TERMS: features.terms_of(F.col("words_")), **named, **flags}).drop("words_")
 
-def platform_flags(platforms: Sequence[str]) -> list:
-    return [
-        F.coalesce(F.col("platform") == p, F.lit(False)).cast("int").alias(f"platform_{p.replace('-', '_')}")
-        for p in platforms
-    ]
 
+class TermWeights(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Weighs a vector of term counts by (1 + ln tf) * idf."""
 
-def labelled_features(
-    texts: DataFrame, clean: DataFrame, vocabulary: DataFrame, by: str, platforms: Sequence[str]
-) -> DataFrame:
-    """Text, structural and platform features of each log side by side, with label and weight.
+    idf = Param(Params._dummy(), "idf", "inverse document frequency per term", TypeConverters.toListFloat)
 
-    ``texts`` has ``log_id, split, platform, text`` and the class in ``by``, ``clean`` has
-    ``log_id`` and the normalised text.
-    """
-    vectors = text_vectors(features.tfidf(clean, vocabulary), term_index(vocabulary))
+    @keyword_only
+    def __init__(self, idf: Sequence[float] = ()):
+        super().__init__()
+        self._set(idf=list(idf))
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        weights = features.term_weights(F.col(COUNTS), self.getOrDefault("idf"))
+        return rows.withColumn(RAW, array_to_vector(weights))
+
+
+def feature_stages(vocabulary: DataFrame, platforms: Sequence[str]) -> PipelineModel:
+    """From ``platform, text`` to one vector of features; the vocabulary must not be empty."""
+    terms, idf = features.known_terms(vocabulary)
+    columns = [TEXT_VECTOR, *features.STRUCTURAL_NAMES, *[_flag(p) for p in platforms]]
+    return PipelineModel(
+        [
+            LogFeatures(platforms=list(platforms)),
+            CountVectorizerModel.from_vocabulary(terms, inputCol=TERMS, outputCol=COUNTS),
+            TermWeights(idf=idf),
+            Normalizer(p=2.0, inputCol=RAW, outputCol=TEXT_VECTOR),
+            VectorAssembler(inputCols=columns, outputCol=FEATURES),
+        ]
+    )
+
+
+def feature_names(stages: PipelineModel) -> list[str]:
+    """The name of each place of the feature vector."""
+    return [*stages.stages[1].vocabulary, *stages.stages[4].getInputCols()[1:]]
+
+
+def labelled_features(texts: DataFrame, stages: PipelineModel, by: str) -> DataFrame:
+    """The features of each log (``log_id, split, platform, text`` and the class in ``by``), with label and weight."""
     train = texts.filter(F.col("split") == "train")
     codes = profile.label_codes(texts, by)
     weights = profile.class_weights(train, by).select(by, F.col("weight").alias(WEIGHT))
     return (
-        texts.join(vectors, "log_id", "left")
+        stages.transform(texts.select("log_id", "split", by, "platform", "text"))
         .join(codes, by, "left")
         .join(weights, by, "left")
         .select(
@@ -74,18 +107,11 @@ def labelled_features(
             # a class that train has not keeps its rows: no code stands for it
             F.coalesce("label", F.lit(-1)).cast("double").alias(LABEL),
             F.coalesce(WEIGHT, F.lit(1.0)).alias(WEIGHT),
-            F.coalesce(TEXT_VECTOR, empty_vector()).alias(TEXT_VECTOR),
-            *features.structural_features(F.col("text")),
-            *platform_flags(platforms),
+            FEATURES,
         )
     )
 
 
-def assembler(platforms: Sequence[str]) -> VectorAssembler:
-    columns = [TEXT_VECTOR, *features.STRUCTURAL_NAMES, *[f"platform_{p.replace('-', '_')}" for p in platforms]]
-    return VectorAssembler(inputCols=columns, outputCol=FEATURES)
-
-
 # --- fixed values: settings of the three learners ------------------------------------
 def logistic(train_rows: int) -> LogisticRegression:
     return LogisticRegression(
@@ -126,86 +152,56 @@ def boosted(rounds: int = 100, depth: int = 10) -> OneVsRest:
     return OneVsRest(classifier=tree, featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT)
 
 
-def fit(learner, train: DataFrame, platforms: Sequence[str]) -> PipelineModel:
-    return Pipeline(stages=[assembler(platforms), learner]).fit(train)
+def _confidence(scored: DataFrame) -> Column:
+    """The largest probability; null where a model gives none."""
+    return F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
 
 
-def predict(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
-    """Predictions as evaluation tables take them, with confidence where the model gives one."""
-    scored = model.transform(rows)
-    confidence = (
-        F.array_max(vector_to_array("probability"))
-        if "probability" in scored.columns
-        else F.lit(None).cast("double")
-    )
-    return scored.select(
-        F.lit(name).alias("model"),
-        "log_id",
-        "split",
-        F.col(LABEL).cast("bigint").alias("label"),
-        F.col("prediction").cast("bigint").alias("prediction"),
-        confidence.alias("confidence"),
-    )
+def predicted(models: Mapping[str, Model], rows: DataFrame) -> DataFrame:
+    """Predictions of several models over the same features, one row per model and log, in one pass.
 
+    Columns as evaluation tables take them; the confidence is null where a model gives none.
+    """
+    scored, sides = rows.select("log_id", "split", LABEL, FEATURES), []
+    for at, (name, model) in enumerate(models.items()):
+        own = model.transform(scored)
+        # only what the table needs goes on, under names of its own
+        scored = own.select(*scored.columns, F.col("prediction").cast("bigint").alias(f"prediction_{at}"), _confidence(own).alias(f"sure_{at}"))
+        sides.append(F.struct(F.lit(name).alias("model"), F.col(f"prediction_{at}").alias("prediction"), F.col(f"sure_{at}").alias("confidence")))
+    told = scored.select("log_id", "split", F.col(LABEL).cast("bigint").alias("label"), F.inline(F.array(*sides)))
+    return told.select("model", "log_id", "split", "label", "prediction", "confidence")
 
-def named_predictions(predictions: DataFrame, codes: DataFrame, by: str) -> DataFrame:
-    """Predicted class by name."""
-    names = codes.select(F.col("label").alias("prediction"), F.col(by).alias("predicted_category"))
-    return predictions.join(names, "prediction", "left")
 
+def scorer(stages: PipelineModel, model: Model, classes: Sequence[str]) -> PipelineModel:
+    """One pipeline from raw logs to the name of their category; ``classes`` in order of their codes."""
+    names = IndexToString(inputCol="prediction", outputCol=CATEGORY, labels=list(classes))
+    return PipelineModel([*stages.stages, model, names])
 
-def top_features(
-    spark: SparkSession, model: Model, vocabulary: DataFrame, platforms: Sequence[str], n: int = 20
-) -> DataFrame:
-    """The most important features of a tree model, by name."""
-    importances = model.stages[-1].featureImportances
-    scores = spark.createDataFrame(
-        [(int(i), float(v)) for i, v in zip(importances.indices, importances.values, strict=True)],
-        "at int, importance double",
-    )
-    rest = [*features.STRUCTURAL_NAMES, *[f"platform_{p.replace('-', '_')}" for p in platforms]]
-    others = spark.createDataFrame(
-        [(fx.VOCABULARY_SIZE + k, name) for k, name in enumerate(rest)], "at int, feature string"
-    )
-    names = term_index(vocabulary).select("at", F.col("term").alias("feature")).unionByName(others)
-    return scores.join(names, "at").orderBy(F.desc("importance"), "feature").limit(n).drop("at")
 
+def classes_of(codes: DataFrame, by: str) -> list[str]:
+    """Class names in order of their codes; one row per class."""
+    return [r[by] for r in codes.orderBy("label").collect()]
 
-def save(model: PipelineModel, vocabulary: DataFrame, facts: dict, path: str, codes: DataFrame | None = None) -> None:
-    """The model, its vocabulary and class codes, and one row that describes it."""
-    spark = vocabulary.sparkSession
-    model.write().overwrite().save(f"{path}/model")
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    if codes is not None:
-        codes.write.mode("overwrite").parquet(f"{path}/codes")
-    spark.createDataFrame([facts]).write.mode("overwrite").json(f"{path}/facts")
 
+def classify(pipeline: PipelineModel, logs: DataFrame) -> DataFrame:
+    """Category and confidence of logs nobody has labelled (``log_id, platform, text``)."""
+    scored = pipeline.transform(logs.select("log_id", "platform", "text"))
+    return scored.select("log_id", CATEGORY, _confidence(scored).alias("confidence"))
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
 
+def top_features(spark: SparkSession, model: Model, names: Sequence[str], n: int = 20) -> DataFrame:
+    """The most important features of a tree model, by name."""
+    importances = model.featureImportances
+    rows = [(names[int(i)], float(v)) for i, v in zip(importances.indices, importances.values, strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
-def load_codes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/codes")
 
+def save(pipeline: PipelineModel, facts: dict, path: str) -> None:
+    """The pipeline, and one row that describes it."""
+    pipeline.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([facts]).write.mode("overwrite").json(f"{path}/facts")
 
-def classify(
-    model: PipelineModel, vocabulary: DataFrame, codes: DataFrame, by: str, logs: DataFrame, platforms: Sequence[str]
-) -> DataFrame:
-    """Category and confidence of logs nobody has labelled (``log_id, platform, text``)."""
-    clean = logs.select("log_id", features.normalise(F.col("text")).alias("clean"))
-    vectors = text_vectors(features.tfidf(clean, vocabulary), term_index(vocabulary))
-    rows = (
-        logs.select("log_id", *features.structural_features(F.col("text")), *platform_flags(platforms))
-        .join(vectors, "log_id", "left")
-        .withColumns(
-            {
-                TEXT_VECTOR: F.coalesce(TEXT_VECTOR, empty_vector()),
-                LABEL: F.lit(-1.0),
-                WEIGHT: F.lit(1.0),
-                "split": F.lit("new"),
-            }
-        )
-    )
-    named = named_predictions(predict(model, rows, "saved"), codes, by)
-    return named.select("log_id", "predicted_category", "confidence")
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")

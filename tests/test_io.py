@@ -198,16 +198,69 @@ def test_class_report_agrees_with_spark_ml(spark):
             assert value == pytest.approx(theirs, abs=1e-6)
 
 
-def test_boosted_trees_fit_save_and_load(spark, tmp_path):
-    from loglantern.plans.model_queries import PLATFORMS, Fitting
-
-    fitting = Fitting(Logs(spark, SMALL))
-    model = models.fit(models.boosted(rounds=2, depth=2), fitting.train, PLATFORMS)
-    before = models.predict(model, fitting.held_out, "boosted")
-    models.save(model, fitting.vocabulary, {"best_model": "boosted", "classes": 4}, str(tmp_path))
-    loaded, vocabulary = models.load(spark, str(tmp_path))
-    after = models.predict(loaded, fitting.held_out, "boosted")
-    assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
-    assert vocabulary.count() == 500
-    accuracy = evaluate.compare_models(before.filter("split = 'val'")).first().accuracy
-    assert accuracy > 0.6
+@pytest.fixture(scope="module")
+def fitting(spark):
+    from loglantern.plans.model_queries import Fitting
+
+    return Fitting(Logs(spark, SMALL))
+
+
+def test_boosted_trees_fit_save_and_load(spark, fitting, tmp_path):
+    model = models.boosted(rounds=2, depth=2).fit(fitting.train)
+    found = models.predicted({"boosted": model}, fitting.held_out)
+    assert evaluate.compare_models(found.filter("split = 'val'")).first().accuracy > 0.6
+    pipeline = models.scorer(fitting.stages, model, fitting.classes)
+    raw = fitting.texts.select("log_id", "platform", "text")
+    before = sorted(map(tuple, models.classify(pipeline, raw).collect()))
+    models.save(pipeline, {"model": "boosted"}, str(tmp_path))
+    assert sorted(map(tuple, models.classify(models.load(str(tmp_path)), raw).collect())) == before
+
+
+def test_a_saved_pipeline_scores_raw_logs_as_before(spark, fitting, tmp_path):
+    model = fitting.logistic()
+    pipeline = models.scorer(fitting.stages, model, fitting.classes)
+    models.save(pipeline, {"model": "logistic"}, str(tmp_path))
+    loaded = models.load(str(tmp_path))
+    odd = spark.createDataFrame([(-1, None, None), (-2, "unheard of", ""), (-3, "jenkins", "der und die " * 50_000)], "log_id bigint, platform string, text string")
+    raw = fitting.texts.select("log_id", "platform", "text").unionByName(odd)
+    before, after = (sorted(map(tuple, models.classify(p, raw).collect())) for p in (pipeline, loaded))
+    assert before == after and len(after) == raw.count()
+    known = {r[0]: r[1] for r in after}
+    right = [known[r.log_id] == r.lang for r in fitting.texts.filter("split = 'test'").collect()]
+    assert sum(right) / len(right) > 0.8
+    # one pass over features made for training says the same as the pipeline over raw logs
+    told = models.predicted({"logistic": model}, fitting.rows).collect()
+    assert all(fitting.classes[r.prediction] == known[r.log_id] for r in told)
+
+
+def test_predictions_are_those_of_the_coefficients(spark, fitting):
+    import numpy as np
+
+    model = fitting.logistic()
+    weights, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    for row in fitting.held_out.select("log_id", "features").collect():
+        scores = weights @ row.features.toArray() + intercept
+        assert int(model.predict(row.features)) == int(np.argmax(scores))
+
+
+def test_several_models_are_scored_in_one_pass_and_the_best_is_tested_once(spark, fitting):
+    found = {"logistic": fitting.logistic(), "boosted": models.boosted(rounds=1, depth=1).fit(fitting.train)}
+    predictions = models.predicted(found, fitting.held_out)
+    assert predictions.count() == 2 * fitting.held_out.count()
+    alone = models.predicted({"logistic": found["logistic"]}, fitting.held_out)
+    assert sorted(map(str, predictions.filter("model = 'logistic'").collect())) == sorted(map(str, alone.collect()))
+    rows = predictions.collect()
+
+    def accuracy(name, split):
+        hits = [r.label == r.prediction for r in rows if (r.model, r.split) == (name, split)]
+        return round(sum(hits) / len(hits), 6)
+
+    best = min(found, key=lambda name: (-accuracy(name, "val"), name))
+    row = evaluate.chosen(predictions).first()
+    assert (row.model, row.accuracy, row.test_accuracy) == (best, accuracy(best, "val"), accuracy(best, "test"))
+
+
+def test_platforms_seen_in_train_have_flags(fitting):
+    names = models.feature_names(fitting.stages)
+    assert len(names) == len(set(names)) == len(fitting.train.first().features)
+    assert [n for n in names if n.startswith("platform_")] == ["platform_github_actions", "platform_gitlab_ci", "platform_jenkins"]
