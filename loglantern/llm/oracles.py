@@ -87,15 +87,13 @@ def _uuid(*parts: str) -> str:
 
 
 def _unescaped(text: str) -> str:
-    code = "regexp_extract(p, '^([0-9]{1,6});', 1)"
-    number = f"CAST({code} AS INTEGER)"
-    good = f"{code} <> '' AND {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343"
-    piece = f"CASE WHEN {code} = '' THEN concat('&#', p) WHEN {good} THEN concat(chr({number}), substr(p, length({code}) + 2)) ELSE concat('&#', p) END"
-    cut = f"string_split({text}, '&#')"
-    out = f"concat({cut}[1], array_to_string(list_transform({cut}[2:], lambda p: {piece}), ''))"
-    for name, sign in warc.ENTITIES.items():
-        out = f"replace({out}, '&{name};', {q(sign)})"
-    return f"replace({out}, '&amp;', '&')"
+    name = f"regexp_extract(p, '{warc.REFERENCE}', 1)"
+    number = f"CASE WHEN {name}[2:2] IN ('x', 'X') THEN CAST('0x' || {name}[3:] AS INTEGER) ELSE CAST({name}[2:] AS INTEGER) END"
+    coded = f"CASE WHEN {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr({number}) END"
+    named = " ".join(f"WHEN '{n}' THEN {q(sign)}" for n, sign in {**warc.ENTITIES, "amp": "&"}.items())
+    sign = f"CASE WHEN {name}[1:1] = '#' THEN {coded} ELSE CASE {name} {named} END END"
+    cut = f"string_split({text}, '&')"
+    return f"{cut}[1] || array_to_string(list_transform({cut}[2:], lambda p: coalesce({sign} || substr(p, length({name}) + 2), '&' || p)), '')"
 
 
 def _fields(*pairs: tuple[str, str]) -> str:
@@ -107,7 +105,7 @@ def warc_sql(date: str) -> str:
     kind = "text/html; charset=utf-8"
     hidden, breaks = q(warc.HIDDEN), q(warc.BREAKS)
     flat = f"regexp_replace(regexp_replace(replace(regexp_replace(payload, {hidden}, ' ', 'g'), chr(10), ' '), {breaks}, chr(10), 'g'), {q(warc.TAGS)}, '', 'g')"
-    links = f"array_to_string(list_transform(regexp_extract_all(payload, {q(warc.LINKS)}, 1), lambda x: concat('outlink: ', x, chr(13), chr(10))), '')"
+    links = f"array_to_string(list_transform(regexp_extract_all(payload, {q(warc.LINKS)}, 1), lambda x: concat('outlink: ', ltrim(x, concat(chr(34), chr(39))), chr(13), chr(10))), '')"
     return f"""
 WITH given AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, {_uuid("page_id", "url", "html")} AS refers_to FROM pages),
 http AS (SELECT *, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: {kind}', chr(13), chr(10), 'Content-Length: ',

@@ -10,8 +10,6 @@ scripts and comments run to the end of the payload. Other columns of the input a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +21,29 @@ ENTITIES = {
     "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»",
 }
 
+#: A reference, after its ``&``: decimal, hexadecimal or a name.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+
 #: What is no text at all, tags that end a line, other tags, blanks in a line.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script[^>]*>|\z)|style\b.*?(?:</style[^>]*>|\z))"
 BREAKS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|"
     r"pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
 TAGS = r"</?[A-Za-z!][^>]*>"
 SPACES = "[\\x20\\t\\r\\f\\x0b ]+"
+#: The same, but for single blanks, which stay as they are: far fewer places to rewrite.
+RUNS = "\\x20[\\x20\\t\\r\\f\\x0b ]+|[\\t\\r\\f\\x0b ][\\x20\\t\\r\\f\\x0b ]*"
 LINE_ENDS = r"\x20*\n[\x20\n]*"
-LINKS = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)"
+#: A link with the quote before it, if it has one.
+LINKS = r"(?i)<a\s[^>]*?href\s*=\s*([\"'][^\"'>]*|[^\s\"'>]+)"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest(block: Column) -> Column:
-    """``sha1:`` and the base-32 digest that web archives use."""
-    hex_digest = F.sha1(block.cast("binary"))
+def base32(hex_digest: Column) -> Column:
+    """``sha1:`` and the base-32 digest that web archives use, from hexadecimal digits."""
     fives = [F.lpad(F.conv(F.substring(hex_digest, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
     return F.concat(F.lit("sha1:"), F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32))
 
@@ -53,28 +56,35 @@ def record_id(*parts: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """Reads numeric and the common named character references, each once."""
+    """Reads numeric and the common named character references, each once.
+
+    What follows an ``&`` is read on its own, so texts without one cost nothing and what a
+    reference gives is not read again.
+    """
+    signs = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair], F.lit("amp"), F.lit("&"))
 
-    def numeric(piece: Column) -> Column:
-        code = F.regexp_extract(piece, r"^([0-9]{1,6});", 1)
-        number = code.cast("int")
-        good = (code != "") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(good, F.concat(sign, F.substring(piece, F.length(code) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&#"), piece))
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        number = F.when(F.substring(name, 2, 1).isin("x", "X"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("int")
+        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(name.startswith("#"), F.when(good, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(signs, name))
+        return F.coalesce(F.concat(sign, F.substring(piece, F.length(name) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&#", -1)
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), numeric)
-    decimal = F.when(text.contains("&#"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), decimal)
-    return F.replace(named, F.lit("&amp;"), F.lit("&"))
+    pieces = F.split(text, "&", -1)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read)
+    return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: one line per block, blanks collapsed."""
-    shown = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), r"\n", " ")
+def with_text(records: DataFrame, html: str, into: str) -> DataFrame:
+    """Adds the visible text of a page: one line per block, blanks collapsed.
+
+    Each step is a column of its own, so that what several branches of the next one ask for
+    is made once.
+    """
+    shown = F.replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), F.lit("\n"), F.lit(" "))
     flat = F.regexp_replace(F.regexp_replace(shown, BREAKS, "\n"), TAGS, "")
-    tidy = F.regexp_replace(F.regexp_replace(unescaped(flat), SPACES, " "), LINE_ENDS, "\n")
-    return F.trim(tidy, F.lit(" \n"))
+    tidy = F.regexp_replace(F.regexp_replace(F.col(into), RUNS, " "), LINE_ENDS, "\n")
+    return records.withColumn(into, flat).withColumn(into, unescaped(F.col(into))).withColumn(into, F.trim(tidy, F.lit(" \n")))
 
 
 def responses(pages: DataFrame, date: str, server_type: str = "text/html; charset=utf-8") -> DataFrame:
@@ -85,16 +95,17 @@ def responses(pages: DataFrame, date: str, server_type: str = "text/html; charse
         F.octet_length(payload).cast("string"),
         F.lit(LINE + LINE),
     )
-    return pages.select(
+    hashed = pages.select(
         "page_id",
         record_id(F.col("page_id"), F.col("url"), F.col("html")).alias("record_id"),
         F.col("url").alias("target_uri"),
         F.lit(date).alias("date"),
         F.lit(server_type).alias("source_type"),
-        digest(payload).alias("payload_digest"),
-        digest(F.concat(http, payload)).alias("block_digest"),
+        F.sha1(payload.cast("binary")).alias("payload_digest"),
+        F.sha1(F.concat(http, payload).cast("binary")).alias("block_digest"),
         payload.alias("payload"),
     )
+    return hashed.withColumns({c: base32(F.col(c)) for c in ("payload_digest", "block_digest")})
 
 
 def _fields(*pairs: tuple[str, Column]) -> Column:
@@ -105,7 +116,7 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records per response: its metadata and its plain text, with headers, digest and block."""
     links = F.regexp_extract_all(F.col("payload"), F.lit(LINKS), F.lit(1))
-    title = F.trim(F.regexp_replace(unescaped(F.regexp_extract(F.col("payload"), TITLE, 1)), "[\\x20\\t\\r\\n\\f\\x0b ]+", " "))
+    title = F.trim(F.regexp_replace(unescaped(F.col("raw_title")), "[\\x20\\t\\r\\n\\f\\x0b ]+", " "))
     metadata = F.concat(
         _fields(
             ("source-content-type", F.col("source_type")),
@@ -114,17 +125,15 @@ def derivatives(records: DataFrame) -> DataFrame:
             ("source-length", F.octet_length("payload")),
             ("title", title),
         ),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(LINE))), ""),
+        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.ltrim(x, F.lit("\"'")), F.lit(LINE))), ""),
     )
+    read = with_text(records, "payload", "conversion").withColumn("raw_title", F.regexp_extract("payload", TITLE, 1))
+    made = read.withColumn("metadata", metadata)
     kinds = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(
-            F.lit("conversion").alias("warc_type"),
-            F.lit("text/plain; charset=utf-8").alias("content_type"),
-            plain_text(F.col("payload")).alias("block"),
-        ),
+        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), F.col("metadata").alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("conversion").alias("block")),
     )
-    both = records.select(
+    both = made.select(
         "page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "source_type",
         F.col("payload_digest").alias("source_payload_digest"), F.explode(kinds).alias("made"),
     ).select("*", "made.*").drop("made")
@@ -132,9 +141,9 @@ def derivatives(records: DataFrame) -> DataFrame:
         {
             "record_id": record_id(F.col("refers_to"), F.col("warc_type")),
             "content_length": F.octet_length("block").cast("long"),
-            "block_digest": digest(F.col("block")),
+            "block_digest": F.sha1(F.col("block").cast("binary")),
         }
-    )
+    ).withColumn("block_digest", base32(F.col("block_digest")))
     header = F.concat(
         F.lit("WARC/1.1" + LINE),
         _fields(

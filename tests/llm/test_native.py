@@ -157,7 +157,7 @@ def test_odd_rows_are_sharded(spark, odd_documents, no_documents):
 
 # --- archives -----------------------------------------------------------------------------
 HTML = """<HTML><head><title> A &amp; B </title><script>var t="</p>"; x<y</script><STYLE>p{}</style></head>
-<!-- hidden <p> --><body><nav><a href="/one">1</a></nav><p>First&nbsp;&lt;line&gt;<br>two &#233;&#x41; &unknown; &#99999999;</p>
+<!-- hidden <p> --><body><nav><a href="/one">1</a></nav><p>First&nbsp;&lt;line&gt;<br>two &#233;&#x41;&#0000233; &unknown; &#99999999; &#xD800; &#38;lt; &amp;amp; &</p><a class=x href=/two>2</a>
 text &amp;lt; <b>bold</b> 3 < 4<script>open"""
 
 
@@ -167,8 +167,8 @@ def test_text_and_links(spark):
     by = {(r.page_id, r.warc_type): r for r in rows}
     assert len(rows) == 8
     text = by[1, "conversion"].block
-    assert text == "A & B\n1\nFirst <line>\ntwo é&#x41; &unknown; &#99999999;\ntext &lt; bold 3 < 4"
-    assert "outlink: /one\r\n" in by[1, "metadata"].block and "title: A & B\r\n" in by[1, "metadata"].block
+    assert text == "A & B\n1\nFirst <line>\ntwo éAé &unknown; &#99999999; &#xD800; &lt; &amp; &\n2 text &lt; bold 3 < 4"
+    assert "outlink: /one\r\noutlink: /two\r\n" in by[1, "metadata"].block and "title: A & B\r\n" in by[1, "metadata"].block
     assert by[2, "conversion"].block == "" and "WARC-Target-URI" not in by[2, "conversion"].header
     assert by[1, "metadata"].refers_to == by[1, "conversion"].refers_to != by[1, "conversion"].record_id
     import base64
