@@ -5,8 +5,8 @@ once per text. All grades share one weight per slot; grade ``g`` is exceeded wit
 probability ``sigmoid(weights . features - threshold[g])`` and the thresholds are ordered.
 The expected severity is the sum of these probabilities.
 
-Learned on a bounded sample: in each round the parts of the sample sum their gradients
-(per slot, so the sums do not grow with the data) and the driver takes one step with
+Learned on a bounded sample: in each round the few parts of the sample sum their gradients
+(a number per slot that takes part, without a shuffle) and the driver takes one step with
 adaptive step sizes and an L1 threshold that keeps chance features at zero.
 
 Only slots that are likelier in toxic than in clean documents of the sample take part; equal
@@ -44,6 +44,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SLOTS = 1 << 18
 #: Bound of the labelled sample (expected number of documents).
 MOST_LABELLED = 30_000
+#: Parts the sample is kept in; each round they hand the driver one sum each.
+PARTS = 8
 PREFIXES = (3, 4, 5, 6)
 GRADES = 3
 ROUNDS, STEP, L1 = 25, 0.5, 5e-5
@@ -85,7 +87,8 @@ def sample_features(docs: DataFrame, sample: DataFrame) -> DataFrame:
     key = F.xxhash64("text").alias("key")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", key)
     made = chosen.mapInArrow(batches, "label int, key long, slots array<int>")
-    return lasting(made.dropDuplicates(["label", "key"]).select("label", "slots"))
+    # a bounded sample: a few parts, however many the session shuffles into
+    return lasting(made.dropDuplicates(["label", "key"]).select("label", "slots").coalesce(PARTS))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +157,7 @@ def learn(examples: DataFrame, grades: int = GRADES, rounds: int = ROUNDS) -> Mo
     """Fits the model; each round is one pass over the bounded sample's slots."""
     spark = examples.sparkSession
     lift = lifts(examples)
-    used = lift >= LEAST_LIFT
+    used = np.flatnonzero(lift >= LEAST_LIFT)
     shared_marks = spark.sparkContext.broadcast(lift >= MARKER_LIFT)
     shared_used = spark.sparkContext.broadcast(used)
 
@@ -174,18 +177,16 @@ def learn(examples: DataFrame, grades: int = GRADES, rounds: int = ROUNDS) -> Mo
                 slot, at, label = _columns(batch)
                 g, t, _ = gradients(now, slot, at, graded(slot, at, label))
                 by_slot, by_threshold, n = by_slot + g, by_threshold + t, n + len(label)
-            seen = np.flatnonzero((by_slot != 0) & shared_used.value)
-            slots = np.concatenate([seen, -1 - np.arange(grades - 1), [-grades]])
-            values = np.concatenate([by_slot[seen], by_threshold, [float(n)]])
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(values)], ["slot", "g"])
+            sums = np.concatenate([by_slot[shared_used.value], by_threshold, [float(n)]])
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()])], ["sums"])
 
-        sums = examples.mapInArrow(summed, "slot long, g double").groupBy("slot").agg(F.sum("g").alias("g")).toPandas()
+        parts = examples.mapInArrow(summed, "sums binary").collect()  # PARTS rows of a number per used slot
         shared.unpersist()
-        g = dict(zip(sums.slot[sums.slot < 0], sums.g[sums.slot < 0], strict=True))
-        n = max(g.get(-grades, 0.0), 1.0)
+        sums = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0) if parts else np.zeros(len(used) + grades)
+        n = max(sums[-1], 1.0)
         by_slot = np.zeros(SLOTS)
-        by_slot[sums.slot[sums.slot >= 0]] = sums.g[sums.slot >= 0] / n
-        by_threshold = np.array([g.get(-1 - k, 0.0) for k in range(grades - 1)]) / n
+        by_slot[used] = sums[: len(used)] / n
+        by_threshold = sums[len(used) : -1] / n
         squares += by_slot**2
         threshold_squares += by_threshold**2
         rate = STEP / np.sqrt(squares)
