@@ -7,10 +7,9 @@ counts, ties going the same way for a whole group within a round; a document ask
 where most votes of its groups point. A mover from a to b
 is let through if another moves from b to a, or if b has room; per pair of shards the number
 is a quota, and movers are taken in hash order. So no shard ever exceeds its share of the
-rows. Then follow rounds that fill: members ask for the fullest shard of their group that has
-room, a group that is too large for it for as many shards as it fills, until no wish is granted
-(or, at the latest, after as many rounds as there are shards).
-Documents without links fill what is left, so that counts differ by one at most.
+rows. After the last round the members that quotas turned away are dealt, in one go, to the
+room that is left: to their group's fullest shard, or, group by group, to the shards with
+most room. Documents without links fill what is left, so that counts differ by one at most.
 
 Ranks are taken from bucket sums, so no shard, pair or group meets in one task; the tables
 that are broadcast have one row per shard or pair of shards. A vote is one row with a number
@@ -65,49 +64,14 @@ def _votes(state: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     return state.join(votes, "row")
 
 
-def _asking(voted: DataFrame, to: Column) -> DataFrame:
-    return voted.withColumn("to", to).where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
-
-
-def _wishes(voted: DataFrame, number: int) -> DataFrame:
+def _wishes(voted: DataFrame) -> DataFrame:
     """(row, order, from, to) of linked documents most of whose neighbours are elsewhere."""
 
     def label(n: Column, s: Column) -> Column:
-        return F.struct(n.alias("n"), F.xxhash64("seed", s, F.lit(number)).alias("tie"), s.alias("to"))
-
-    return _asking(voted, F.array_max(F.transform("votes", label))["to"])
-
-
-def _filling(voted: DataFrame, rooms: list[int], number: int) -> DataFrame:
-    """(row, order, from, to) of documents that ask for their groups' fullest shards with room.
+        return F.struct(n.alias("n"), F.xxhash64("seed", s, "round").alias("tie"), s.alias("to"))
 
-    A group's homes are the fullest shards that have room, as many as the members elsewhere
-    need. These are dealt over the homes by hash, up to each one's room; who is in a home, or
-    has more neighbours where it is, stays.
-    """
-    room = F.array(*[F.lit(r).cast("long") for r in rooms])
-
-    def label(n: Column, s: Column) -> Column:
-        return F.struct(n.alias("n"), F.xxhash64("seed", s, F.lit(number)).alias("tie"), s.alias("shard"), F.get(room, s).alias("room"))
-
-    def add(found: Column, shard: Column) -> Column:
-        upto = found["upto"] + shard["room"]
-        home = F.struct(upto.alias("upto"), shard["shard"].alias("shard"), shard["n"].alias("n"))
-        more = F.struct(F.concat(found["homes"], F.array(home)).alias("homes"), upto.alias("upto"), (found["away"] - shard["n"]).alias("away"))
-        return F.when(found["upto"] < found["away"], more).otherwise(found)
-
-    open_shards = F.sort_array(F.filter(F.transform("votes", label), lambda e: e["room"] > 0), asc=False)
-    ranked = voted.withColumn("open", open_shards).where(F.size("open") > 0)
-    mobile = F.filter(F.transform("votes", label), lambda e: (e["room"] > 0) | (e["n"] <= F.get("open", F.lit(0))["n"]))
-    away = F.aggregate(mobile, F.lit(0).cast("long"), lambda n, e: n + e["n"])
-    none = F.expr("struct(cast(array() as array<struct<upto: bigint, shard: int, n: bigint>>) as homes, 0L as upto)")
-    start = F.struct(none["homes"].alias("homes"), none["upto"].alias("upto"), away.alias("away"))
-    dealt = ranked.withColumn("found", F.aggregate("open", start, add)).select("*", F.col("found.homes").alias("homes"))
-    spot = F.pmod(F.xxhash64("row", "order", F.lit(number)), F.greatest(F.least("found.away", "found.upto"), F.lit(1)))
-    chosen = dealt.withColumn("spot", spot).withColumn("home", F.get(F.filter("homes", lambda h: h["upto"] > F.col("spot")), F.lit(0)))
-    settled = F.exists("homes", lambda h: h["shard"] == F.col("shard"))
-    better = F.get("votes", F.col("shard")) <= F.col("home.n")
-    return _asking(chosen.where(~settled & better), F.col("home.shard"))
+    to = F.array_max(F.transform("votes", label))["to"]
+    return voted.withColumn("to", to).where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
 
 
 def _quotas(wishes: DataFrame, state: DataFrame, rows: int, shards: int) -> DataFrame:
@@ -138,44 +102,69 @@ def _quotas(wishes: DataFrame, state: DataFrame, rows: int, shards: int) -> Data
     )
 
 
-def _loads(state: DataFrame) -> dict[int, int]:
-    return {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
-
-
 def propagate(slim: DataFrame, links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(row, order, shard) of linked documents after the last round; no shard exceeds its share of ``rows``."""
     linked = slim.join(links.select("row").distinct(), "row").select("row", "order")
     even = placed(linked.withColumn("all", F.lit(0)), ["all"], ["order", "row"])
-    state = lasting(even.select("row", "order", F.pmod("position", F.lit(shards)).cast("int").alias("shard")))
-
-    def granted(wishes: DataFrame) -> DataFrame:
-        """(row, to) of the wishes within the quotas."""
-        wishes = lasting(wishes)
-        quotas = _quotas(wishes, state, rows, shards)
+    # the number of the round is a column: rounds share their plans' code
+    state = lasting(even.select("row", "order", F.pmod("position", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("round")))
+    for _ in range(rounds):
+        wishes = lasting(_wishes(_votes(state, links, shards)))
         ranked = placed(wishes, ["from", "to"], ["order", "row"], buckets=64)
-        return lasting(ranked.join(F.broadcast(quotas), ["from", "to"]).where("position < quota").select("row", "to"))
+        movers = ranked.join(F.broadcast(_quotas(wishes, state, rows, shards)), ["from", "to"]).where("position < quota").select("row", "to")
+        after = F.coalesce("to", "shard").alias("shard")
+        state = lasting(state.join(movers, "row", "left").select("row", "order", after, (F.col("round") + 1).alias("round")))
+    return state.drop("round")
+
+
+def gather(state: DataFrame, links: DataFrame, rows: int, shards: int = SHARDS) -> DataFrame:
+    """The state with the members that quotas turned away dealt to the room that is left, in one go.
+
+    A document counts for the largest of its groups. Members away from their group's fullest
+    shard line up for it, group by group; those beyond its room line up, group by group, for the
+    room of all shards, the largest first; what those away leave behind is room as well. Places in both lines are sums over groups, and
+    places within a group sums over its parts, so that a group may be of any size.
+    """
+    sizes = links.groupBy("group").agg(F.count("*").alias("n"))
+    own = links.join(sizes, "group").groupBy("row").agg(F.max(F.struct("n", "group"))["group"].alias("group"))
+    owned = lasting(state.join(own, "row"))
+    inside = [F.sum((F.col("shard") == s).cast("long")) for s in range(shards)]
+    spread = owned.groupBy("group").agg(F.array(*inside).alias("spread"))
+    fullest = F.array_max(F.transform("spread", lambda n, s: F.struct(n.alias("n"), F.xxhash64("group", s).alias("tie"), s.alias("home"))))
+    away = F.aggregate("spread", F.lit(0).cast("long"), lambda total, n: total + n) - F.col("fullest.n")
+    groups = spread.withColumn("fullest", fullest).select(
+        "group", "spread", F.col("fullest.home").alias("home"), away.alias("away"), F.xxhash64("group").alias("order")
+    )
+    moving = lasting(groups.where("away > 0"))
+    loads = _loads(state)
+    freed = moving.agg(*[F.sum(F.when(F.col("home") == s, 0).otherwise(F.get("spread", F.lit(s)))).alias(f"s{s}") for s in range(shards)]).first()
+    # all that are away are dealt anew, so the room they leave is room as well
+    rooms = [rows // shards + (s < rows % shards) - loads.get(s, 0) + (freed[s] or 0) for s in range(shards)]
+    lined = placed(moving.drop("spread"), ["home"], ["order", "group"], size=F.col("away"), buckets=64, name="start")
+    room = F.get(F.array(*[F.lit(r).cast("long") for r in rooms]), F.col("home"))
+    settled = lasting(lined.withColumn("granted", F.greatest(F.lit(0).cast("long"), F.least("away", room - F.col("start")))))
+    taken = {r["home"]: r["n"] for r in settled.groupBy("home").agg(F.sum("granted").alias("n")).collect()}  # a row per shard
+    left = sorted(((rooms[s] - taken.get(s, 0), s) for s in range(shards)), reverse=True)
+    beyond = settled.withColumns({"all": F.lit(0), "beyond": F.col("away") - F.col("granted")})
+    queued = placed(beyond, ["all"], ["order", "group"], size=F.col("beyond"), name="queue").select("group", "home", "granted", "queue")
+    movers = placed(owned.join(queued, "group").where("shard != home"), ["group"], ["order", "row"], buckets=64, name="nth")
+    spot = F.col("queue") + F.col("nth") - F.col("granted")
+    to, upto = F.lit(None).cast("int"), sum(n for n, _ in left)
+    for n, s in reversed(left):
+        to = F.when(spot < upto, F.lit(s)).otherwise(to)
+        upto -= n
+    found = movers.select("row", F.when(F.col("nth") < F.col("granted"), F.col("home")).otherwise(to).alias("to"))
+    return lasting(state.join(found, "row", "left").select("row", "order", F.coalesce("to", "shard").alias("shard")))
 
-    def moved(movers: DataFrame) -> DataFrame:
-        return lasting(state.join(movers, "row", "left").select("row", "order", F.coalesce("to", "shard").alias("shard")))
 
-    for number in range(rounds):
-        state = moved(granted(_wishes(_votes(state, links, shards), number)))
-    for number in range(rounds, rounds + shards):
-        loads = _loads(state)
-        rooms = [rows // shards + (s < rows % shards) - loads.get(s, 0) for s in range(shards)]
-        if not any(rooms):
-            break
-        movers = granted(_filling(_votes(state, links, shards), rooms, number))
-        if movers.isEmpty():
-            break
-        state = moved(movers)
-    return state
+def _loads(state: DataFrame) -> dict[int, int]:
+    return {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
 
 
 def shard(slim: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """The slim rows with ``shard`` and ``slot``; ``links`` has (row, group)."""
     total = slim.count()
-    state = propagate(slim, links, total, shards, rounds)
+    state = gather(propagate(slim, links, total, shards, rounds), links, total, shards)
     loads = _loads(state)
     alone = placed(slim.join(state.select("row"), "row", "left_anti").withColumn("all", F.lit(0)), ["all"], ["order", "row"], buckets=4096)
     place, upto = F.lit(shards - 1), 0
