@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
 from loglantern.operators.ordered import rank_by_hash
+from loglantern.rules import UNKNOWN_PLATFORM
 
 
 def attach_text(metadata: DataFrame, files: DataFrame, keep_missing: bool = True) -> DataFrame:
@@ -48,15 +49,20 @@ def corpus_statistics(metadata: DataFrame) -> DataFrame:
 
 
 def crosstab(metadata: DataFrame) -> DataFrame:
-    """Logs per category and platform, in rows; combinations that do not occur count 0."""
-    counts = metadata.groupBy("error_category", "platform").agg(F.count("*").alias("logs"))
+    """Logs per category and platform, in rows; combinations that do not occur count 0.
+
+    Logs without a platform count under ``unknown``, those without a category under null.
+    """
+    platform = F.coalesce("platform", F.lit(UNKNOWN_PLATFORM)).alias("platform")
+    counts = metadata.groupBy("error_category", platform).agg(F.count("*").alias("logs"))
     # both lists are short: one row per category, one per platform
     cells = counts.select("error_category").distinct().join(
         counts.agg(F.collect_set("platform").alias("platforms"))
     )
     grid = cells.select("error_category", F.explode("platforms").alias("platform"))
-    return grid.join(counts, ["error_category", "platform"], "left").select(
-        "error_category", "platform", F.coalesce("logs", F.lit(0)).cast("bigint").alias("logs")
+    own = F.col("g.error_category").eqNullSafe(F.col("c.error_category")) & (F.col("g.platform") == F.col("c.platform"))
+    return grid.alias("g").join(counts.alias("c"), own, "left").select(
+        "g.error_category", "g.platform", F.coalesce("c.logs", F.lit(0)).cast("bigint").alias("logs")
     )
 
 

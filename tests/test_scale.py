@@ -155,6 +155,12 @@ def test_weighing_terms_needs_no_shuffle(spark):
     assert got == pytest.approx({(1, "a"): (raw / np.linalg.norm(raw))[0], (1, "a b"): (raw / np.linalg.norm(raw))[1]})
 
 
+def test_crosstab_keeps_logs_without_a_category_or_platform(spark):
+    rows = [("a", "p"), ("a", None), (None, "p"), (None, "p"), (None, None)]
+    found = profile.crosstab(spark.createDataFrame(rows, "error_category string, platform string")).collect()
+    assert {tuple(r) for r in found} == {("a", "p", 1), ("a", "unknown", 1), (None, "p", 2), (None, "unknown", 1)}
+
+
 @pytest.mark.parametrize("buckets", [1 << 20, 64, 1])
 def test_vocabulary_is_that_of_a_full_count_whatever_the_buckets(spark, monkeypatch, buckets):
     from collections import Counter
