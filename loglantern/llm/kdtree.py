@@ -3,7 +3,8 @@
 Vectors are quantised to integers and dealt to shards by a hash. Each shard's tree halves its
 rows at the median of the widest dimension and keeps a tight box per node. A query goes
 through a tree best first: a box bounds every inner product within it, and boxes that cannot
-reach the k-th score found so far are skipped, without error since all scores are integers.
+reach the k-th score found so far are skipped. Bounds and scores are exact: they are worked out
+in the least kind of number (double, long, Python integer) that holds every sum of a block.
 Queries start in one shard; the k-th score found there goes with them to all others.
 
 Queries travel in blocks of bounded size, trees are bounded by the rows of a shard, and only
@@ -12,8 +13,10 @@ rows that reach the propagated k-th score come back.
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
 part; only vectors of one length are compared; repeated rows compete each, ties go to the
 smaller id; a query never meets rows of its own id. Fewer candidates than k give fewer rows.
-Quantised components must stay below 2^24 in size, so that sums fit a long and bounds are
-exact; larger ones raise an error. Other columns of the input are ignored.
+Components may have any finite size; a score beyond the range of a long counts as that end of
+the range (2^63 - 1 with its sign), and ties there go to the smaller id like any others. Rows are
+dealt to shards one by one, so an id that many rows share does not fill one. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +38,44 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCALE = 256
 #: Rows of a shard (expected) and of a tree's leaf, queries of a block, blocks of a task.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, STRIPE_BLOCKS = 4096, 128, 256, 64
-LARGEST = 1 << 24
-#: Below every score.
-LEAST = -(1 << 62)
+#: Ends of the scores.
+MOST = (1 << 63) - 1
+LEAST = -MOST
 
 
-def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, dims) of the vectors that take part, components being floor(scale * x)."""
+def quantised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(vec_id, v, dims) of the vectors that take part, v being floor(256 * x) / 256.
+
+    As a double this is exact whatever the size of x, which a long is not.
+    """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.where(good).select("vec_id", whole.alias("v"), F.size(vector).alias("dims"))
+
+    def steps(x):
+        x = x.cast("double")  # from 2^45 on a double has no digits below 1 / 256
+        return F.when(F.abs(x) < 2.0**45, F.floor(x * SCALE).cast("double") / SCALE).otherwise(x)
+
+    return vectors.where(good).select("vec_id", F.transform(vector, steps).alias("v"), F.size(vector).alias("dims"))
+
+
+def integers(values: np.ndarray) -> np.ndarray:
+    """256 times the doubles whose bits are given, as longs, or as Python integers if one is too large."""
+    x = np.ascontiguousarray(values).view("<f8")
+    if np.abs(x).max(initial=0) < 2.0**53:
+        return (x * SCALE).astype(np.int64)
+    whole = [int(c * SCALE) if abs(c) < 2.0**45 else int(c) * SCALE for c in x.ravel().tolist()]
+    return np.array(whole, dtype=object).reshape(x.shape)
+
+
+def largest(whole: np.ndarray) -> int:
+    return int(np.abs(whole).max(initial=0))
+
+
+def in_range(sums: np.ndarray) -> np.ndarray:
+    """Exact sums as longs, those beyond a long's range as its ends."""
+    if sums.dtype == object:
+        return np.minimum(np.maximum(sums, LEAST), MOST).astype(np.int64)
+    return sums
 
 
 class Tree:
@@ -78,18 +108,25 @@ class Tree:
                 left = own[:, wide] <= middle
             todo += [(rows[left], node), (rows[~left], node)]
         self.ids, self.points = ids[placed], points[placed]
-        self.low, self.high = np.array(lows, np.float64), np.array(highs, np.float64)
-        self.spans, self.kids = spans, kids
+        self.low, self.high = np.array(lows), np.array(highs)
+        self.spans, self.kids, self.largest = spans, kids, largest(points)
+
+    def most(self, queries: np.ndarray) -> int:
+        """A size that no component and no sum of products with these queries exceeds."""
+        return max(largest(queries), 1) * max(self.largest, 1) * queries.shape[-1]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The greatest inner product each query could have within each node's box."""
-        q = queries.astype(np.float64)
-        return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+        most = self.most(queries)
+        kind = np.float64 if most < 1 << 53 else np.int64 if most <= MOST else object
+        q, low, high = (x.astype(kind) for x in (queries, self.low, self.high))
+        return in_range(np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T)
 
     def search(self, query: np.ndarray, bounds: np.ndarray, k: int, least: int, own: int) -> list[tuple[int, int]]:
         """The best k of (score, -id) that reach ``least``, rows of id ``own`` left out."""
         found: list[tuple[int, int]] = []
-        floor = least
+        floor, kind = least, np.int64 if self.most(query) <= MOST else object
+        query = query.astype(kind)
         heap = [(-bounds[0], 0)]
         while heap and -heap[0][0] >= floor:
             _, node = heapq.heappop(heap)
@@ -99,7 +136,7 @@ class Tree:
                         heapq.heappush(heap, (-bounds[kid], kid))
                 continue
             a, b = self.spans[node]
-            scores = self.points[a:b] @ query
+            scores = in_range(self.points[a:b].astype(kind, copy=False) @ query)
             near = np.flatnonzero((scores >= floor) & (self.ids[a:b] != own))
             if len(near) > k:
                 near = near[np.lexsort((self.ids[a:b][near], -scores[near]))[:k]]
@@ -115,14 +152,12 @@ class Tree:
 
 
 def packed(rows: DataFrame, key: list[str], heads: list[str]) -> DataFrame:
-    """One row per key and dimension: its ids, ``heads`` and vectors as one block of longs."""
+    """One row per key and dimension: its ids, ``heads`` and the bits of its vectors as one block of longs."""
     shape = rows.select(*key, "dims").schema.add("rows", "binary")
 
     def pack(values, group):
         dims = group.column("dims")[0].as_py()
-        points = np.asarray(group.column("v").combine_chunks().flatten()).reshape(-1, dims)
-        if np.abs(points).max() >= LARGEST:
-            raise ValueError("a quantised component is too large")
+        points = np.asarray(group.column("v").combine_chunks().flatten()).view("<i8").reshape(-1, dims)
         whole = np.column_stack([*(np.asarray(group.column(c)) for c in ("vec_id", *heads)), points]).astype("<i8")
         whole = whole[np.lexsort(whole.T[::-1])]
         ids = [pa.array([group.column(c)[0].as_py()], group.column(c).type) for c in (*key, "dims")]
@@ -145,14 +180,13 @@ def searched(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 place = (row["unit"], row["dims"])
                 if row["kind"] == 0:
                     whole = np.frombuffer(row["rows"], "<i8").reshape(-1, row["dims"] + 1)
-                    at, tree = place, Tree(whole[:, 0], whole[:, 1:])
+                    at, tree = place, Tree(whole[:, 0], integers(whole[:, 1:]))
                 elif at == place:  # else no vector of this length lies in the shard
                     whole = np.frombuffer(row["rows"], "<i8").reshape(-1, row["dims"] + 3)
                     whole = whole[whole[:, 2] != row["shard"]]
-                    bounds = tree.bounds(whole[:, 3:])
-                    hits = [
-                        (q[0], -n, s) for q, b in zip(whole, bounds, strict=True) for s, n in tree.search(q[3:], b, k, int(q[1]), int(q[0]))
-                    ]
+                    vectors = integers(whole[:, 3:])
+                    asked_for = zip(whole, vectors, tree.bounds(vectors), strict=True)
+                    hits = [(q[0], -n, s) for q, v, b in asked_for for s, n in tree.search(v, b, k, int(q[1]), int(q[0]))]
                     columns = np.array(hits, np.int64).reshape(-1, 3).T
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
@@ -174,9 +208,11 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, shard_rows: int = SHARD
     """
     rows = lasting(quantised(vectors))
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    trees = lasting(packed(dealt, ["shard"], []))
-    queries = dealt.where(asked).dropDuplicates(["vec_id", "v"])
+    # the rows are read from a table as written, so a row's number stays the same
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    trees = lasting(packed(rows.withColumn("shard", dealt), ["shard"], []))
+    queries = rows.where(asked).dropDuplicates(["vec_id", "v"])
+    queries = queries.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
 
     alone = F.lit(LEAST).alias("least"), F.lit(-1).cast("long").alias("home")
     home = packed(queries.select("vec_id", "v", "dims", "shard", *alone), ["shard"], ["least", "home"])

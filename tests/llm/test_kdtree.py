@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from loglantern.llm import kdtree
 
 
+def within(score):
+    return min(max(score, 1 - 2**63), 2**63 - 1)
+
+
 def brute(rows, k, asked):
     whole = {}
     for i, v in rows:
         if v and all(x is not None and math.isfinite(x) for x in v):
-            whole.setdefault(i, []).append([math.floor(256 * x) for x in v])
+            whole.setdefault(i, []).append([math.floor(256 * x) if abs(x) < 2**50 else 256 * int(x) for x in v])
     out = []
     for q in sorted(whole):
         if asked(q):
             hits = set()
             for qv in whole[q]:
-                hits |= {(-sum(a * b for a, b in zip(qv, v, strict=True)), i, n) for i, vs in whole.items() if i != q for n, v in enumerate(vs) if len(v) == len(qv)}
+                hits |= {(-within(sum(a * b for a, b in zip(qv, v, strict=True))), i, n) for i, vs in whole.items() if i != q for n, v in enumerate(vs) if len(v) == len(qv)}
             out += [(q, rank, i, -s) for rank, (s, i, _) in enumerate(sorted(hits)[:k], 1)]
     return out
 
@@ -35,6 +39,23 @@ def test_the_best_are_those_of_a_full_search(spark, shard_rows, block_rows):
     assert sorted(map(tuple, found)) == brute(rows, 5, lambda q: q % 10 == 0)
 
 
+@pytest.mark.parametrize("powers", [(8, 30), (20, 40), (0, 1015)])
+def test_components_of_any_size(spark, powers):
+    pick = random.Random(6)
+    rows = [(n, [pick.choice((-1, 1)) * pick.random() * 2.0 ** pick.randint(*powers) for _ in range(4)]) for n in range(200)]
+    rows += [(300 + n, [pick.gauss(0, 1) for _ in range(4)]) for n in range(200)] + [(n, [-1.7e308, 70000.0, 0.0, -1e-300]) for n in (600, 601)] + [(610, [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, kdtree.top_k(frame, F.col("vec_id") % 10 == 0, 5, 100, 7).collect()))
+    assert found == brute(rows, 5, lambda q: q % 10 == 0)
+
+
+def test_rows_of_one_id_lie_in_many_shards(spark):
+    rows = [(7, [float(n % 5), 1.0]) for n in range(300)] + [(n, [0.25, float(n % 3)]) for n in range(100, 200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, kdtree.top_k(frame, F.col("vec_id").isin(7, 150), 3, 40, 5).collect()))
+    assert found == brute(rows, 3, lambda q: q in (7, 150))
+
+
 def test_repeated_and_empty_rows(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.1, 0.1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
