@@ -1,8 +1,18 @@
-"""Content-keyed, time-limited memo of results: only what is missing is computed again."""
+"""Content-keyed, time-limited memo of results: only what is missing is computed again.
+
+On storage a memo is a folder per type and generation, ``cache_type=fixes/generation=3``. Results
+are appended to the type's current generation. Clearing, expiring and compacting write the next
+generation whole and then create an empty file, ``_generations/fixes=3``, that makes it the
+current one; readers see the old state or the new one, and what a crash leaves half written is
+replaced by the next attempt. Types change one by one, so clearing one does not copy the others.
+A memo has one writer at a time; a result appended to a generation that is being replaced is
+lost, that is, computed again. Two writes of one result are one entry.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +20,8 @@ from pyspark.sql import functions as F
 from loglantern import fixed_values as fx
 
 SUFFIXES = {"summaries": "", "explanations": "_explain", "fixes": "_fix"}
+ENTRY = "key string, written_at timestamp_ntz, write_id bigint, value string"
+MARKS = "_generations"
 
 
 def content_key(content: Column, cache_type: str | None = None) -> Column:
@@ -37,7 +49,7 @@ def current(entries: DataFrame) -> DataFrame:
     return (
         entries.groupBy("cache_type", "key")
         .agg(F.max(F.struct("written_at", "write_id", "value")).alias("last"))
-        .select("cache_type", "key", "last.written_at", "last.value")
+        .select("cache_type", "key", "last.written_at", "last.write_id", "last.value")
     )
 
 
@@ -82,19 +94,78 @@ def missing(
     return asked.join(live.select("cache_type", "key"), ["cache_type", "key"], "left_anti")
 
 
+def _storage(spark: SparkSession, path: str):
+    """Hadoop's view of a path, whatever storage it lies on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, target = _storage(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, target = _storage(spark, path)
+    files.delete(target, True)
+
+
+def generations(spark: SparkSession, path: str) -> dict[str, int]:
+    """The current generation of each type."""
+    found = dict.fromkeys(fx.MEMO_TYPES, 0)
+    for name in _names(spark, f"{path}/{MARKS}"):
+        cache_type, _, number = name.rpartition("=")
+        if cache_type in found:
+            found[cache_type] = max(found[cache_type], int(number))
+    return found
+
+
+def _append(entries: DataFrame, path: str, numbers: dict[str, int]) -> None:
+    number = F.lit(None).cast("int")
+    for cache_type, n in numbers.items():
+        number = F.when(F.col("cache_type") == cache_type, n).otherwise(number)
+    columns = ("cache_type", "key", "written_at", "write_id", "value")
+    rows = entries.select(*columns, number.alias("generation")).where(F.col("generation").isNotNull())
+    rows.write.mode("append").partitionBy("cache_type", "generation").parquet(path)
+
+
 def store(results: DataFrame, path: str) -> None:
     """Append results (cache_type, key, written_at, write_id, value)."""
-    results.write.mode("append").partitionBy("cache_type").parquet(path)
+    _append(results, path, generations(results.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All entries stored under a path, as ``store`` wrote them."""
-    return spark.read.parquet(path)
-
-
-def rewrite(entries: DataFrame, path: str) -> None:
-    """Writes what is left of a memo to a new folder; the old one is the caller's to drop."""
-    entries.write.mode("errorifexists").partitionBy("cache_type").parquet(path)
+    """All entries of the current generations; none where nothing was stored."""
+    at = [f"cache_type={t}/generation={n}" for t, n in generations(spark, path).items()]
+    folders = [f"{path}/{f}" for f in at if _names(spark, f"{path}/{f}")]
+    shape = f"{ENTRY}, cache_type string"
+    if not folders:
+        return spark.createDataFrame([], shape)
+    rows = spark.read.schema(shape).option("basePath", path).parquet(*folders)
+    return rows.select("cache_type", "key", "written_at", "write_id", "value")
+
+
+def rewrite(entries: DataFrame, path: str, types: Iterable[str] = fx.MEMO_TYPES) -> None:
+    """Replaces what is stored of some types by ``entries``, which may be read from the same path."""
+    spark = entries.sparkSession
+    now = generations(spark, path)
+    following = {t: now[t] + 1 for t in types}
+    for cache_type, number in following.items():
+        _delete(spark, f"{path}/cache_type={cache_type}/generation={number}")
+    _append(entries, path, following)
+    for cache_type, number in following.items():
+        files, mark = _storage(spark, f"{path}/{MARKS}/{cache_type}={number}")
+        files.create(mark).close()
+
+
+def drop_replaced(spark: SparkSession, path: str) -> None:
+    """Removes earlier generations, once no reader is left that began before they were replaced."""
+    for cache_type, number in generations(spark, path).items():
+        for name in _names(spark, f"{path}/cache_type={cache_type}"):
+            if name.startswith("generation=") and int(name.split("=")[1]) < number:
+                _delete(spark, f"{path}/cache_type={cache_type}/{name}")
+        for earlier in range(number):
+            _delete(spark, f"{path}/{MARKS}/{cache_type}={earlier}")
 
 
 def clear(entries: DataFrame, cache_type: str | None = None) -> DataFrame:

@@ -96,14 +96,55 @@ def length_stats(texts: DataFrame, limit_logs: int | None = None, exact: bool =
     lengths = texts.select("log_id", F.length("text").cast("bigint").alias("chars"))
     if limit_logs is not None:
         lengths = lengths.orderBy("log_id").limit(limit_logs)
-    median = F.percentile("chars", 0.5) if exact else F.percentile_approx("chars", 0.5, 10_000)
-    return lengths.agg(
-        F.round(F.avg("chars"), 6).alias("mean_chars"),
-        F.min("chars").alias("min_chars"),
-        F.max("chars").alias("max_chars"),
-        F.round(median, 6).alias("median_chars"),
+    counts = lengths.where("chars IS NOT NULL").groupBy("chars").agg(F.count("*").alias("n"))
+    if exact:
+        middle = median(counts, "chars")
+    else:
+        middle = lengths.agg(F.percentile_approx("chars", 0.5, 10_000).cast("double").alias("median"))
+    return (
+        counts.agg(
+            F.round(F.sum(F.col("chars") * F.col("n")) / F.sum("n"), 6).alias("mean_chars"),
+            F.min("chars").alias("min_chars"),
+            F.max("chars").alias("max_chars"),
+        )
+        .withColumn("k", F.lit(1))
+        # one row on either side
+        .join(F.broadcast(middle.withColumn("k", F.lit(1))), "k", "left")
+        .drop("k")
+        .withColumn("median_chars", F.round("median", 6))
+        .drop("median")
+    )
+
+
+def median(counts: DataFrame, value: str, count: str = "n", low_bits: int = 12) -> DataFrame:
+    """One row with ``median``, the mean of the two middle ones of counted values from 0 up.
+
+    Found by digits: counts of the high bits tell the bins that hold the middle, counts of the
+    low bits the values in them. A text has at most 2^31 characters, so at most 2^19 bins and
+    2^12 values of two bins meet in one task, however many rows are counted.
+    """
+    high = F.shiftright(value, low_bits).alias("bin")
+    order = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(high).agg(F.sum(count).alias("held"))
+    bins = bins.select(
+        "bin",
+        "held",
+        F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"),
+        F.sum("held").over(Window.partitionBy(F.lit(1))).alias("total"),
     )
 
+    def holds(place, first, held):
+        return (place >= first) & (place < first + held)
+
+    lower, upper = F.expr("(total - 1) DIV 2"), F.expr("total DIV 2")
+    chosen = bins.where(holds(lower, F.col("before"), F.col("held")) | holds(upper, F.col("before"), F.col("held")))
+    inside = counts.withColumn("bin", high).join(F.broadcast(chosen), "bin")
+    so_far = Window.partitionBy("bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum(count).over(so_far), F.lit(0))
+    placed = inside.select(F.col(value).alias("value"), F.col(count).alias("held"), first.alias("first"), "total")
+    halves = sum(F.when(holds(place, F.col("first"), F.col("held")), F.col("value") / 2).otherwise(0) for place in (lower, upper))
+    return placed.agg(F.sum(halves).alias("median"))
+
 
 def length_histogram(texts: DataFrame, bins: int = 20) -> DataFrame:
     """Logs per equal-width length bin; the last bin is closed."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from loglantern.operators.parse import neighbours, stage_context
 from loglantern.plans.duck import FACTS, LINES, SUMMARY, any_of, extract, matches, q, sql, trim
 from loglantern.plans.line_queries import _RANKED
 from loglantern.plans.registry import Registry
-from loglantern.session import keep
+from loglantern.session import keep, shared_folder
 from loglantern.sources import corpus
 from loglantern.sources.raw_logs import split_lines
 
@@ -622,6 +623,20 @@ def _(logs):
     return memo.statistics(*_memo(logs), NOW)
 
 
+def _scratch(spark):
+    return f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+
+
+@query("memo_rewritten", sql(MEMO, "SELECT cache_type, key, value FROM current WHERE live AND cache_type <> 'fixes'"))
+def _(logs):
+    spark, path = logs.spark, _scratch(logs.spark)
+    memo.store(_memo(logs)[1], path)
+    memo.rewrite(memo.cleanup(memo.read(spark, path), NOW), path)
+    memo.rewrite(memo.clear(memo.read(spark, path), "fixes"), path, ["fixes"])
+    memo.drop_replaced(spark, path)
+    return memo.read(spark, path).select("cache_type", "key", "value")
+
+
 # --- enrichment end to end -------------------------------------------------------------
 
 # a log's text is known to the memo by a short name; its stored value is a write's number
@@ -632,7 +647,7 @@ stored AS (SELECT key, value FROM current WHERE live AND cache_type = 'summaries
 """
 
 
-@query("enriched_logs", sql(_ENRICHED, f"""SELECT log_id, platform, status, error_count,
+_ENRICHED_ROWS = f"""SELECT log_id, platform, status, error_count,
   CASE WHEN m.key IS NOT NULL THEN 'memo' WHEN a.answer IS NOT NULL THEN 'answer' ELSE 'rule' END AS source,
   CASE WHEN m.key IS NOT NULL THEN concat('stored ', m.value)
     WHEN a.answer IS NOT NULL THEN coalesce({_line("MAIN ISSUE")}, CASE WHEN error_count > 0 THEN
@@ -645,11 +660,29 @@ stored AS (SELECT key, value FROM current WHERE live AND cache_type = 'summaries
   CASE WHEN m.key IS NOT NULL THEN 90 WHEN a.answer IS NOT NULL THEN {_confidence(75)}
     ELSE {pt.FALLBACK_SUMMARY_CONFIDENCE} END AS confidence
   FROM summary LEFT JOIN stored m ON m.key = sha256(concat('u', log_id, '-0'))
-  LEFT JOIN last_answers a USING (log_id)"""))
+  LEFT JOIN last_answers a USING (log_id)"""
+
+
+@query("enriched_logs", sql(_ENRICHED, _ENRICHED_ROWS))
 def _(logs):
-    logs = logs.written()
-    key = memo.content_key(F.concat(F.lit("u"), F.col("log_id"), F.lit("-0")))
-    summary = logs.counts.withColumn("key", key)
+    return _enriched(logs.written(), _live_summaries(logs)).select(*_ENRICHED_COLUMNS)
+
+
+@query("enriched_again", sql(_ENRICHED, f"SELECT * REPLACE ('memo' AS source) FROM ({_ENRICHED_ROWS})"))
+def _(logs):
+    logs, path = logs.written(), _scratch(logs.spark)
+    live = _live_summaries(logs).withColumn("write_id", F.lit(0).cast("bigint"))
+    memo.store(live, path)
+    first = _enriched(logs, memo.read(logs.spark, path))
+    memo.store(enrich.to_store(first, F.lit(NOW).cast("timestamp_ntz")), path)
+    again = memo.cleanup(memo.read(logs.spark, path), NOW)
+    return _enriched(logs, again).select(*_ENRICHED_COLUMNS)
+
+
+_ENRICHED_COLUMNS = ("log_id", "platform", "status", "error_count", "source", "main_issue", "impact", "confidence")
+
+
+def _live_summaries(logs):
     value = F.to_json(
         F.struct(
             F.concat(F.lit("stored "), "value").alias("main_issue"),
@@ -658,7 +691,12 @@ def _(logs):
             F.lit(90).alias("confidence"),
         )
     )
-    live = memo.cleanup(_memo(logs)[1], NOW).withColumn("value", value)
+    return memo.cleanup(_memo(logs)[1], NOW).withColumn("value", value)
+
+
+def _enriched(logs, live):
+    key = memo.content_key(F.concat(F.lit("u"), F.col("log_id"), F.lit("-0")))
+    summary = logs.counts.withColumn("key", key)
     turns = logs.table("conversations")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
     stored = corpus.stored_answers(turns.join(last, ["conv_id", "turn"]), "summary")
@@ -667,5 +705,4 @@ def _(logs):
     )
     structured = answers.structure_summaries(told).withColumnRenamed("answer_id", "log_id")
     rules = enrich.fallback_summaries(logs.counts, logs.entries)
-    records = enrich.enriched_logs(summary, rules, structured, live)
-    return records.select("log_id", "platform", "status", "error_count", "source", "main_issue", "impact", "confidence")
+    return enrich.enriched_logs(summary, rules, structured, live)

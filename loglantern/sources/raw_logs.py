@@ -39,13 +39,14 @@ def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
     return raw_log_columns(spark.read.text(list(paths), wholetext=True))
 
 
-def raw_log_columns(files: DataFrame) -> DataFrame:
+def raw_log_columns(files: DataFrame, *more: Column) -> DataFrame:
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(
         path.alias("log_id"),
         path.alias("path"),
         file_stem(path).alias("job_name"),
         F.col("value").alias("raw_content"),
+        *more,
     )
 
 

@@ -1,6 +1,9 @@
 """Readers, writers, the landing stream and model files."""
 
+import datetime as dt
 import json
+import os
+import statistics
 
 import pytest
 from small_tables import SMALL
@@ -102,6 +105,24 @@ def test_landing_stream_reads_each_log_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/entries").count() == 4
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_a_build_landed_again_counts_as_its_later_arrival(spark, tmp_path, batches):
+    land, out, marks = (str(tmp_path / n) for n in ("land", "out", "marks"))
+    for n, (name, text) in enumerate([("z", LOG), ("a", LOG.replace("FAILURE", "SUCCESS"))]):
+        rows = spark.createDataFrame([("1", name, text), (str(n + 2), name, text)], "log_id string, job_name string, raw_content string")
+        sinks.land_logs(rows.coalesce(1), land)
+        for file in (tmp_path / "land").glob("*.parquet"):
+            if not (tmp_path / f"seen-{file.name}").exists():
+                (tmp_path / f"seen-{file.name}").touch()
+                os.utime(file, (1_700_000_000 + 60 * n,) * 2)
+        if n + 1 >= 3 - batches:
+            landing.analyse(landing.landed_logs(spark, land), out, marks).awaitTermination()
+    found = {r.log_id: (r.job_name, r.status) for r in landing.latest(spark, out, "summaries").collect()}
+    assert found == {"1": ("a", "SUCCESS"), "2": ("z", "FAILED"), "3": ("a", "SUCCESS")}
+    assert landing.latest(spark, out, "summaries").count() == 3
+    assert spark.read.parquet(f"{out}/summaries").count() == (3 if batches == 1 else 4)
+
+
 def test_text_files_stream_too(spark, tmp_path):
     (tmp_path / "land").mkdir()
     (tmp_path / "land" / "b7.log").write_text(LOG)
@@ -124,6 +145,54 @@ def test_memo_store_and_last_write(spark, tmp_path):
     assert memo.clear(stored).count() == 0
 
 
+def test_memo_is_rewritten_or_stays_as_it_was(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "memo"), dt.datetime(2024, 1, 31)
+    assert memo.read(spark, path).count() == 0
+
+    def write(*rows):
+        shape = "cache_type string, key string, day int, write_id bigint, value string"
+        at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(day)").alias("written_at")
+        memo.store(spark.createDataFrame(list(rows), shape).select("cache_type", "key", at, "write_id", "value"), path)
+
+    def values(entries=None):
+        return sorted(tuple(r) for r in memo.current(memo.read(spark, path)).select("cache_type", "key", "value").collect())
+
+    write(("fixes", "a", 29, 1, "old"), ("fixes", "b", 0, 1, "stale"), ("summaries", "a", 29, 1, "s"))
+    write(("fixes", "a", 29, 2, "new"), ("fixes", "a", 29, 2, "new"))
+    before = [("fixes", "a", "new"), ("fixes", "b", "stale"), ("summaries", "a", "s")]
+    assert values() == before
+
+    # a crash after the rows and before the mark: readers see the old state, the next attempt starts anew
+    with monkeypatch.context() as crash:
+        crash.setattr(memo, "MARKS", "elsewhere")
+        memo.rewrite(memo.read(spark, path).limit(0), path, ["explanations"])
+        memo.rewrite(memo.read(spark, path), path)
+    assert values() == before
+    memo.rewrite(memo.cleanup(memo.read(spark, path), now), path)
+    assert values() == [("fixes", "a", "new"), ("summaries", "a", "s")]
+    assert memo.read(spark, path).count() == 2
+
+    memo.rewrite(memo.clear(memo.read(spark, path), "fixes"), path, ["fixes"])
+    memo.drop_replaced(spark, path)
+    assert values() == [("summaries", "a", "s")]
+    assert memo.generations(spark, path) == {"summaries": 1, "explanations": 1, "fixes": 2}
+    write(("fixes", "c", 30, 9, "again"))
+    assert values() == [("fixes", "c", "again"), ("summaries", "a", "s")]
+    memo.rewrite(memo.clear(memo.read(spark, path)), path)
+    memo.drop_replaced(spark, path)
+    assert values() == []
+
+
+@pytest.mark.parametrize("values", [[], [None], [7], [1, 9000], [0, 0, 5, 4096, 70000], [3, 3, 3, 4], [5000, 4095, 4096, None]])
+def test_median_by_digits(spark, values):
+    rows = spark.createDataFrame([(str(n), None if v is None else "x" * v) for n, v in enumerate(values)], "log_id string, text string")
+    (found,) = profile.length_stats(rows).collect()
+    known = [v for v in values if v is not None]
+    assert found.median_chars == (statistics.median(known) if known else None)
+    assert (found.min_chars, found.max_chars) == ((min(known), max(known)) if known else (None, None))
+    assert "percentile" not in profile.length_stats(rows)._jdf.queryExecution().toString()
+
+
 FIX = """Intro words
  more
 **QUICK FIX** (if available):
