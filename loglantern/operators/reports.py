@@ -6,7 +6,7 @@ never gathered into one value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglantern import fixed_values as fx
@@ -197,3 +197,39 @@ def nested_entries(entry_rows: DataFrame) -> DataFrame:
     return entry_rows.groupBy("log_id").agg(
         ordered("error").alias("errors"), ordered("warning").alias("warnings")
     )
+
+
+def parsed_documents(summary: DataFrame, stage_rows: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """One JSON document per log in pieces: (log_id, section, position, text).
+
+    The pieces of a log in the order of (section, position) spell the object of its summary
+    with the lists ``stages``, ``errors`` and ``warnings``, so no list of a log is ever one
+    value.  Within a list, a piece after the first begins with a comma; the window that
+    tells them looks one piece back.  Every log of the summary has a document.
+    """
+    fields = F.struct(*[c for c in summary.columns if c not in ("log_id", "slice")]).alias("log")
+    opened = F.to_json(F.struct("log_id", fields))
+    head = F.concat(F.left(opened, F.length(opened) - 1), F.lit(',"stages":['))
+    frame = [(0, head), (2, F.lit('],"errors":[')), (4, F.lit('],"warnings":[')), (6, F.lit("]}\n"))]
+    pieces = summary.select(
+        "log_id", F.inline(F.array(*[_report_line(section, F.lit(0), text) for section, text in frame]))
+    )
+
+    def items(rows: DataFrame, section: Column, order: str) -> DataFrame:
+        body = F.struct(*[c for c in rows.columns if c not in ("log_id", "slice", "kind")])
+        return rows.select(
+            "log_id",
+            section.cast("bigint").alias("section"),
+            F.col(order).cast("bigint").alias("position"),
+            F.to_json(body).alias("text"),
+        )
+
+    listed = items(stage_rows, F.lit(1), "stage_order").unionByName(
+        items(entry_rows, F.when(F.col("kind") == "error", 3).otherwise(5), "line_number")
+    )
+    every = pieces.unionByName(listed)
+    before = F.lag("section").over(Window.partitionBy("log_id").orderBy("section", "position"))
+    comma = (F.col("section") % 2 == 1) & (before == F.col("section"))
+    return every.select(
+        "log_id", "section", "position", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), "text").alias("text")
+    )

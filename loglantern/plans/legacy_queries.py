@@ -8,6 +8,8 @@ from loglantern.operators import legacy, reports
 from loglantern.plans.duck import FACTS, LEGACY, LEGACY_TOP, STAGES, SUMMARY, matches, q, sql
 from loglantern.plans.line_queries import _RANKED
 from loglantern.plans.registry import Registry
+from loglantern.session import scratch
+from loglantern.sources import sinks
 
 registry = Registry()
 query = registry.add
@@ -245,3 +247,33 @@ def _(logs):
     return records.select(
         "log_id", "record", "position", read(name).alias("name"), read(number).cast("bigint").alias("number")
     )
+
+
+@query("parsed_documents", sql(SUMMARY, """SELECT log_id, status, error_count, warning_count,
+  (SELECT string_agg(concat(stage, ':', status), ',' ORDER BY stage_order) FROM stages s WHERE s.log_id = summary.log_id) AS stages,
+  (SELECT string_agg(concat(line_number, ':', message), ',' ORDER BY line_number) FROM entries e
+    WHERE e.log_id = summary.log_id AND kind = 'error') AS errors,
+  (SELECT string_agg(concat(line_number, ':', message), ',' ORDER BY line_number) FROM entries e
+    WHERE e.log_id = summary.log_id AND kind = 'warning') AS warnings FROM summary"""))
+def _(logs):
+    """A JSON document per log, written and read back."""
+    logs = logs.written()
+    path = scratch(logs.spark, "documents")
+    sinks.write_documents(reports.parsed_documents(logs.named_counts, logs.stages, logs.entries), path)
+    entry = "array<struct<line_number: long, message: string>>"
+    read = logs.spark.read.schema(
+        f"""log_id long, log struct<status: string, error_count: long, warning_count: long>,
+        stages array<struct<stage: string, status: string>>, errors {entry}, warnings {entry}"""
+    ).json(path)
+
+    def spelt(items, first, second):
+        told = F.transform(items, lambda x: F.concat_ws(":", x[first].cast("string"), x[second]))
+        return F.nullif(F.array_join(told, ","), F.lit("")).alias(items)
+
+    return read.select(
+        "log_id",
+        "log.*",
+        spelt("stages", "stage", "status"),
+        spelt("errors", "line_number", "message"),
+        spelt("warnings", "line_number", "message"),
+    )

@@ -12,7 +12,8 @@ from loglantern.plans import duck
 from loglantern.plans.duck import FACTS, LINES, STAGES, SUMMARY, any_of, as_int, matches, q, sql
 from loglantern.plans.registry import Registry
 from loglantern.rules import ACTIONS_BY_GROUP, PIPELINE
-from loglantern.sources.raw_logs import split_lines
+from loglantern.session import scratch
+from loglantern.sources.raw_logs import read_log_lines, split_lines
 
 registry = Registry()
 query = registry.add
@@ -42,6 +43,38 @@ def _(logs):
     return lines.filter(F.col("line_number").isNotNull()).select(*BASE, "raw_line")
 
 
+@query(
+    "file_lines",
+    f"""
+WITH parts AS (SELECT source, regexp_replace(unnest(string_split(concat(coalesce(text, ''), chr(10)), chr(10))[:-2]), '\\r\\z', '') AS piece
+  FROM documents),
+split AS (SELECT source, unnest(string_split_regex(piece, {q(fx.LINE_BREAK)})) AS raw_line FROM parts)
+SELECT coalesce(source, 'none') AS source, count(*) AS total_lines, count(*) AS last_numbers,
+  count(*) FILTER (raw_line = '') AS blank_lines, CAST(sum(length(raw_line)) AS BIGINT) AS chars,
+  CAST(sum(CAST(concat('0x', substr(md5(raw_line), 1, 8)) AS BIGINT)) AS BIGINT) AS told
+FROM split GROUP BY ALL""",
+)
+def _(logs):
+    """All texts written as text files, a folder per source, and read as logs cut into splits."""
+    path = scratch(logs.spark, "files")
+    texts = logs.table("documents").select(F.coalesce("source", F.lit("none")).alias("source"), "text")
+    texts.write.partitionBy("source").text(path)
+    lines = read_log_lines(logs.spark, path)
+    per_file = lines.groupBy("log_id").agg(
+        F.count("line_number").alias("total_lines"),
+        F.max("line_number").alias("last"),
+        F.count(F.when(F.col("raw_line") == "", 1)).alias("blank_lines"),
+        F.sum(F.length("raw_line")).alias("chars"),
+        F.sum(F.conv(F.substring(F.md5("raw_line"), 1, 8), 16, 10).cast("bigint")).alias("told"),
+    )
+    source = F.url_decode(F.regexp_extract("log_id", "/source=([^/]*)/", 1))
+    return per_file.groupBy(source.alias("source")).agg(
+        F.sum("total_lines").alias("total_lines"),
+        F.sum("last").alias("last_numbers"),
+        *[F.sum(c).alias(c) for c in ("blank_lines", "chars", "told")],
+    )
+
+
 @query(
     "clean_lines",
     sql(

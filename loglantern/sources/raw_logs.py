@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglantern import fixed_values as fx
 from loglantern.functions.text import lines_of
 from loglantern.operators.ordered import SLICE_ROWS
+from loglantern.session import keep
 
 METADATA_SCHEMA = T.StructType(
     [
@@ -35,12 +36,93 @@ def file_stem(path: Column) -> Column:
 
 
 def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
-    """Whole log files: ``log_id`` (path), ``path``, ``job_name`` (file stem), ``raw_content``."""
+    """Whole log files: ``log_id`` (path), ``path``, ``job_name`` (file stem), ``raw_content``.
+
+    A file is one value, of 2 GB at most; ``read_log_lines`` reads files of any size.
+    """
     return raw_log_columns(spark.read.text(list(paths), wholetext=True))
 
 
+def read_log_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lines of log files of any size, as ``split_lines`` gives them of whole files.
+
+    Spark splits files at line feeds; a split of a file is a slice.  What lies between two
+    feeds is cut again at the other line breaks, and the lines are written once with their
+    place in their task.  A window numbers a slice, and counts of the slices before, one row
+    per split of a file, number the file.  Whether a file ends with a feed, which the reader
+    does not tell, follows from its size.  Empty files give no rows: Spark reads none.
+
+    A byte order mark is no part of the first line.  A compressed file is one slice, and ends
+    as if a feed followed.
+    """
+    value = F.col("value")
+    parts = F.split(F.regexp_replace(value, r"\r\z", ""), fx.LINE_BREAK)
+    pieces = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        _file_path().alias("log_id"),
+        F.col("_metadata.file_block_start").alias("slice"),
+        F.col("_metadata.file_size").alias("file_size"),
+        (F.octet_length(value) + 1).cast("bigint").alias("bytes"),
+        # what follows a break that is neither feed nor return is a line only if a feed ends it
+        ((value != "") & ~value.endswith("\r")).alias("open"),
+        F.posexplode(parts).alias("part", "raw_line"),
+        F.size(parts).alias("parts"),
+    )
+    last = F.col("part") == F.col("parts") - 1
+    lines = keep(
+        pieces.select(
+            "log_id",
+            "slice",
+            "file_size",
+            F.when(F.col("part") == 0, F.col("bytes")).otherwise(0).alias("bytes"),
+            (F.col("open") & last & (F.col("raw_line") == "")).alias("may_go"),
+            "raw_line",
+            F.monotonically_increasing_id().alias("spot"),
+        )
+    )
+    slices = lines.groupBy("log_id", "slice").agg(
+        F.count("*").alias("n"),
+        F.max("file_size").alias("file_size"),
+        F.sum("bytes").alias("bytes"),
+        F.max("spot").alias("last_spot"),
+        F.max(F.when(F.col("may_go"), F.col("spot"))).alias("open_spot"),
+    )
+    whole = Window.partitionBy("log_id")
+    by_place = whole.orderBy("slice")
+    # a feed at the end leaves nothing over, its absence one byte less; a byte order mark adds three
+    over = F.col("file_size") - F.sum("bytes").over(whole)
+    facts = slices.select(
+        "log_id",
+        "slice",
+        F.coalesce(F.sum("n").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        (F.count("*").over(whole) > 1).alias("is_cut"),
+        F.when(
+            over.isin(-1, 2)
+            & F.lead("slice").over(by_place).isNull()
+            & (F.col("open_spot") == F.col("last_spot")),
+            F.col("last_spot"),
+        ).alias("no_line"),
+    )
+    here = F.row_number().over(Window.partitionBy("log_id", "slice").orderBy("spot"))
+    return (
+        lines.select("log_id", "slice", "raw_line", "spot", here.alias("place"))
+        .join(facts, ["log_id", "slice"])
+        .filter(~F.col("spot").eqNullSafe(F.col("no_line")))
+        .select(
+            "log_id",
+            "slice",
+            "is_cut",
+            (F.col("place") + F.col("before")).cast("bigint").alias("line_number"),
+            "raw_line",
+        )
+    )
+
+
+def _file_path() -> Column:
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def raw_log_columns(files: DataFrame, *more: Column) -> DataFrame:
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = _file_path()
     return files.select(
         path.alias("log_id"),
         path.alias("path"),

@@ -18,6 +18,16 @@ def write_records(records: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def write_documents(pieces: DataFrame, path: str) -> None:
+    """One JSON document per log and line, from the pieces of ``reports.parsed_documents``.
+
+    A log's pieces are sorted into one task, which writes them one after the other; its
+    memory does not grow with the log.  Pieces are parted by a blank, which JSON passes over.
+    """
+    ordered = pieces.repartition("log_id").sortWithinPartitions("log_id", "section", "position")
+    ordered.select("text").write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Report lines sorted by log, section and position over files of their range."""
     report.sort("log_id", "section", "position").write.mode("overwrite").json(path)

@@ -3,13 +3,14 @@
 import datetime as dt
 import json
 import os
+import random
 import statistics
 
 import pytest
 from small_tables import SMALL
 from pyspark.sql import functions as F
 
-from loglantern.operators import answers, evaluate, memo, models, profile, reports
+from loglantern.operators import answers, evaluate, memo, models, parse, profile, reports
 from loglantern.plans.views import Logs
 from loglantern.sources import corpus, raw_logs, sinks
 from loglantern.streaming import landing
@@ -25,6 +26,67 @@ def test_read_logs_whole_with_names(spark, tmp_path):
     assert logs["job one+a.b"].path.endswith("/job one+a.b.txt")
 
 
+def test_files_cut_into_splits_have_the_lines_of_whole_files(spark, tmp_path):
+    """Splits of a few bytes fall on every kind of break, also on the last character."""
+    bits = ["a", "bé", "\n", "\r", "\r\n", "\x0c", "\u2028", "\x1c", "\n\n", "long words "]
+    pick = random.Random(8)
+    ends = ["", "\n", "\r", "\r\n", "\x0c", "\x0c\n", "\x0c\r", "\r\r", "\x85", "a"]
+    for n in range(40):
+        text = "".join(pick.choice(bits) for _ in range(pick.randint(0, 60))) + ends[n % len(ends)]
+        (tmp_path / f"log {n}.txt").write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "empty.txt").write_text("")
+    columns = ["log_id", "line_number", "raw_line"]
+    whole = raw_logs.split_lines(raw_logs.read_logs(spark, str(tmp_path)))
+    small = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "0"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        lines = raw_logs.read_log_lines(spark, str(tmp_path))
+        got = sorted((tuple(r[c] for c in columns) for r in lines.collect()), key=repr)
+        cut = lines.filter("is_cut").select("log_id", "slice").distinct().count()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert got == sorted((tuple(r[c] for c in columns) for r in whole.collect()), key=repr)
+    assert cut > 40
+    assert not any(r[0].endswith("empty.txt") for r in got)
+
+
+def test_a_parse_of_cut_files_is_that_of_whole_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text(LOG.replace("ERROR one\n", "ERROR one\n" * 200), encoding="utf-8")
+    whole = raw_logs.split_lines(raw_logs.read_logs(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        lines = raw_logs.read_log_lines(spark, str(tmp_path))
+        assert lines.filter("is_cut").select("slice").distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    records = [parse.log_counts(parse.roll_up(parse.read_lines(x), headers=True)).first() for x in (lines, whole)]
+    assert records[0] == records[1]
+    assert (records[0].total_lines, records[0].error_count) == (203, 201)  # FAILURE counts too
+
+
+def test_nested_documents_of_odd_logs(spark, tmp_path):
+    """Logs without stages or entries, quotes in messages, a null value: all read back as JSON."""
+    summary = spark.createDataFrame([(1, "a \"b\"", None, 5), (2, "x", "y", 6), (None, "z", "y", 0)], "log_id long, status string, extra string, slice long")
+    stages = spark.createDataFrame([(1, "s]}", 2), (1, "s,", 1)], "log_id long, stage string, stage_order long")
+    entries = spark.createDataFrame(
+        [(1, "error", 9, "two\n"), (1, "error", 3, "one"), (1, "warning", 4, None), (2, "warning", 1, "é")],
+        "log_id long, kind string, line_number long, message string",
+    )
+    path = str(tmp_path / "documents")
+    sinks.write_documents(reports.parsed_documents(summary, stages, entries), path)
+    lines = [json.loads(line) for f in sorted(os.listdir(path)) if f.endswith(".txt") for line in open(f"{path}/{f}") if line.strip()]
+    got = {d.get("log_id"): d for d in lines}
+    assert len(lines) == 3 and spark.read.json(path).count() == 3
+    assert got[1]["log"] == {"status": 'a "b"'} and [s["stage"] for s in got[1]["stages"]] == ["s,", "s]}"]
+    assert [e["message"] for e in got[1]["errors"]] == ["one", "two\n"] and got[1]["warnings"] == [{"line_number": 4}]
+    assert (got[2]["errors"], got[2]["stages"], got[2]["warnings"][0]["message"]) == ([], [], "é")
+    assert got[None]["log"] == {"status": "z", "extra": "y"}
+    sinks.write_documents(reports.parsed_documents(*[t.limit(0) for t in (summary, stages, entries)]), str(tmp_path / "none"))
+    assert not spark.read.text(str(tmp_path / "none")).take(1)
+
+
 def test_metadata_csv_and_json(spark, tmp_path):
     rows = [
         ("a_1", "logs/a_1.txt", "jenkins", "timeout", 1, "2025-10-30T21:43:43.968175"),
