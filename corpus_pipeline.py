@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern.llm import chosen_path, decontaminate, mixing, quality, sharding
-from loglantern.llm.common import table
+from loglantern.llm.common import table, unused
 from loglantern.llm.queries import held_out
 from loglantern.session import shared_folder
 
@@ -21,8 +21,9 @@ from loglantern.session import shared_folder
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    scored = quality.score(docs.withColumnsRenamed({"score": "_score"}), model)
-    return scored.where(F.col("score") >= quality.THRESHOLD).drop("score").withColumnsRenamed({"_score": "score"})
+    own = unused(docs, "_score")
+    scored = quality.score(docs.withColumnsRenamed({"score": own}), model)
+    return scored.where(F.col("score") >= quality.THRESHOLD).drop("score").withColumnsRenamed({own: "score"})
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document of the mix."""
-    return sharding.shard_texts(docs)
+    """Every document of the mix, whole, with its shard and slot."""
+    return sharding.shard_documents(docs)
 
 
 STAGES = [

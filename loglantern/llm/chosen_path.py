@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import lasting
+from loglantern.llm.common import lasting, unused
 from loglantern.llm.hashed_words import LETTERS, mixed, ngrams, slices
 
 # workers get these functions themselves and need not have this package installed
@@ -388,10 +388,11 @@ def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     What goes is listed by key, and only that list is joined. Of repeated rows that would
     stay, which share a key, one stays.
     """
+    key = unused(docs, "_key")
     found = lasting(near_duplicates(docs, least).select("key", "keeper", "class_size"))
-    gone = found.where("key != keeper").select(F.col("key").alias("_key")).distinct()
-    again = found.where("key = keeper and class_size > 1").groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
-    own = _row_key() == F.col("_key")
-    single = docs.join(gone.unionByName(again.select("_key")), own, "left_anti")
-    repeated = docs.join(again.select("_key"), own).dropDuplicates(["_key"]).select(*docs.columns)
+    gone = found.where("key != keeper").select(F.col("key").alias(key)).distinct()
+    again = found.where("key = keeper and class_size > 1").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n")).where("n > 1")
+    own = _row_key() == F.col(key)
+    single = docs.join(gone.unionByName(again.select(key)), own, "left_anti")
+    repeated = docs.join(again.select(key), own).dropDuplicates([key]).select(*docs.columns)
     return single.unionByName(repeated)

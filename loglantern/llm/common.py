@@ -31,6 +31,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that the rows do not have."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
 def same(columns: list[str]) -> Column:
     """Equality of the columns of two aliased sides, nulls being equal."""
     return reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import lasting
+from loglantern.llm.common import lasting, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 64, 11
@@ -204,5 +204,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, most
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item, whole; equal texts share their fate."""
-    held = leaks(docs, benchmark, least).select(F.col("key").alias("_key")).distinct()
-    return docs.join(held, F.md5(docs["text"]) == F.col("_key"), "left_anti")
+    key = unused(docs, "_key")
+    held = leaks(docs, benchmark, least).select(F.col("key").alias(key)).distinct()
+    return docs.join(held, F.md5("text") == F.col(key), "left_anti")

@@ -9,7 +9,9 @@ documents are put into a shuffled order and cut into blocks of ``block`` words;
 rank r takes block ``r mod blocks``, so that a source is gone through evenly before it
 repeats. Every source takes part until its target is met to the word: points beyond that
 are passed over, and the few slots that the sequence's discrepancy leaves out are added at
-the end. The last slot of a source is cut to the words still wanted.
+the end. The last slot of a source is cut to the words still wanted. ``sequence`` is the mix
+itself, a row per slot and document with the words it takes there; what is taken of a
+document, and where it first comes up, are sums over its rows.
 
 Large sources: order, blocks and ranks are sums over hash buckets and slot ranges, so no
 source meets in one task. There is one small row per slot, document and block.
@@ -24,16 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import WORD, lasting, placed
+from loglantern.llm.common import WORD, lasting, placed, unused
 
 #: frac(golden ratio)
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, REPEATS, BLOCK = 1.5, 2, 256
 
-#: Sources are few; their ends fit one array of at most two to this power.
-MOST_SOURCES_LOG2 = 20
-
 #: Slots that are ranked together.
 SLOT_RANGE = 1 << 16
 
@@ -48,7 +47,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     told = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     order = F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"), F.xxhash64("text").alias("text_hash"))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"), F.md5("text").alias("text_md5"))
     return lasting(slim)
 
 
@@ -104,7 +103,7 @@ def schedule(plan: DataFrame) -> DataFrame:
         "key", "slots", F.sum("slots").over(Window.orderBy("rank")).alias("upto"), F.sum("slots").over(Window.partitionBy()).alias("all")
     )
     edges = edges.select("key", "slots", ((F.col("upto") - F.col("slots")) / F.col("all")).alias("low"), (F.col("upto") / F.col("all")).alias("high"), "all")
-    total = edges.agg(F.coalesce(F.max("all"), F.lit(0))).first()[0]
+    total, sources = edges.agg(F.coalesce(F.max("all"), F.lit(0)), F.count("*")).first()
     bounds = edges.agg(F.sort_array(F.collect_list(F.struct("high", "key"))).alias("ends"))  # one small row per source
     point = (F.col("slot") + 1) * GOLDEN - F.floor((F.col("slot") + 1) * GOLDEN)
     last = F.size("ends") - 1
@@ -114,7 +113,7 @@ def schedule(plan: DataFrame) -> DataFrame:
         ends_before = F.get("ends", found + width - 1)["high"] <= point
         return F.when((found + width <= last) & ends_before, found + width).otherwise(found)
 
-    found = F.aggregate(F.array(*[F.lit(1 << k) for k in range(MOST_SOURCES_LOG2 - 1, -1, -1)]), F.lit(0), step)
+    found = F.aggregate(F.array(*[F.lit(1 << k) for k in range(sources.bit_length() - 1, -1, -1)]), F.lit(0), step) if sources else F.lit(0)
     drawn = (
         spark.range(total)
         .withColumnRenamed("id", "slot")
@@ -138,15 +137,46 @@ def schedule(plan: DataFrame) -> DataFrame:
     return kept.unionByName(late.select((F.lit(total) + F.col("turn")).alias("slot"), "key", "turn"))
 
 
-def taken_blocks(slots: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per block of a source: how often it is taken whole, and how many words of it once more."""
+def pieces(at: DataFrame, slots: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, row, first_word, words): which words of which document each slot takes.
+
+    ``at`` has each document's position in its source's shuffled order. A block has at most
+    ``block`` documents and few slots, so the join is even however large a source is.
+    """
     facts = plan.select("key", "blocks", "slots", "rest")
     last = (F.col("turn") == F.col("slots") - 1) & (F.col("rest") % block != 0)
+    asked = slots.join(facts, "key").select(
+        "slot", "key", F.pmod(F.col("turn"), F.col("blocks")).alias("number"), F.when(last, F.col("rest") % block).otherwise(block).alias("part")
+    )
+    first, past = F.floor(F.col("position") / block), F.floor((F.col("position") + F.col("size") - 1) / block)
+    held = at.where("size > 0").select("row", "key", "position", "size", F.explode(F.sequence(first, past)).alias("number"))
+    low = F.greatest(F.col("position"), F.col("number") * block)
+    high = F.least(F.col("position") + F.col("size"), F.col("number") * block + F.col("part"))
     return (
-        slots.join(facts, "key")
-        .select("key", F.pmod(F.col("turn"), F.col("blocks")).alias("number"), F.when(last, F.col("rest") % block).alias("part"))
-        .groupBy("key", "number")
-        .agg(F.count(F.when(F.col("part").isNull(), 1)).alias("times"), F.sum("part").alias("part"))
+        held.join(asked, ["key", "number"])
+        .select("slot", "row", (low - F.col("position")).cast("long").alias("first_word"), (high - low).cast("long").alias("words"))
+        .where("words > 0")
+    )
+
+
+def _placed(slim: DataFrame) -> DataFrame:
+    return placed(slim, ["key"], ["order", "doc_id", "row"], F.col("size"))
+
+
+def sequence(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK
+) -> DataFrame:
+    """The mix in order: (slot, place, doc_id, source, first_word, words), sorted by (slot, place) when read.
+
+    ``place`` is the first word's position in its source's shuffled order; words of a document
+    are counted from 0.
+    """
+    slim = sizes(docs)
+    plan = lasting(quotas(targets(slim, weights, share, repeats), block))
+    at = _placed(slim)
+    told = at.select("row", "doc_id", "source", "position")
+    return pieces(at, schedule(plan), plan, block).join(told, "row").select(
+        "slot", (F.col("position") + F.col("first_word")).alias("place"), "doc_id", "source", "first_word", "words"
     )
 
 
@@ -158,26 +188,20 @@ def mix(
     block: int = BLOCK,
     keep: DataFrame | None = None,
 ) -> DataFrame:
-    """Slim rows (row, doc_id, source, size, source_size, target, position, taken) of a mix.
+    """Slim rows (row, doc_id, source, size, source_size, target, position, taken, first_slot) of a mix.
 
-    ``position`` is the document's first word in its source's shuffled order. ``keep`` may
-    hand in what ``sizes`` gave, so that the caller can join the texts back by ``row``.
+    ``position`` is the document's first word in its source's shuffled order, ``first_slot``
+    the first slot that takes a word of it (null: none does). ``keep`` may hand in what
+    ``sizes`` gave, so that the caller can join the texts back by ``row``.
     """
     slim = sizes(docs) if keep is None else keep
     plan = lasting(quotas(targets(slim, weights, share, repeats), block))
-    blocks = taken_blocks(schedule(plan), plan, block)
-    at = placed(slim, ["key"], ["order", "doc_id", "row"], F.col("size"))
-    first, past = F.floor(F.col("position") / block), F.floor((F.col("position") + F.col("size") - 1) / block)
-    pieces = at.where("size > 0").withColumn("number", F.explode(F.sequence(first, past)))
-    low = F.greatest(F.col("position"), F.col("number") * block)
-    high = F.least(F.col("position") + F.col("size"), (F.col("number") + 1) * block)
-    cut = F.least(high, F.col("number") * block + F.coalesce("part", F.lit(0)))
-    words = F.col("times") * (high - low) + F.greatest(cut - low, F.lit(0))
-    taken = pieces.join(blocks, ["key", "number"]).groupBy("row").agg(F.sum(words).alias("taken"))
+    at = _placed(slim)
+    taken = pieces(at, schedule(plan), plan, block).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return (
         at.join(taken, "row", "left")
         .join(plan.select("key", "source_size", "target"), "key")
-        .select("row", "doc_id", "source", "size", "source_size", "target", "position", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("row", "doc_id", "source", "size", "source_size", "target", "position", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     )
 
 
@@ -187,9 +211,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     Documents without words hold nothing to mix and are left out. Rows of equal id and text
     are taken equally often.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("source"), F.xxhash64("text"))
-    slim = sizes(docs).withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text_hash")))
+    slim = sizes(docs).withColumn("same", _same(F.col("text_md5")))
     taken = mix(docs, weights, share, repeats, block, keep=slim).where("size > 0")
-    copies = taken.join(slim.select("row", "_key"), "row").groupBy("_key").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    own = docs.withColumn("_key", key).join(copies.where("_copies > 0"), "_key")
-    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_copies", "_copy")
+    same, times, copy = (unused(docs, c) for c in ("_same", "_times", "_copy"))
+    counts = F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times)
+    copies = taken.join(slim.select("row", "same"), "row").groupBy(F.col("same").alias(same)).agg(counts)
+    own = docs.withColumn(same, _same(F.md5("text"))).join(copies.where(F.col(times) > 0), same)
+    return own.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+
+
+def _same(text_md5: Column) -> Column:
+    """What rows of equal id, source and text share."""
+    told = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_md5, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))]
+    return F.md5(F.concat_ws(":", *told))

@@ -154,7 +154,8 @@ FROM placed GROUP BY conv_id
 
 # --- source schedule -----------------------------------------------------------------------
 def mixing_sql() -> str:
-    """Targets by raising one level; words taken by each document's place in its source's order."""
+    """Targets by raising one level; slots by golden-ratio points; words by the blocks that slots take."""
+    b, g = mixing.BLOCK, mixing.GOLDEN
     cycle = "[" + ", ".join(f"{w:.1f}" for w in mixing.WEIGHTS) + "]"
     return f"""
 WITH slim AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -172,9 +173,27 @@ shares AS (SELECT *, round(target) AS words, CASE WHEN source_size > 0 THEN floo
   FROM targets),
 placed AS (SELECT s.*, source_size, target, whole, words - whole * source_size AS rest,
     sum(size) OVER (PARTITION BY s.source ORDER BY ord % 1024, ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place
-  FROM slim s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-  CAST(whole * size + least(size, greatest(0, rest - place)) AS BIGINT) AS taken FROM placed
+  FROM slim s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source),
+slots AS (SELECT source, source_size, rest, CAST(ceil(source_size / {b}) AS BIGINT) AS blocks,
+    CAST(whole * ceil(source_size / {b}) + ceil(rest / {b}) AS BIGINT) AS slots FROM (SELECT *, words - whole * source_size AS rest FROM shares)),
+edges AS (SELECT *, sum(slots) OVER () AS n, sum(slots) OVER (ORDER BY source NULLS LAST) AS upto FROM slots WHERE slots > 0),
+points AS (SELECT slot, (slot + 1) * {g} - floor((slot + 1) * {g}) AS point FROM (SELECT unnest(range(CAST((SELECT max(n) FROM edges) AS BIGINT))) AS slot)),
+drawn AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS turn
+  FROM points JOIN edges ON point >= CAST(upto - slots AS DOUBLE) / n AND point < CAST(upto AS DOUBLE) / n),
+late AS (SELECT source, unnest(range(coalesce(have, 0), slots)) AS turn
+  FROM edges e LEFT JOIN (SELECT source AS s, count(*) AS have FROM drawn GROUP BY source) ON e.source IS NOT DISTINCT FROM s),
+turns AS (SELECT slot, source, turn FROM drawn UNION ALL SELECT (SELECT max(n) FROM edges) + turn, source, turn FROM late),
+asked AS (SELECT slot, t.source, turn % blocks AS number, CASE WHEN turn = slots - 1 AND rest % {b} <> 0 THEN rest % {b} ELSE {b} END AS part
+  FROM turns t JOIN edges e ON t.source IS NOT DISTINCT FROM e.source WHERE turn < slots),
+held AS (SELECT doc_id, ord, source, place, size, unnest(range(CAST(place // {b} AS BIGINT), CAST((place + size - 1) // {b} + 1 AS BIGINT))) AS number
+  FROM placed WHERE size > 0),
+sums AS (SELECT doc_id, ord, h.source, place, sum(least(place + size, h.number * {b} + part) - greatest(place, h.number * {b})) AS taken, min(slot) AS first_slot
+  FROM held h JOIN asked a ON h.source IS NOT DISTINCT FROM a.source AND h.number = a.number
+  WHERE least(place + size, h.number * {b} + part) > greatest(place, h.number * {b}) GROUP BY ALL)
+SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+  CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot
+FROM placed p LEFT JOIN sums s ON p.doc_id IS NOT DISTINCT FROM s.doc_id AND p.ord = s.ord AND p.place = s.place AND p.size > 0
+  AND p.source IS NOT DISTINCT FROM s.source
 """
 
 

@@ -9,7 +9,7 @@ sparse dot products over whole texts, in one pass without a shuffle.
 
 Defined cases: null and blank texts have the constant feature only; labels that are null are
 left out, a document with several labels counts as good if most are; without labelled rows
-every score is a half. Repeated documents are scored each. Columns of the input are kept,
+every score is a half. Repeated documents are scored each and learned from once. Columns of the input are kept,
 equally named results replace them.
 """
 
@@ -100,10 +100,19 @@ def sample_features(docs: DataFrame, sample: DataFrame, parts: int = SHARDS) ->
     """(part, order, label, slots, weights) of the sampled documents, kept for many passes.
 
     The sample is bounded by its size, and so may be broadcast; texts never leave their task.
+    An id is learned from once, however many rows it has: by the text of least hash, which
+    each task passes on once at most.
     """
 
     def batches(given):
+        seen = set()  # ids of the sample
         for batch in given:
+            new = []
+            for place, order in enumerate(batch.column("order").to_pylist()):
+                if order not in seen:
+                    seen.add(order)
+                    new.append(place)
+            batch = batch.take(pa.array(new, pa.int32()))
             slots, values = [], []
             for s, v in rows(batch.column("text")):
                 slots.append(s)
@@ -120,10 +129,12 @@ def sample_features(docs: DataFrame, sample: DataFrame, parts: int = SHARDS) ->
             )
 
     order = F.xxhash64("doc_id", F.lit("order"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    least = hashed.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
+    chosen = hashed.join(F.broadcast(lasting(least)), ["doc_id", "hash"])
     slim = chosen.select("text", "label", order.alias("order"), F.pmod(order, F.lit(parts)).cast("int").alias("part"))
     schema = "part int, order long, label int, slots array<long>, weights array<double>"
-    return lasting(slim.mapInArrow(batches, schema))
+    return lasting(slim.mapInArrow(batches, schema).dropDuplicates(["order"]))
 
 
 def examples_of(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:

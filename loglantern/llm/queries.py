@@ -82,7 +82,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @query
@@ -101,7 +101,7 @@ def op9_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = quality.score(docs, quality.train(docs, labels.where(~held_out())), ["doc_id"])
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 @query

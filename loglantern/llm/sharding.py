@@ -17,7 +17,8 @@ per shard.
 
 Defined cases: a null text has no size, no checksum and no links; empty texts are equal
 texts; repeated rows are rows of their own; with fewer rows than shards some shards stay
-empty; an empty table gives no rows. Other columns of the input are ignored.
+empty; an empty table gives no rows. Other columns of the input are ignored by
+``shard_texts`` and kept by ``shard_documents``, where equally named results replace them.
 """
 
 from __future__ import annotations
@@ -25,16 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import lasting, placed
+from loglantern.llm.common import lasting, placed, unused
 
 SHARDS, ROUNDS = 24, 4
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """A slim row per document: id, size, checksum, a hash to order by and the group of its text."""
+def documents(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A slim row per document: id, size, checksum, a hash to order by and the group of its text.
+
+    ``row`` names a column that tells rows apart; rows are numbered if there is none.
+    """
     text = F.col("text")
     slim = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"),
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -193,12 +197,17 @@ def pairs_together(sharded: DataFrame, links: DataFrame) -> DataFrame:
     return groups.agg(F.sum(F.col("all") * (F.col("all") - 1) / 2).alias("pairs"), F.sum("together").alias("together"))
 
 
-def shard_texts(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Documents linked by equal texts, in shards of equal row counts."""
-    slim = documents(docs)
-    links = lasting(text_links(slim))
-    return shard(slim, links, shards, rounds).select(
-        "doc_id",
+def _sharded(slim: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """The slim rows of documents linked by equal texts, in shards of equal row counts."""
+    return shard(slim, lasting(text_links(slim)), shards, rounds)
+
+
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _results(sharded: DataFrame, *first: str) -> DataFrame:
+    return sharded.select(
+        *first,
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
@@ -206,3 +215,20 @@ def shard_texts(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def shard_texts(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """Documents linked by equal texts, in shards of equal row counts."""
+    return _results(_sharded(documents(docs), shards, rounds), "doc_id")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """The same with all columns of the documents, for shards that are trained on.
+
+    Rows are numbered and written once, so that repeated rows find their own shard and slot.
+    """
+    row = unused(docs, "_row")
+    own = docs.drop(*(c for c in docs.columns if c.lower() in RESULT))
+    numbered = lasting(own.withColumn(row, F.monotonically_increasing_id()))
+    placed_rows = _results(_sharded(documents(numbered, row), shards, rounds), "row").withColumnRenamed("row", row)
+    return numbered.join(placed_rows, row).drop(row)

@@ -91,6 +91,17 @@ def test_labels_of_held_out_documents_are_never_read(spark):
     assert np.array_equal(one, two)
 
 
+def test_an_id_is_learned_from_once(spark):
+    """Repeats of an id, of equal or of other texts, leave one row of it in the sample."""
+    rows = [(n, f"text number {n}") for n in range(20)] + [(3, "text number 3")] * 50 + [(4, f"other {n}") for n in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(n, n % 2) for n in range(15)], "doc_id long, label int")
+    got = quality.sample_features(docs.repartition(4), sample)
+    assert got.count() == got.select("order").distinct().count() == 15
+    again = quality.sample_features(docs.repartition(3), sample)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
 def test_odd_rows_are_scored(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (8, 0), (None, 1), (99, 1)], "doc_id long, quality int")
     model = quality.train(odd_documents, labels)

@@ -274,9 +274,55 @@ def test_the_schedule_is_even(spark):
         assert sorted(r.turn for r in turns if r.key == key) == list(range(n))
 
 
+def test_the_sequence_spells_the_mix(spark):
+    """Every slot takes at most a block of its source's next words; what it takes adds up to the mix."""
+    pick = random.Random(9)
+    rows = [(n, " ".join(["w"] * pick.randint(0, 90)), pick.choice("aabc")) for n in range(300)] + [(300, "w " * 3000, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = mixing.sequence(frame, block=16).orderBy("slot", "place").collect()
+    mixed = {r.doc_id: r for r in mixing.mix(frame, block=16).collect()}
+    sizes, taken, first, used = {n: len(t.split()) for n, t, _ in rows}, {}, {}, {}
+    for r in told:
+        assert 0 <= r.first_word and r.words > 0 and r.first_word + r.words <= sizes[r.doc_id]
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+        first.setdefault(r.doc_id, r.slot)
+        used.setdefault(r.slot, []).append(r)
+    assert all(mixed[n].taken == taken.get(n, 0) and mixed[n].first_slot == first.get(n) for n in sizes)
+    assert all(len({r.source for r in own}) == 1 and sum(r.words for r in own) <= 16 for own in used.values())
+    # any part of the mix has the sources in the shares of the whole
+    want = {s: sum(r.taken for r in mixed.values() if r.source == s) for s in "abc"}
+    for part in (0.25, 0.5, 0.75):
+        some = [r for r in told if r.slot < part * len(used)]
+        for s in "abc":
+            assert abs(sum(r.words for r in some if r.source == s) - part * want[s]) <= 0.02 * sum(want.values())
+    # a source is gone through once before it repeats
+    places = [r.place for r in told if r.source == "b"]
+    turn = places.index(0, 1) if 0 in places[1:] else len(places)
+    assert places[:turn] == sorted(places[:turn])
+
+
+def test_no_sources_and_one(spark):
+    frame = spark.createDataFrame([(1, "a b c", None)], "doc_id long, text string, source string")
+    # the target of 4.5 words is met by five
+    assert [(r.slot, r.doc_id, r.words) for r in mixing.sequence(frame).orderBy("slot").collect()] == [(0, 1, 3), (1, 1, 2)]
+    assert mixing.sequence(frame.where("false")).count() == 0
+
+
+def test_whole_shards_keep_columns_and_repeats(spark, odd_documents, no_documents):
+    """Each row of the documents, repeats included, has a shard and slot of its own."""
+    clash = odd_documents.withColumns({"slot": F.lit("mine"), "_row": F.lit(5)})
+    got = sharding.shard_documents(clash, shards=3).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r.doc_id), str(r.text)) for r in odd_documents.collect())
+    assert len({(r.shard, r.slot) for r in got}) == len(got) and all(r._row == 5 for r in got)
+    assert sharding.shard_documents(no_documents).count() == 0
+
+
 def test_whole_documents_of_a_mix(spark, odd_documents, no_documents):
+    odd_documents = odd_documents.withColumns({c: F.lit(c) for c in ("_same", "_times", "_copy")})
+    no_documents = no_documents.withColumns({c: F.lit(c) for c in ("_same", "_times", "_copy")})
     kept = mixing.mixed(odd_documents)
     assert kept.columns == odd_documents.columns
+    assert kept.where("_same = '_same' and _times = '_times' and _copy = '_copy'").count() == kept.count()
     ids = {r.doc_id for r in kept.collect()}
     assert not {3, 4, 5} & ids and 6 in ids
     assert mixing.mixed(no_documents).count() == 0 and mixing.mix(no_documents).count() == 0

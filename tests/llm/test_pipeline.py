@@ -48,6 +48,28 @@ def test_run_applies_all_stages(spark, stages):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in stages["sharding"].collect())
 
 
+def test_shards_hold_whole_documents(spark, stages):
+    """The last table has what the mix kept, with shards that differ by one row at most."""
+    columns = table(spark, SMALL, "documents").columns
+    assert set(columns) | {"shard", "slot"} <= set(stages["sharding"].columns)
+    assert stages["sharding"].select(*columns).exceptAll(stages["mixing"]).count() == 0
+    counts = [r["count"] for r in stages["sharding"].groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_odd_documents_through_all_stages(spark, odd_documents, tmp_path):
+    """Nulls, repeats, long and empty texts, and columns named like helpers."""
+    docs = odd_documents.withColumns({c: F.lit(c) for c in ("_key", "_score", "_same", "_copy", "_row", "_times")})
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        after = spark.read.parquet(f"{tmp_path}/{n}")
+        assert name == "sharding" or after.columns == docs.columns
+        assert after.where("not (_key = '_key' and _score = '_score' and _row = '_row')").count() == 0
+        docs = after
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SMALL, name).where("false").write.parquet(f"{tmp_path}/{name}.parquet")
