@@ -122,19 +122,21 @@ def sample_features(docs: DataFrame, sample: DataFrame, parts: int = SHARDS) ->
                     batch.column("part").cast(pa.int32()),
                     batch.column("order").cast(pa.int64()),
                     batch.column("label").cast(pa.int32()),
+                    batch.column("n").cast(pa.int64()),
                     pa.array(slots, pa.list_(pa.int64())),
                     pa.array(values, pa.list_(pa.float64())),
                 ],
-                ["part", "order", "label", "slots", "weights"],
+                ["part", "order", "label", "n", "slots", "weights"],
             )
 
     order = F.xxhash64("doc_id", F.lit("order"))
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    least = hashed.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
+    least = hashed.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"), F.count("*").alias("n"))
     chosen = hashed.join(F.broadcast(lasting(least)), ["doc_id", "hash"])
-    slim = chosen.select("text", "label", order.alias("order"), F.pmod(order, F.lit(parts)).cast("int").alias("part"))
-    schema = "part int, order long, label int, slots array<long>, weights array<double>"
-    return lasting(slim.mapInArrow(batches, schema).dropDuplicates(["order"]))
+    slim = chosen.select("text", "label", "n", order.alias("order"), F.pmod(order, F.lit(parts)).cast("int").alias("part"))
+    found = lasting(slim.mapInArrow(batches, "part int, order long, label int, n long, slots array<long>, weights array<double>"))
+    # only ids of several rows, which several tasks may have passed on, are looked at again
+    return found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["order"])).drop("n")
 
 
 def examples_of(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
