@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -17,25 +20,70 @@ from loglantern import fixed_values as fx
 from loglantern.functions.text import any_case, one_line, strip
 from loglantern.session import keep
 
-#: Counters of the first, rough count of terms.
+#: Counters of the first, rough count of pairs; rows of a table that is handed to the tasks.
 BUCKETS = 1 << 20
 
 STRUCTURAL_NAMES = ("log_length", "num_lines", *[name for name, _, _ in fx.STRUCTURAL_FLAGS])
 
 
+#: Literal pieces that every match of a normalising step holds.
+_PIECES = dict(
+    zip(
+        [pattern for pattern, _ in fx.NORMALISE_STEPS],
+        [("-", ":"), (":",), ("://",), ("/",), ("#",), (".",)],
+        strict=False,
+    )
+)
+#: Pieces that every match of a flag holds: one of several lists, all of its pieces.  Flags that ignore
+#: case are looked up in lower case, so their pieces have no letter (i, k, s) that others fold to.
+_FLAG_PIECES = {
+    "has_error_keyword": (("error",),),
+    "has_failed_keyword": (("led", "fa"),),
+    "has_exception": (("except",),),
+    "has_timeout": (("meout",), ("med out",)),
+    "has_pip_error": (("ERROR:",),),
+    "has_ts_error": (("TS",),),
+    "has_syntax_error": (("SyntaxError",), ("IndentationError",)),
+    "has_test_failed": (("led", "fa", "te"),),
+    "has_assertion_error": (("AssertionError",), ("expect", "received")),
+    "has_stack_trace": (("at", "(", ":", ")"),),
+    "has_exit_code": (("t code",), ("tatu",)),
+}
+
+
+def holds(text: Column, pieces: Sequence[str]) -> Column:
+    """Whether the text holds all of the pieces; null for a null text."""
+    return reduce(and_, [text.contains(piece) for piece in pieces], F.lit(True))
+
+
+def _replaced(text: Column, pattern: str, into: str, pieces: Sequence[str]) -> Column:
+    """Replaces a pattern in texts that hold its pieces; a list's element, so that the text is made once."""
+    def change(t: Column) -> Column:
+        return F.when(holds(t, pieces), F.regexp_replace(t, pattern, into)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), change), F.lit(0))
+
+
 def normalise(text: Column) -> Column:
+    """Lower-case text with dates, times, addresses, paths, numbers and versions taken out, and single blanks.
+
+    A pattern is tried only on texts that hold the literal pieces any match of it has.
+    """
     out = F.lower(text)
     for pattern, into in fx.NORMALISE_STEPS:
-        out = F.regexp_replace(out, pattern, into)
+        out = _replaced(out, pattern, into, _PIECES.get(pattern, ()))
     return strip(out)
 
 
 def structural_features(text: Column) -> list[Column]:
-    """14 features: length, line feeds and twelve flags."""
-    flags = [
-        text.rlike(one_line(any_case(pattern) if ignore_case else "(?U)" + pattern)).cast("bigint").alias(name)
-        for name, pattern, ignore_case in fx.STRUCTURAL_FLAGS
-    ]
+    """14 features: length, line feeds and twelve flags; a pattern is tried only where its pieces occur."""
+    small = F.lower(text)
+    flags = []
+    for name, pattern, ignore_case in fx.STRUCTURAL_FLAGS:
+        found = text.rlike(one_line(any_case(pattern) if ignore_case else "(?U)" + pattern))
+        options = _FLAG_PIECES.get(name, ((),))
+        seen = reduce(or_, [holds(small if ignore_case else text, own) for own in options])
+        flags.append((seen & found).cast("bigint").alias(name))
     return [
         F.length(text).cast("bigint").alias("log_length"),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("num_lines"),
@@ -48,11 +96,16 @@ def words_of(clean_text: Column) -> Column:
     return F.regexp_extract_all(F.lower(clean_text), F.lit(fx.TOKEN), 0)
 
 
-def terms_of(words: Column) -> Column:
-    """Words, and pairs of neighbouring words."""
+def pairs_of(words: Column) -> Column:
+    """Pairs of neighbouring words."""
     firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     seconds = F.slice(words, 2, F.size(words))
-    return F.concat(words, F.zip_with(firsts, seconds, lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(firsts, seconds, lambda a, b: F.concat_ws(" ", a, b))
+
+
+def terms_of(words: Column) -> Column:
+    """Words, and pairs of neighbouring words."""
+    return F.concat(words, pairs_of(words))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
@@ -67,19 +120,19 @@ def term_counts(texts: DataFrame) -> DataFrame:
     )
 
 
-def marked_terms(texts: DataFrame) -> DataFrame:
-    """(term, first, bucket) of every term of every log; ``first`` marks one of a log's equal terms.
-
-    ``bucket`` is one of ``BUCKETS`` the term's hash falls into.
-    """
-    ordered = texts.select(F.sort_array(terms_of(F.col("words"))).alias("terms"))
+def marked_terms(texts: DataFrame, terms: Column) -> DataFrame:
+    """(term, first) of every one of a log's ``terms``; ``first`` marks one of its equal terms."""
+    ordered = texts.select(F.sort_array(terms).alias("terms"))
     marked = F.zip_with(
         F.col("terms"),
         F.concat(F.array(F.lit("")), F.col("terms")),
         lambda term, before: F.struct(term.alias("term"), (term != before).alias("first")),
     )
-    flat = ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
-    return flat.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+    return ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
+
+
+def _frequencies(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("freq"))
 
 
 def _usual(n_logs: int) -> Column:
@@ -90,27 +143,31 @@ def _usual(n_logs: int) -> Column:
 def vocabulary(texts: DataFrame) -> DataFrame:
     """The most frequent terms found in at least two logs and at most 80 % of them, with their numbers.
 
-    Ties go to the term that sorts first.  Terms are first counted by hash bucket, in
-    ``BUCKETS`` counters per task that are then added up: no term is more frequent than its
-    bucket.  A bucket that holds a single term tells its exact numbers, so the buckets of
-    that kind give a number of occurrences that the last term of the vocabulary reaches at
-    least.  Only terms of buckets that reach it are counted by name.
+    Ties go to the term that sorts first.  Words are counted first: the last term of the
+    vocabulary is at least as frequent as the last of as many usual words.  A pair is no more
+    frequent than either of its words, so only pairs of words that reach this number, in at
+    least as many logs as a term needs, are counted.  Pairs of more words than ``BUCKETS`` has
+    pairs for are first counted by hash bucket, in ``BUCKETS`` counters per task that are then
+    added up: no pair is more frequent than its bucket.
     """
     n_logs = texts.count()
-    terms = marked_terms(texts)
-    other = F.xxhash64("term", F.lit(1))
-    buckets = keep(
-        terms.groupBy("bucket").agg(
-            F.count("*").alias("freq"), F.count_if("first").alias("df"), (F.min(other) == F.max(other)).alias("single")
-        )
-    )
-    sure = buckets.filter(F.col("single") & _usual(n_logs)).orderBy(F.desc("freq")).limit(fx.VOCABULARY_SIZE)
+    words = keep(_frequencies(marked_terms(texts, F.col("words"))).filter(F.col("df") >= fx.VOCABULARY_MIN_DOCS))
+    sure = words.filter(_usual(n_logs)).orderBy(F.desc("freq")).limit(fx.VOCABULARY_SIZE)
     known = sure.agg(F.count("*").alias("terms"), F.min("freq").alias("least")).first()
-    bar = known["least"] if known["terms"] == fx.VOCABULARY_SIZE else 0
-    # no more rows than BUCKETS
-    wanted = F.broadcast(buckets.filter(F.col("freq") >= bar).select("bucket"))
-    counted = terms.join(wanted, "bucket", "left_semi").groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("freq"))
-    chosen = counted.filter(_usual(n_logs)).orderBy(F.desc("freq"), "term").limit(fx.VOCABULARY_SIZE)
+    bar = known["least"] if known["terms"] == fx.VOCABULARY_SIZE else fx.VOCABULARY_MIN_DOCS
+    frequent = words.filter(F.col("freq") >= bar)
+    few = frequent.count()
+    side = frequent.select(F.col("term").alias("word"))
+    side = F.broadcast(side) if few <= BUCKETS else side
+    pairs = marked_terms(texts, pairs_of(F.col("words")))
+    for at in (1, -1):
+        pairs = pairs.join(side, F.substring_index("term", " ", at) == F.col("word"), "left_semi")
+    if few * few > BUCKETS:
+        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+        full = pairs.groupBy("bucket").agg(F.count("*").alias("freq")).filter(F.col("freq") >= bar)
+        # no more rows than BUCKETS
+        pairs = pairs.join(F.broadcast(keep(full.select("bucket"))), "bucket", "left_semi")
+    chosen = frequent.unionByName(_frequencies(pairs)).filter(_usual(n_logs)).orderBy(F.desc("freq"), "term").limit(fx.VOCABULARY_SIZE)
     return chosen.select("term", "df", "freq", F.lit(n_logs).cast("bigint").alias("n_logs"))
 
 

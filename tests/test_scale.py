@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from small_tables import SMALL
 
 from loglantern import session
-from loglantern.operators import chunks, features, memo, ordered, parse, profile, reports
+from loglantern.operators import chunks, features, memo, models, ordered, parse, profile, reports
 from loglantern.plans.views import Logs
 from loglantern.sources import corpus
 
@@ -298,3 +298,36 @@ def test_memo_lives_up_to_its_ttl(spark):
 def test_neighbour_stage_context_and_candidates_have_bounds(spark):
     logs = Logs(spark, SMALL)
     assert parse.first_entries(logs.entries, "error", 3).groupBy("log_id").count().filter("count > 3").count() == 0
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+    usual = [f"w{n:03}" for n in range(500)]
+    texts = [usual[n:] + usual[:n] for n in range(0, 500, 100)] + [["once", f"rare{n}", "w000"] for n in range(20)]
+    seen, count = [], features._frequencies
+    monkeypatch.setattr(features, "_frequencies", lambda marked: seen.append(marked) or count(marked))
+    rows = spark.createDataFrame(list(enumerate(texts)), "log_id int, words array<string>")
+    found = [r.term for r in features.vocabulary(rows).collect()]
+    assert "once" in found and "w000" not in found and len(found) == 500
+    pairs = {r.term for r in seen[1].distinct().collect()}
+    assert pairs and not any("rare" in p for p in pairs)
+
+
+def test_flags_and_steps_look_for_pieces_that_every_match_holds(spark):
+    from loglantern import fixed_values as fx
+    from loglantern.functions.text import any_case, one_line, strip
+
+    odd = ["FA\u0131LED ex\u0131t cOde", "ERROR\u017f fa\u0130led exit \u017ftatus", None, "", "\t a  b \n\n c", "TIMED OUT", "Timeout",
+           "2024-01-01 10:20:30 x/ab/c/ #12 1.2.3 http://a.b/c d", "\n at f(x:1:2)", "expect\nreceived", "expect received",
+           "test a FAILED", "failed a Test", "npm ERR! ABC", "TS12 ERROR: x", "EXIT STATUS 1", "an Exception", "SyntaxError"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    clean = F.lower("text")
+    for pattern, into in fx.NORMALISE_STEPS:
+        clean = F.regexp_replace(clean, pattern, into)
+    flags = [
+        F.col("text").rlike(one_line(any_case(p) if ignore else "(?U)" + p)).cast("bigint").alias(n)
+        for n, p, ignore in fx.STRUCTURAL_FLAGS
+    ]
+    want = rows.select(strip(clean).alias("clean"), *flags)
+    found = rows.select(features.normalise(F.col("text")).alias("clean"), *features.structural_features(F.col("text"))[2:])
+    assert found.collect() == want.collect()
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
