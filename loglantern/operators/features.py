@@ -108,16 +108,36 @@ def terms_of(words: Column) -> Column:
     return F.concat(words, pairs_of(words))
 
 
+def _counted_within(texts: DataFrame) -> DataFrame:
+    """Occurrences of each term per row: in order, equal terms are runs."""
+    ordered = texts.select("log_id", F.sort_array(terms_of(F.col("words"))).alias("terms"))
+    begins = F.transform("terms", lambda term, at: F.when(~term.eqNullSafe(F.get("terms", at - 1)), at))
+    runs = ordered.select("log_id", "terms", F.array_compact(begins).alias("begins"))
+    ends = F.concat(F.slice("begins", 2, F.greatest(F.size("begins"), F.lit(0))), F.array(F.size("terms")))
+    counted = F.zip_with(
+        "begins", ends, lambda a, b: F.struct(F.get("terms", a).alias("term"), (b - a).cast("bigint").alias("tf"))
+    )
+    # a log without terms has an end only
+    return runs.select("log_id", F.inline(counted)).filter(F.col("term").isNotNull())
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """Occurrences of each term per log, from its ``words``.
 
-    All terms of a log leave the same row, so they are counted before the shuffle.
+    Terms are counted within the row.  Only ids are shuffled to find those of several rows, and
+    only the counts of such logs to add them up.
     """
-    return (
-        texts.select("log_id", F.explode(terms_of(F.col("words"))).alias("term"))
-        .groupBy("log_id", "term")
-        .agg(F.count("*").alias("tf"))
+    several = keep(
+        texts.groupBy("log_id").agg(F.count("*").alias("rows_")).filter("rows_ > 1").select(F.col("log_id").alias("id_"))
     )
+    ids = several.count()
+    if not ids:
+        return _counted_within(texts)
+    same = F.col("log_id").eqNullSafe(F.col("id_"))
+    # no more rows than BUCKETS are handed to the tasks
+    side = F.broadcast(several) if ids <= BUCKETS else several
+    added = _counted_within(texts.join(side, same, "left_semi")).groupBy("log_id", "term").agg(F.sum("tf").alias("tf"))
+    return _counted_within(texts.join(side, same, "left_anti")).unionByName(added)
 
 
 def marked_terms(texts: DataFrame, terms: Column) -> DataFrame:

@@ -300,6 +300,19 @@ def test_neighbour_stage_context_and_candidates_have_bounds(spark):
     assert parse.first_entries(logs.entries, "error", 3).groupBy("log_id").count().filter("count > 3").count() == 0
 
 
+def test_terms_of_unlike_ids_are_counted_without_a_shuffle(spark):
+    rows = [(1, ["a", "b", "a", "b"]), (2, ["c"]), (3, None), (4, []), (None, ["a"])]
+    kind = "log_id int, words array<string>"
+    alone = features.term_counts(spark.createDataFrame(rows, kind))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 2), (1, "b", 2), (1, "a b", 2), (1, "b a", 1), (2, "c", 1), (None, "a", 1)}
+    assert sorted(map(tuple, alone.collect()), key=str) == sorted(want, key=str)
+    again = features.term_counts(spark.createDataFrame([*rows, (2, ["c", "d"]), (None, ["a", "a"])], kind))
+    want = want - {(2, "c", 1), (None, "a", 1)} | {(2, "c", 2), (2, "d", 1), (2, "c d", 1), (None, "a", 3), (None, "a a", 1)}
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(want, key=str)
+    assert again.dtypes == alone.dtypes == [("log_id", "int"), ("term", "string"), ("tf", "bigint")]
+
+
 def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
     usual = [f"w{n:03}" for n in range(500)]
     texts = [usual[n:] + usual[:n] for n in range(0, 500, 100)] + [["once", f"rare{n}", "w000"] for n in range(20)]
