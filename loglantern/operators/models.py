@@ -29,15 +29,23 @@ from loglantern import fixed_values as fx
 from loglantern.operators import features, profile
 
 FEATURES, LABEL, WEIGHT, CATEGORY = "features", "label", "class_weight", "predicted_category"
-TERMS, COUNTS, RAW, TEXT_VECTOR = "terms_", "counts_", "raw_weights_", "text_vector"
+WORDS, TERMS, COUNTS, RAW, TEXT_VECTOR = "words_", "terms_", "counts_", "raw_weights_", "text_vector"
 
 
 def _flag(platform: str) -> str:
     return f"platform_{platform.replace('-', '_')}"
 
 
+def words_in(text: Column) -> Column:
+    """The words of the normalised text; a null text has none."""
+    return features.words_of(features.normalise(F.coalesce(text, F.lit(""))))
+
+
 class LogFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds a log's terms, structural features and platform flags; null texts have no terms."""
+    """Adds a log's terms, structural features and platform flags; null texts have no terms.
+
+    Words that were made before come as the column ``WORDS``.
+    """
 
     platforms = Param(Params._dummy(), "platforms", "platforms that have a flag", TypeConverters.toListString)
 
@@ -51,9 +59,9 @@ class LogFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         flags = {
             _flag(p): F.coalesce(F.col("platform") == p, F.lit(False)).cast("int") for p in self.getOrDefault("platforms")
         }
-        words = logs.withColumn("words_", features.words_of(features.normalise(text)))
+        words = logs if WORDS in logs.columns else logs.withColumn(WORDS, words_in(F.col("text")))
         named = dict(zip(features.STRUCTURAL_NAMES, features.structural_features(text), strict=True))
-        return words.withColumns({TERMS: features.terms_of(F.col("words_")), **named, **flags}).drop("words_")
+        return words.withColumns({TERMS: features.terms_of(F.col(WORDS)), **named, **flags}).drop(WORDS)
 
 
 class TermWeights(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -96,8 +104,9 @@ def labelled_features(texts: DataFrame, stages: PipelineModel, by: str) -> DataF
     train = texts.filter(F.col("split") == "train")
     codes = profile.label_codes(texts, by)
     weights = profile.class_weights(train, by).select(by, F.col("weight").alias(WEIGHT))
+    made = [c for c in (WORDS,) if c in texts.columns]
     return (
-        stages.transform(texts.select("log_id", "split", by, "platform", "text"))
+        stages.transform(texts.select("log_id", "split", by, "platform", "text", *made))
         .join(codes, by, "left")
         .join(weights, by, "left")
         .select(
@@ -133,6 +142,8 @@ def forest() -> RandomForestClassifier:
         numTrees=100,
         maxDepth=20,
         minInstancesPerNode=2,
+        # rows keep the node they have reached, instead of walking down each tree again
+        cacheNodeIds=True,
         seed=fx.SPLIT_SEED,
     )
 

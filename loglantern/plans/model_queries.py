@@ -25,9 +25,9 @@ class Fitting:
         labelled = logs.metadata.join(
             documents.select(F.col("doc_id").alias("log_id"), CLASS, "text"), "log_id"
         )
-        self.texts = keep(profile.stratified_split(labelled, CLASS))
-        train = self.texts.filter("split = 'train'")
-        words = keep(train.select("log_id", features.words_of(features.normalise(F.col("text"))).alias("words")))
+        split = profile.stratified_split(labelled, CLASS)
+        self.texts = keep(split.withColumn(models.WORDS, models.words_in(F.col("text"))))
+        words = self.texts.filter("split = 'train'").select("log_id", F.col(models.WORDS).alias("words"))
         platforms = profile.seen_platforms(self.texts).first()["platforms"]
         self.stages = models.feature_stages(features.vocabulary(words), platforms)
         self.classes = models.classes_of(profile.label_codes(self.texts, CLASS), CLASS)

@@ -344,3 +344,16 @@ def test_flags_and_steps_look_for_pieces_that_every_match_holds(spark):
     found = rows.select(features.normalise(F.col("text")).alias("clean"), *features.structural_features(F.col("text"))[2:])
     assert found.collect() == want.collect()
     assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_forest_keeps_the_nodes_its_rows_have_reached(spark):
+    assert models.forest().getCacheNodeIds()
+
+
+def test_features_take_words_that_were_made_before(spark):
+    rows = spark.createDataFrame([("a", "one two"), (None, None)], "platform string, text string")
+    stage = models.LogFeatures(platforms=["a"])
+    made = rows.withColumn(models.WORDS, models.words_in(F.col("text")))
+    assert stage.transform(made).collect() == stage.transform(rows).collect()
+    given = made.withColumn(models.WORDS, F.array(F.lit("three")))
+    assert [r[models.TERMS] for r in stage.transform(given).collect()] == [["three"], ["three"]]
