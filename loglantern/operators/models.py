@@ -100,15 +100,19 @@ def feature_names(stages: PipelineModel) -> list[str]:
 
 
 def labelled_features(texts: DataFrame, stages: PipelineModel, by: str) -> DataFrame:
-    """The features of each log (``log_id, split, platform, text`` and the class in ``by``), with label and weight."""
+    """The features of each log (``log_id, split, platform, text`` and the class in ``by``), with label and weight.
+
+    Codes and weights, a row per class, are handed to the tasks: rows shuffled by their class would be
+    in as many parts as there are classes, and a learner has no more tasks than its rows have parts.
+    """
     train = texts.filter(F.col("split") == "train")
     codes = profile.label_codes(texts, by)
     weights = profile.class_weights(train, by).select(by, F.col("weight").alias(WEIGHT))
     made = [c for c in (WORDS,) if c in texts.columns]
     return (
         stages.transform(texts.select("log_id", "split", by, "platform", "text", *made))
-        .join(codes, by, "left")
-        .join(weights, by, "left")
+        .join(F.broadcast(codes), by, "left")
+        .join(F.broadcast(weights), by, "left")
         .select(
             "log_id",
             "split",
@@ -121,6 +125,16 @@ def labelled_features(texts: DataFrame, stages: PipelineModel, by: str) -> DataF
     )
 
 
+def for_learners(rows: DataFrame) -> DataFrame:
+    """The rows in no more parts than there are cores, however many of them there are.
+
+    Each round of a learner is a job over all parts.  A round of a forest shuffles the counts of every
+    node it splits from every part: parts that grow with the rows, as nodes do, would make what
+    is shuffled grow with the square of the rows.
+    """
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- fixed values: settings of the three learners ------------------------------------
 def logistic(train_rows: int) -> LogisticRegression:
     return LogisticRegression(

@@ -32,7 +32,7 @@ class Fitting:
         self.stages = models.feature_stages(features.vocabulary(words), platforms)
         self.classes = models.classes_of(profile.label_codes(self.texts, CLASS), CLASS)
         self.rows = keep(models.labelled_features(self.texts, self.stages, CLASS))
-        self.train = self.rows.filter("split = 'train'")
+        self.train = models.for_learners(self.rows.filter("split = 'train'"))
         self.held_out = self.rows.filter("split <> 'train'")
 
     def logistic(self):

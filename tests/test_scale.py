@@ -357,3 +357,29 @@ def test_features_take_words_that_were_made_before(spark):
     assert stage.transform(made).collect() == stage.transform(rows).collect()
     given = made.withColumn(models.WORDS, F.array(F.lit("three")))
     assert [r[models.TERMS] for r in stage.transform(given).collect()] == [["three"], ["three"]]
+
+
+def _labelled(spark, rows):
+    classes = F.element_at(F.array(*[F.lit(c) for c in "ab"]), (F.col("id") % 2 + 1).cast("int")).alias("lang")
+    split = F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split")
+    texts = spark.range(0, rows, 1, 16).select(F.col("id").alias("log_id"), split, classes, F.lit("a").alias("platform"), F.lit("one two").alias("text"))
+    vocabulary = spark.createDataFrame([("one", 2, 2, 4)], "term string, df bigint, freq bigint, n_logs bigint")
+    return models.labelled_features(texts, models.feature_stages(vocabulary, ["a"]), "lang")
+
+
+def test_features_are_not_shuffled_by_their_class(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _labelled(spark, 40)
+        assert found.rdd.getNumPartitions() == 16
+        assert {(r.lang, r.label, r.class_weight) for r in found.collect()} == {("a", 0.0, 1.0), ("b", 1.0, 1.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_learner_has_no_more_tasks_than_cores(spark):
+    rows = models.for_learners(spark.range(0, 1000, 1, 64))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert rows.count() == 1000
+    assert models.for_learners(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 1
