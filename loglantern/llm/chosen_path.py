@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, recall: float =
     slim = sets.select("sid", "a", "b", "copies", "rep")
     others = linked.groupBy("sid").agg(F.sum("others").alias("others"))
     edges = linked.where("sid != root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
-    rooted = components(edges).withColumnRenamed("node", "sid").join(others, "sid").join(slim.select("sid", "copies", "rep"), "sid")
+    rooted = lasting(components(edges).withColumnRenamed("node", "sid").join(others, "sid").join(slim.select("sid", "copies", "rep"), "sid"))
     classes = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("size"))
     told_of = rooted.select("sid", "root", "others").join(classes, "root").select("sid", "others", "first", "size")
     full = slim.join(told_of, "sid", "left").select(

@@ -167,9 +167,10 @@ def learn(examples: DataFrame, rounds: int = ROUNDS, passes: int = PASSES, parts
             return pa.table({"slot": touched, "z": z[touched], "n": n[touched]})
 
         states = examples.groupBy("part").applyInArrow(learned, "slot long, z double, n double")
-        mean = states.groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toPandas()
+        mean = states.groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()
         z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-        z[mean.slot], n[mean.slot] = mean.z, mean.n
+        slot = np.asarray(mean["slot"])
+        z[slot], n[slot] = np.asarray(mean["z"]), np.asarray(mean["n"])
     return weights(z, n)
 
 

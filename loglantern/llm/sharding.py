@@ -11,9 +11,8 @@ rows. After the last round the members that quotas turned away are dealt, in one
 room that is left: to their group's fullest shard, or, group by group, to the shards with
 most room. Documents without links fill what is left, so that counts differ by one at most.
 
-Ranks are taken from bucket sums, so no shard, pair or group meets in one task; the tables
-that are broadcast have one row per shard or pair of shards. A vote is one row with a number
-per shard.
+Ranks are taken from bucket sums, so no shard, pair or group meets in one task. A vote is one
+row with a number per shard. Quotas are worked out in the driver from a count per pair of shards.
 
 Defined cases: a null text has no size, no checksum and no links; empty texts are equal
 texts; repeated rows are rows of their own; with fewer rows than shards some shards stay
@@ -23,7 +22,7 @@ empty; an empty table gives no rows. Other columns of the input are ignored by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglantern.llm.common import lasting, placed, unused
@@ -53,72 +52,68 @@ def text_links(slim: DataFrame) -> DataFrame:
     return slim.join(shared, "group").select("row", "group")
 
 
-def _capacity(rows: int, shards: int) -> Column:
-    """Rows that shard ``shard`` holds in the end."""
-    return F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("int")
-
-
-def _votes(state: DataFrame, links: DataFrame, shards: int) -> DataFrame:
-    """The linked rows with ``votes``, members of their groups per shard, and a ``seed`` that a group shares."""
-    members = links.join(state.select("row", "shard"), "row")
+def _wishes(state: DataFrame, shards: int) -> DataFrame:
+    """The state with ``to``, where most members of a row's groups are; a group shares its ``seed`` for ties."""
+    members = state.withColumn("group", F.explode_outer("groups"))
     inside = [F.sum((F.col("shard") == s).cast("long")) for s in range(shards)]
-    spread = members.groupBy("group").agg(F.array(*inside).alias("spread"))
+    spread = members.where("group is not null").groupBy("group").agg(F.array(*inside).alias("spread"))
     sums = [F.sum(F.get("spread", F.lit(s))) for s in range(shards)]
-    votes = links.join(spread, "group").groupBy("row").agg(F.array(*sums).alias("votes"), F.max(F.xxhash64("group")).alias("seed"))
-    return state.join(votes, "row")
-
-
-def _wishes(voted: DataFrame) -> DataFrame:
-    """(row, order, from, to) of linked documents most of whose neighbours are elsewhere."""
+    voted = (
+        members.join(spread, "group", "left")
+        .groupBy("row", "order", "shard", "round")
+        .agg(F.first("groups").alias("groups"), F.array(*sums).alias("votes"), F.max(F.xxhash64("group")).alias("seed"))
+    )
 
     def label(n: Column, s: Column) -> Column:
         return F.struct(n.alias("n"), F.xxhash64("seed", s, "round").alias("tie"), s.alias("to"))
 
-    to = F.array_max(F.transform("votes", label))["to"]
-    return voted.withColumn("to", to).where("shard != to").select("row", "order", F.col("shard").alias("from"), "to")
+    to = F.when(F.size("groups") > 0, F.array_max(F.transform("votes", label))["to"]).otherwise(F.col("shard"))
+    return voted.select("row", "order", "groups", "round", "shard", to.alias("to"))
 
 
-def _quotas(wishes: DataFrame, state: DataFrame, rows: int, shards: int) -> DataFrame:
+def _quotas(asked: dict[tuple[int, int], int], loads: list[int], rows: int) -> dict[tuple[int, int], int]:
     """How many may move from a to b: as many as move back, and b's free rows by demand."""
-    asked = wishes.groupBy("from", "to").agg(F.count("*").alias("n"))
-    back = asked.select(F.col("to").alias("from"), F.col("from").alias("to"), F.col("n").alias("back"))
-    loads = state.groupBy("shard").agg(F.count("*").alias("load"))
-    ids = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    free = ids.join(loads, "shard", "left").select(
-        F.col("shard").alias("to"), (_capacity(rows, shards) - F.coalesce("load", F.lit(0))).alias("free")
-    )
-    swaps = F.least("n", F.coalesce("back", F.lit(0)))
-    demand = F.sum("rest").over(Window.partitionBy("to"))
-    upto = F.sum("rest").over(Window.partitionBy("to").orderBy("from"))
-
-    def share(n: Column) -> Column:
-        """Of the free rows, those of the first ``n`` that ask; no free row is lost to rounding."""
-        return F.floor(F.col("free") * n / F.greatest("demand", "free", F.lit(1)))
-
-    return (
-        asked.join(back, ["from", "to"], "left")
-        .join(free, "to")
-        .withColumn("swaps", swaps)
-        .withColumn("rest", F.col("n") - F.col("swaps"))
-        .withColumns({"demand": demand, "upto": upto})
-        .withColumn("quota", F.col("swaps") + share(F.col("upto")) - share(F.col("upto") - F.col("rest")))
-        .select("from", "to", "quota")
-    )
+    shards = len(loads)
+    swaps = {(a, b): min(n, asked.get((b, a), 0)) for (a, b), n in asked.items()}
+    quotas = {}
+    for b in range(shards):
+        free = rows // shards + (b < rows % shards) - loads[b]
+        asking = [(a, asked[a, b] - swaps[a, b]) for a in range(shards) if (a, b) in asked]
+        most, upto = max(sum(n for _, n in asking), free, 1), 0
+        for a, n in asking:
+            # of the free rows, those of the first that ask; none is lost to rounding
+            quotas[a, b] = swaps[a, b] + free * (upto + n) // most - free * upto // most
+            upto += n
+    return quotas
 
 
 def propagate(slim: DataFrame, links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(row, order, shard) of linked documents after the last round; no shard exceeds its share of ``rows``."""
-    linked = slim.join(links.select("row").distinct(), "row").select("row", "order")
+    """(row, order, shard) of linked documents after the last round; no shard exceeds its share of ``rows``.
+
+    A row carries its groups along. What moves per pair of shards is counted and allotted in the
+    driver, which holds a number per pair; rows that stay are not shuffled again.
+    """
+    linked = links.groupBy("row").agg(F.collect_list("group").alias("groups")).join(slim.select("row", "order"), "row")
     even = placed(linked.withColumn("all", F.lit(0)), ["all"], ["order", "row"])
     # the number of the round is a column: rounds share their plans' code
-    state = lasting(even.select("row", "order", F.pmod("position", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("round")))
+    at = F.pmod("position", F.lit(shards)).cast("int").alias("shard")
+    state = lasting(even.select("row", "order", "groups", F.lit(0).alias("round"), at))
+    found = _loads(state)
+    loads = [found.get(s, 0) for s in range(shards)]
     for _ in range(rounds):
-        wishes = lasting(_wishes(_votes(state, links, shards)))
-        ranked = placed(wishes, ["from", "to"], ["order", "row"], buckets=64)
-        movers = ranked.join(F.broadcast(_quotas(wishes, state, rows, shards)), ["from", "to"]).where("position < quota").select("row", "to")
-        after = F.coalesce("to", "shard").alias("shard")
-        state = lasting(state.join(movers, "row", "left").select("row", "order", after, (F.col("round") + 1).alias("round")))
-    return state.drop("round")
+        wishes = lasting(_wishes(state, shards))
+        moving = wishes.where("shard != to")
+        asked = {(r["shard"], r["to"]): r["n"] for r in moving.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # a row per pair of shards
+        quotas = _quotas(asked, loads, rows)
+        for (a, b), n in quotas.items():
+            loads[a], loads[b] = loads[a] - n, loads[b] + n
+        allowed = F.expr(f"array({', '.join(f'{quotas.get((a, b), 0)}L' for a in range(shards) for b in range(shards))})")
+        ranked = placed(moving, ["shard", "to"], ["order", "row"], buckets=64)
+        after = F.when(F.col("position") < F.get(allowed, F.col("shard") * shards + F.col("to")), F.col("to")).otherwise(F.col("shard"))
+        moved = ranked.select("row", "order", "groups", "round", after.alias("shard"))
+        stayed = wishes.where("shard = to").drop("to")
+        state = lasting(stayed.unionByName(moved).withColumn("round", F.col("round") + 1))
+    return state.select("row", "order", "shard")
 
 
 def gather(state: DataFrame, links: DataFrame, rows: int, shards: int = SHARDS) -> DataFrame:
@@ -170,7 +165,9 @@ def shard(slim: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     total = slim.count()
     state = gather(propagate(slim, links, total, shards, rounds), links, total, shards)
     loads = _loads(state)
-    alone = placed(slim.join(state.select("row"), "row", "left_anti").withColumn("all", F.lit(0)), ["all"], ["order", "row"], buckets=4096)
+    # each of the two is read twice by what follows
+    met = lasting(slim.join(state.select("row", "shard"), "row", "left"))
+    alone = placed(met.where("shard is null").withColumn("all", F.lit(0)), ["all"], ["order", "row"], buckets=4096)
     place, upto = F.lit(shards - 1), 0
     ends = []
     for s in range(shards):
@@ -178,8 +175,8 @@ def shard(slim: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
         ends.append(upto)
     for s in reversed(range(shards - 1)):
         place = F.when(F.col("position") < ends[s], F.lit(s)).otherwise(place)
-    filled = alone.select("row", place.cast("int").alias("shard"))
-    both = slim.join(state.select("row", "shard").unionByName(filled), "row")
+    filled = alone.withColumn("shard", place.cast("int")).drop("all", "position")
+    both = lasting(met.where("shard is not null").unionByName(filled))
     return placed(both, ["shard"], ["order", "row"], name="slot")
 
 

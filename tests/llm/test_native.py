@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,32 @@ def test_links_of_any_kind(spark):
     assert cut.linked == 120 and cut.apart < 45
 
 
+def test_quotas_are_swaps_and_free_rows_by_demand():
+    """Shard 0 has 3 free rows and 2 that leave for 1, 1 none, 2 one; loads stay within shares of 12, 12 and 11 rows."""
+    asked = {(1, 0): 5, (2, 0): 4, (0, 1): 2, (1, 2): 3}
+    got = sharding._quotas(asked, [9, 12, 10], 35)
+    assert got == {(1, 0): 3, (2, 0): 2, (0, 1): 2, (1, 2): 1}
+    assert sharding._quotas({}, [9, 12, 10], 35) == {}
+
+
+def jobs(spark, work) -> int:
+    """How many Spark jobs it takes; each shuffle and each broadcast is one at least, and a thread of the driver."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_of_sharding_are_few(spark):
+    """Rounds in which many move: a driver keeps threads and native memory for each shuffle and broadcast."""
+    rows = [(n, f"text {n % 60}" if n % 3 else f"own {n}") for n in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").localCheckpoint()
+    assert jobs(spark, lambda: sharding.shard_documents(docs, shards=6).collect()) <= 110  # 134 before
+
+
 def test_odd_rows_are_sharded(spark, odd_documents, no_documents):
     rows = sharding.shard_texts(odd_documents).collect()
     assert len(rows) == odd_documents.count() and {r.size for r in rows if r.doc_id in (3, 4)} == {8}
